@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, linededup
+from . import chat, htmltext, langid, linededup, topk
 from .state import table
 
 #: White space and ASCII upper case in DuckDB's regular expressions.
@@ -14,6 +15,23 @@ _WS = r"[\x20\x09-\x0D]"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP2_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM usable),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, r::INT AS rank, vec_id, score FROM ranked WHERE r <= 10
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -34,12 +52,43 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+OP8_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+n AS (SELECT *, regexp_replace(speaker, '[^A-Za-z0-9_.\\-]', '_', 'g') AS clean FROM t),
+h AS (
+  SELECT *, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker ELSE 'user' END AS chat_role,
+         CASE WHEN clean = speaker THEN speaker ELSE clean || '_' || substr(md5(speaker), 1, 8) END AS name
+  FROM n JOIN p USING (conv_id)),
+g AS (
+  SELECT *, '<|im_start|>' || chat_role || CASE WHEN chat_role = 'user' AND speaker <> 'system' THEN ' name=' || name ELSE '' END || chr(10) AS header,
+         body || '<|im_end|>' AS trained_text FROM h)
+SELECT conv_id, perspective, turn, speaker, chat_role, header || trained_text || chr(10) AS segment, speaker = perspective AS trained,
+       CASE WHEN speaker = perspective THEN length(header) ELSE 0 END::BIGINT AS mask_start,
+       CASE WHEN speaker = perspective THEN length(header) + length(trained_text) ELSE 0 END::BIGINT AS mask_end
+FROM g
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_topk": op2_exact_topk,
     "op6_line_dedup": op6_line_dedup,
+    "op8_chat_rotation": op8_chat_rotation,
     "op9_language_id": op9_language_id,
+    "op10_html_text": op10_html_text,
 }
-SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op6_line_dedup": OP6_SQL, "op8_chat_rotation": OP8_SQL}
