@@ -139,8 +139,8 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, list[n
                 g = np.sort(grams[lo : hi - width + 1])
                 sets.append(g[np.r_[True, g[1:] != g[:-1]]])
             elif hi > lo:
-                whole = (words[lo:hi] * ODD[1 : 1 + hi - lo]).sum(dtype=U) + U(hi - lo) * ODD[0]
-                sets.append(mix(np.array([whole], U)))
+                whole = (words[lo:hi] * ODD[1 : 1 + hi - lo]).sum(dtype=U) + np.array([hi - lo], U) * ODD[0]
+                sets.append(mix(whole))
             else:
                 sets.append(np.zeros(0, U))
         yield a, sets

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, htmltext, langid, linededup, topk
+from . import chat, htmltext, langid, linededup, neardup, topk
 from .state import table
 
 #: White space and ASCII upper case in DuckDB's regular expressions.
@@ -15,6 +15,10 @@ _WS = r"[\x20\x09-\x0D]"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -85,6 +89,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_exact_topk": op2_exact_topk,
     "op6_line_dedup": op6_line_dedup,
     "op8_chat_rotation": op8_chat_rotation,
