@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, htmltext, langid, linededup, neardup, topk
+from . import chat, decontam, htmltext, langid, linededup, neardup, topk
 from .state import table
 
 #: White space and ASCII upper case in DuckDB's regular expressions.
@@ -36,6 +36,10 @@ SELECT query_id, r::INT AS rank, vec_id, score FROM ranked WHERE r <= 10
 """
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -91,6 +95,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_exact_topk": op2_exact_topk,
+    "op4_decontamination": op4_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op8_chat_rotation": op8_chat_rotation,
     "op9_language_id": op9_language_id,
