@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, langid, linededup, neardup, topk
+from . import chat, decontam, htmltext, langid, linededup, mixing, neardup, surrogates, topk
 from .state import table
 
 #: White space and ASCII upper case in DuckDB's regular expressions.
@@ -40,6 +40,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), b"a key of this run")
+    return out.select("doc_id", "text", F.col(out.columns[-1]).alias("n_mentions"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -60,6 +65,14 @@ FROM judged GROUP BY doc_id
 """
 
 
+#: Target weights of the query and of the pipeline; all others are 1.
+WEIGHTS = {("web",): 3.0, ("books",): 2.0, ("web", "en"): 4.0, ("books", "en"): 2.0, ("books", "en", "src1"): 8.0}
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.two_domains(), WEIGHTS)
+
+
 def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
@@ -96,7 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_exact_topk": op2_exact_topk,
     "op4_decontamination": op4_decontamination,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_line_dedup": op6_line_dedup,
+    "op7_source_mixing": op7_source_mixing,
     "op8_chat_rotation": op8_chat_rotation,
     "op9_language_id": op9_language_id,
     "op10_html_text": op10_html_text,
