@@ -17,7 +17,7 @@
 Defined cases: a text with fewer words than a shingle is one shingle; a null,
 empty or blank text has an empty set, and is linked with nothing; rows
 without doc_id are linked with nothing and have no component; rows that repeat
-a doc_id are one node; extra columns don't matter.
+a doc_id are one node, which any of their texts can link; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -88,9 +88,9 @@ def _sizes_allow(a: str, b: str, percent: int):
 
 
 def floor_of(percent: int) -> float:
-    """Estimates below this are further than six standard deviations under the threshold."""
+    """Estimates below this are further than five standard deviations under the threshold."""
     t = percent / 100
-    return max(0.0, t - 6 * (t * (1 - t) / setsketch.M) ** 0.5)
+    return max(0.0, t - 5 * (t * (1 - t) / setsketch.M) ** 0.5)
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -107,85 +107,129 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def jaccard_holds(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets.
 
     b's text goes once to each salt of its pairs, then a's texts stream by.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
     members = salted.join(texts.select(F.col("id").alias("a"), "text"), "a").select("b", "salt", "a", "text")
     centres = salted.select("b", "salt").distinct().join(texts.select(F.col("id").alias("b"), "text"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, centre = None, np.zeros(0, U)
+        at, held = None, []
         for batch in batches:
-            b, a = batch.column("b").to_numpy(), batch.column("a").to_pylist()
+            b, a, salt = batch.column("b").to_numpy(), batch.column("a").to_pylist(), batch.column("salt").to_numpy()
             links: list[tuple[int, int]] = []
             for first, sets in shingle_sets(batch.column("text"), width):
                 for i, own in enumerate(sets, first):
+                    if (b[i], salt[i]) != at:
+                        at, held = (b[i], salt[i]), []
                     if a[i] is None:
-                        at, centre = b[i], own
-                    elif b[i] == at:
-                        both = len(np.intersect1d(own, centre, assume_unique=True))
-                        if both and 100 * both >= percent * (len(own) + len(centre) - both):
-                            links.append((a[i], int(at)))
+                        held.append(own)
+                    elif any(jaccard_holds(own, x, percent) for x in held):
+                        links.append((a[i], int(b[i])))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     together = members.unionByName(centres).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").isNotNull())
     return together.mapInArrow(run, "a long, b long")
 
 
-def left_over(members: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs (a, b) of one bucket and different components, but those with the bucket's centre.
+def left_over(members: DataFrame, parts: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components, but those with the bucket's centre.
 
     In each bucket every member outside its largest component meets all members, in blocks of
-    about BLOCK rows of the bucket.
+    about BLOCK rows of the bucket. A pair is looked at in its first common band only, estimated, and
+    verified there and then; what an earlier link of the block has joined already isn't looked at
+    again. So rows out are links of a spanning forest, never all pairs.
     """
     rest = members.where("doc_id <> centre").select("band", "doc_id").join(parts.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rest = written(rest, "near-rest")
     sizes = rest.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main"))
     open_ = written(sizes.where("parts > 1").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("main.component").alias("main")), "near-open")
-    if open_.isEmpty():
-        return members.sparkSession.createDataFrame([], "a long, b long")
-    rows = rest.join(open_, "band").join(reps.select("doc_id", F.col("n").alias("size"), "regs"), "doc_id")
-    base = rows.select("band", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "doc_id", "component", "size", "regs")
-    asks = rows.where("component <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "doc_id", "component", "size", "regs")
+    content = reps.join(texts.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", F.col("n").alias("size"), "regs", "text")
+    rows = rest.join(open_, "band").join(content, "doc_id")
+    base = rows.select("band", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "doc_id", "component", "size", "regs", "text")
+    asks = rows.where("component <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "doc_id", "component", "size", "regs", "text")
+    per_band = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, table = None, [], None
+        at, block = None, None
         for batch in batches:
             if not len(batch):
                 continue
             place = np.stack([batch.column(c).to_numpy() for c in ("band", "block", "kind")], axis=1)
             cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1), len(place)]
-            a_out, b_out = [], []
+            links: list[tuple[int, int]] = []
             for x, y in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(x, y - x)
-                mine = [part.column(c).to_numpy() for c in ("doc_id", "component", "size")] + [_regs(part.column("regs"))]
                 if tuple(place[x, :2]) != at:
-                    at, held, table = tuple(place[x, :2]), [], None
+                    at, block = tuple(place[x, :2]), _Block(int(place[x, 0]), per_band, percent, width)
                 if place[x, 2] == 0:
-                    held.append(mine)
+                    block.held.append(part)
+                elif block.held:
+                    links += block.links(part)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in links], pa.int64()), pa.array([j for _, j in links], pa.int64())], ["a", "b"])
+
+    return base.unionByName(asks).repartition("band", "block").sortWithinPartitions("band", "block", "kind").mapInArrow(run, "a long, b long")
+
+
+class _Block:
+    """Some members of a bucket, against which others are held."""
+
+    def __init__(self, band: int, per_band: int, percent: int, width: int):
+        self.band, self.per_band, self.percent, self.width = band, per_band, percent, width
+        self.held: list[pa.RecordBatch] = []
+        self.joined: dict[int, int] = {}
+        self.sets: dict[int, np.ndarray] = {}
+        self.table: list[np.ndarray] | None = None
+
+    def root(self, component: int) -> int:
+        while (up := self.joined.get(component, component)) != component:
+            component = up
+        return component
+
+    def set_of(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = next(shingle_sets(self.texts.slice(i, 1), self.width))[1][0]
+        return self.sets[i]
+
+    def links(self, part: pa.RecordBatch) -> list[tuple[int, int]]:
+        if self.table is None:
+            all_ = pa.Table.from_batches(self.held).combine_chunks()
+            regs = _regs(all_.column("regs").combine_chunks())
+            self.table = [all_.column(c).to_numpy() for c in ("doc_id", "component", "size")] + [regs, signed(setsketch.band_hashes(regs, self.per_band))]
+            self.texts, self.held = all_.column("text").combine_chunks(), [part]
+        ids, components, sizes, regs, bands_ = self.table
+        out: list[tuple[int, int]] = []
+        mine = _regs(part.column("regs"))
+        mine_bands = signed(setsketch.band_hashes(mine, self.per_band))
+        texts = part.column("text")
+        for k, (doc, component, size) in enumerate(zip(*[part.column(c).to_pylist() for c in ("doc_id", "component", "size")], strict=True)):
+            near = np.flatnonzero((components != component) & (np.minimum(sizes, size) * 100 >= np.maximum(sizes, size) * self.percent))
+            same = bands_[near] == mine_bands[k]
+            near = near[mine_bands[k][same.argmax(axis=1)] == self.band] if len(near) else near
+            if not len(near):
+                continue
+            found = setsketch.likely_jaccard(regs[near], np.broadcast_to(mine[k], (len(near), len(mine[k]))), sizes[near], np.full(len(near), size))
+            good = found >= floor_of(self.percent)
+            near, own = near[good][np.argsort(-found[good], kind="stable")], None
+            for i in near.tolist():
+                here, there = self.root(component), self.root(int(components[i]))
+                if here == there:
                     continue
-                if table is None:
-                    if not held:
-                        continue
-                    table = [np.concatenate([h[i] for h in held]) for i in range(4)]
-                for doc, component, size, regs in zip(*mine, strict=True):
-                    low, high = np.minimum(table[2], size), np.maximum(table[2], size)
-                    near = np.flatnonzero((table[1] != component) & (low * 100 >= high * percent))
-                    if len(near):
-                        found = setsketch.likely_jaccard(table[3][near], np.broadcast_to(regs, (len(near), len(regs))), table[2][near], np.full(len(near), size))
-                        near = near[found >= floor_of(percent)]
-                        a_out.append(np.full(len(near), doc))
-                        b_out.append(table[0][near])
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
-
-    found = base.unionByName(asks).repartition("band", "block").sortWithinPartitions("band", "block", "kind").mapInArrow(run, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+                if own is None:
+                    own = next(shingle_sets(texts.slice(k, 1), self.width))[1][0]
+                if jaccard_holds(own, self.set_of(i), self.percent):
+                    self.joined[max(here, there)] = min(here, there)
+                    out.append((doc, int(ids[i])))
+        return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
@@ -196,18 +240,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     classes = written(solid.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "near-classes")
     named = written(own.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep")), "near-named")
     reps = solid.join(classes, ["d1", "d2", "n"], "left").where("rep is null or rep = doc_id").select("doc_id", "n", "regs")
-    reps = written(reps.dropDuplicates(["doc_id"]), "near-reps")
+    reps = written(reps, "near-reps")
     buckets = written(
         bands(reps, rows).groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("first")).where("size > 1").select("band", F.col("first.doc_id").alias("centre"), F.col("first.n").alias("centre_n")),
         "near-buckets",
     )
     members = written(bands(reps, rows).join(buckets, "band"), "near-members")
     stars = members.where(F.col("doc_id") != F.col("centre")).where(_sizes_allow("n", "centre_n", percent)).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    links = written(verified(written(plausible(stars, reps, percent), "near-stars"), docs, percent, width), "near-links")
+    ids = members.select(F.col("doc_id").alias("id")).distinct().hint("merge")
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "near-texts")
+    links = written(verified(written(plausible(stars, reps, percent), "near-stars"), texts, percent, width), "near-links")
     parts = written(connected(links), "near-parts")
-    more = written(left_over(members, parts, reps, percent), "near-more")
+    more = written(left_over(members, parts, reps, texts, percent, width), "near-more")
     if not more.isEmpty():
-        parts = written(connected(links.unionByName(verified(more, docs, percent, width))), "near-parts")
+        parts = written(connected(links.unionByName(more)), "near-parts")
     out = named.join(parts.toDF("rep", "component_id"), "rep", "left")
     component = F.coalesce("component_id", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
