@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, langid, linededup, mixing, neardup, surrogates, topk
+from . import chat, decontam, htmltext, langid, linededup, mixing, neardup, substrings, surrogates, topk
 from .state import table
 
 #: White space and ASCII upper case in DuckDB's regular expressions.
@@ -36,6 +36,10 @@ SELECT query_id, r::INT AS rank, vec_id, score FROM ranked WHERE r <= 10
 """
 
 
+def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -108,6 +112,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_exact_topk": op2_exact_topk,
+    "op3_repeated_substrings": op3_repeated_substrings,
     "op4_decontamination": op4_decontamination,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_line_dedup": op6_line_dedup,
