@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     own = written(sketches(docs, width), "near-sketches")
     solid = own.where("n > 0 and doc_id is not null")
     classes = written(solid.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "near-classes")
-    named = written(own.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep")), "near-named")
+    named = written(own.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "near-named")
     reps = solid.join(classes, ["d1", "d2", "n"], "left").where("rep is null or rep = doc_id").select("doc_id", "n", "regs")
     reps = written(reps, "near-reps")
     buckets = written(

@@ -1,0 +1,407 @@
+"""Small fixtures against plain Python: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import string
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from floodplain.llm import bwt, chat, components, decontam, htmltext, langid, linededup, mixing, neardup, setsketch, substrings, surrogates, topk
+from pyspark.sql import functions as F
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+DOCS = "doc_id long, text string, lang string, source string, _drops string, _row int"
+
+
+def words(rng, n):
+    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eins", "zwei", "drei", "été", "où", "x", "yy"]) + str(rng.randrange(40)) for _ in range(n))
+
+
+def corpus(seed=1):
+    """(doc_id, text) with copies, near copies, nulls, blanks, a long text, shared lines and repeats inside one text."""
+    rng = random.Random(seed)
+    line = "This very line is held by many of the documents here."
+    base = [words(rng, n) for n in (1, 3, 4, 5, 6, 60, 120, 300)]
+    out = [None, "", " \n\t ", "ABC abc", line, line.upper() + "  ", f"\t{line}\nother\n\n", f"{base[5]}\n{line}", f"{line}\n{base[6]}", "ab" * 300, words(rng, 4000)]
+    for b in base:
+        out += [b, b, b.upper()]
+        w = b.split()
+        for k in (1, 2, 6, 20):
+            v = list(w)
+            for _ in range(k):
+                v[rng.randrange(len(v))] = "new" + str(rng.randrange(9))
+            out.append(" ".join(v))
+    out += [base[7][:900] + " " + words(rng, 50), words(rng, 30) + " " + base[7][300:1100]]
+    return list(enumerate(out))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "src1", "clash", 7) for i, t in corpus()]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def shingles(text):
+    w = WORD.findall((text or "").translate(LOW))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(rows, percent):
+    sets = {i: shingles(t) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates(docs, percent):
+    got = {r[0]: tuple(r[1:]) for r in neardup.near_duplicates(docs, percent).collect()}
+    assert got == brute_components(corpus(), percent)
+
+
+def test_near_duplicates_of_one_large_group(spark):
+    rng = random.Random(5)
+    base = words(rng, 200).split()
+    rows = []
+    for i in range(150):
+        v = list(base)
+        for _ in range(rng.choice((1, 2, 3, 5))):
+            v[rng.randrange(200)] = f"z{rng.randrange(99)}"
+        rows.append((i, " ".join(v)))
+    got = {r[0]: tuple(r[1:]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == brute_components(rows, 85)
+
+
+def test_near_duplicates_edge_rows(spark, empty):
+    assert neardup.near_duplicates(empty).count() == 0
+    rows = [(None, "a b c d e f"), (None, None), (3, "a b c d e f"), (3, "a b c d e f"), (4, "q r s t u v")]
+    got = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 2, None, True), (None, 0, None, True), (3, 2, 3, True), (3, 2, 3, True), (4, 2, 4, True)], key=str)
+
+
+def test_sketches_merge_and_estimate():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(1, 1 << 62, 3000, dtype=np.uint64)
+    a, b = pool[:2000], pool[500:2500]
+    ra, rb, both = setsketch.registers([a, b, np.union1d(a, b)])
+    assert (setsketch.merged(ra, rb) == both).all()
+    found = setsketch.likely_jaccard(ra[None], rb[None], np.array([2000]), np.array([2000]))[0]
+    assert abs(found - 1500 / 2500) < 0.15
+    assert (setsketch.registers([np.zeros(0, np.uint64)]) == 0).all()
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500, 500), (None, 3)] + [(1000 + i, 1001 + i) for i in range(40)]
+    near = defaultdict(set)
+    for a, b in links:
+        if a is not None and a != b:
+            near[a].add(b)
+            near[b].add(a)
+    exp = {}
+    for s in sorted(near):
+        if s not in exp:
+            todo = [s]
+            while todo:
+                x = todo.pop()
+                if x not in exp:
+                    exp[x] = s
+                    todo += near[x]
+    got = dict(map(tuple, components.connected(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == exp
+
+
+def test_topk_with_ties_nulls_and_own_id(spark):
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randrange(-3, 4)) / 8 for _ in range(6)], "x") for i in range(400)]
+    rows += [(400 + i, [0.25] * 6, "x") for i in range(60)]
+    rows += [(900, None, "x"), (901, [None] + [0.5] * 5, "x"), (902, [float("nan")] * 6, "x"), (903, [float("inf")] * 6, "x"), (None, [0.5] * 6, "x"), (905, [0.5] * 3, "x"), (910, [0.5] * 3, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, dim string")
+    got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 5 == 0, k=7, shard_rows=100).collect()))
+    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    exp = []
+    for q, v in good:
+        if q % 5 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v))[:7]
+            exp += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(exp)
+    assert topk.search(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_tree_with_large_numbers():
+    rng = np.random.default_rng(1)
+    points = rng.integers(-(1 << 28), 1 << 28, (500, 5))
+    tree = topk.Tree(points, np.arange(500))
+    ids, scores = tree.search(points[3], 3, 10, None)
+    exact = points.astype(object) @ points[3].astype(object)
+    exp = sorted(((-int(s), i) for i, s in enumerate(exact) if i != 3))[:10]
+    assert list(zip((-scores).tolist(), ids.tolist())) == exp
+
+
+def brute_repeats(rows, width=200):
+    raw = [(t or "").encode() for _, t in rows]
+    seen = Counter(r[i : i + width] for r in raw for i in range(len(r) - width + 1))
+    out = {}
+    for (key, _), r in zip(rows, raw):
+        bad = np.zeros(len(r), bool)
+        for i in range(len(r) - width + 1):
+            if seen[r[i : i + width]] > 1:
+                bad[i : i + width] = True
+        spans = int((bad & ~np.r_[False, bad[:-1]]).sum()) if len(r) else 0
+        out[key] = (len(r), int(bad.sum()), spans, hashlib.sha256(bytes(np.frombuffer(r, np.uint8)[~bad])).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("split", [4096, 1])
+def test_repeated_substrings(docs, split):
+    got = {r[0]: tuple(r[1:]) for r in substrings.remove_repeats(docs, split).drop("kept").collect()}
+    assert got == brute_repeats(corpus())
+
+
+def test_repeated_substrings_edge_rows(spark, empty):
+    assert substrings.remove_repeats(empty).count() == 0
+    long = words(random.Random(8), 60)
+    rows = [(None, long), (2, long), (2, "short"), (3, None)]
+    got = Counter(map(tuple, substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed").collect()))
+    n = len(long.encode())
+    assert got == Counter([(None, n), (2, n), (2, 0), (3, 0)])
+
+
+def test_transform_merge_round_trip():
+    rng = np.random.default_rng(6)
+    base = rng.integers(97, 100, 2000).astype(np.uint8)
+    strings = [base[a : a + n].copy() for a, n in zip(rng.integers(0, 1500, 30), rng.integers(0, 420, 30))]
+    seen = Counter(s[i : i + 200].tobytes() for s in strings for i in range(len(s) - 199))
+    for size in (400, 10_000_000):
+        got = bwt.repeated(strings, 200, size)
+        assert all(g.tolist() == [seen[s[i : i + 200].tobytes()] > 1 for i in range(len(s) - 199)] for s, g in zip(strings, got))
+
+
+def plain(text):
+    return "".join(map(chr, decontam.code_points(text or "")))
+
+
+def least_edits(item, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_against_edit_distance(spark, empty):
+    rng = random.Random(9)
+    items = [(k, words(rng, n)) for k, n in enumerate((5, 12, 20, 40))] + [(10, None), (11, ""), (12, "short"), (13, "ÉTÉ " + words(rng, 10))]
+    texts = [None, "", "a", words(rng, 3000)]
+    for k, t in items:
+        for e in (0, 1, 3, 8, 20, 30):
+            v = list(t or "")
+            for _ in range(min(e, len(v))):
+                x, how = rng.randrange(len(v) or 1), rng.random()
+                v[x : x + 1] = [] if how < 0.3 else [rng.choice("qzj")] if how < 0.7 else [v[x], "w"]
+            texts.append(words(rng, rng.randrange(0, 30)) + "\n\n" + "".join(v).swapcase() + " " + words(rng, rng.randrange(0, 30)))
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, _clean string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontam.matches(docs, bench, block_chars=300).collect()}
+    exp = set()
+    for k, t in items:
+        p = plain(t)
+        budget = min(len(p) // 10, (len(p) - decontam.Q) // decontam.Q)
+        for i, text in enumerate(texts):
+            if len(p) >= decontam.MIN_CHARS and (d := least_edits(p, plain(text))) <= budget:
+                exp.add((i, k, d))
+    assert got == exp and len(exp) > 15
+    clean = decontam.clean(docs, bench, block_chars=300)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {i for i, _, _ in exp}
+    assert decontam.matches(empty, bench).count() == 0
+    assert decontam.matches(docs, bench.limit(0)).count() == 0 and decontam.clean(docs, bench.limit(0)).count() == len(texts)
+
+
+def test_surrogates(spark, empty):
+    text = "Write to Ann.Lee@mail.example.com or ann.lee@MAIL.example.com, +1 (017) 555-7713 or +1 017 555 7713; Mr. John Smith and Mrs. Anna Smith at 10.1.2.3, card 4111 1111 1111 1111, token = \"abc123def456\". Иван Петров"
+    rows = [(1, text, "x"), (2, "also ann.lee@mail.example.com!", "x"), (3, None, "x"), (4, "nothing here, the secret: nobody knows 12 of it", "x"), (None, text, "x"), (4, "nothing", "x")]
+    rows += [(100 + i, f"{a}{b}@m.example.com", "x") for i, (a, b) in enumerate((a, b) for a in "0123456789" for b in "012345678")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _found string")
+    out = surrogates.pseudonymise(df, b"key")
+    got = [tuple(r) for r in out.collect()]
+    by = {r[0]: r for r in got}
+    new = by[1][1]
+    assert len(got) == len(rows) and by[3][1] is None and {r[1] for r in got if r[0] == 4} == {rows[3][1], "nothing"}
+    assert by[None][1] == new and not any(x in new.lower() for x in ("ann.lee", "555-7713", "john", "smith", "10.1.2.3", "4111 1111", "abc123def456", "петров"))
+    mails = [m.canon for m in surrogates.mentions(new) if m.kind == "email"]
+    assert mails[0] == mails[1] and mails[0] in by[2][1]
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} or \+1 \d{3} \d{3} \d{4};", new)
+    men, women = set(surrogates.DRAW_M["latin"].split()), set(surrogates.DRAW_F["latin"].split())
+    names = re.search(r"Mr\. (\S+) (\S+) and Mrs\. (\S+) (\S+) at", new).groups()
+    assert set(names[0].split("-")) <= men and set(names[2].split("-")) <= women and names[1] == names[3]
+    assert re.search(r"[А-Я][а-я\-А-Я]+ [А-Я][а-я]+$", new) and surrogates.luhn_digit("411111111111111") == 1
+    small = [r[1] for r in got if r[0] and r[0] >= 100]
+    assert len(set(small)) == len(small) and not set(small) & {r[1] for r in rows}
+    assert surrogates.pseudonymise(empty, b"k").count() == 0
+    assert sorted(map(str, out.collect())) == sorted(map(str, surrogates.pseudonymise(df.repartition(5), b"key").collect()))
+
+
+def brute_lines(rows, min_chars=40, min_docs=5):
+    strip = "\x20\x09\x0a\x0b\x0c\x0d"
+    held = defaultdict(set)
+    key = lambda x: x.strip(strip).translate(LOW)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= min_chars:
+                held[key(x)].add(i)
+    out = {}
+    for i, t in rows:
+        all_ = (t or "").split("\n")
+        kept = [x for x in all_ if len(held[key(x)]) < min_docs or max(held[key(x)]) == i]
+        out[i] = (len(all_), len(all_) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    return out
+
+
+def test_line_dedup(docs, empty):
+    out = linededup.line_dedup(docs)
+    assert out.columns[:-2] == docs.columns
+    assert {r[0]: tuple(r[1:]) for r in linededup.digest(out).collect()} == brute_lines(corpus())
+    assert linededup.line_dedup(empty).count() == 0
+
+
+def test_line_index_is_reversible(docs, spark):
+    rows = corpus()
+    first, second = docs.where("doc_id < 6"), docs.where("doc_id >= 6")
+    index = linededup.LineIndex.build(first)
+    key = lambda i: sorted(map(tuple, i.refs.collect()))
+    before = key(index)
+    more = index.insert(second)
+    got = {r[0]: tuple(r[1:]) for r in linededup.digest(more.apply(docs)).collect()}
+    assert got == brute_lines(rows)
+    back = more.delete(second.select("doc_id"))
+    assert key(back) == before
+    assert {r[0]: tuple(r[1:]) for r in linededup.digest(back.apply(first)).collect()} == brute_lines([r for r in rows if r[0] < 6])
+
+
+def test_cuckoo_filter():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(-(1 << 62), 1 << 62, (3000, 2))
+    f = linededup.Cuckoo.sized(3000)
+    assert f.insert(keys[:, 0], keys[:, 1]) and f.holds(keys[:, 0], keys[:, 1]).all()
+    f.delete(keys[:1500, 0], keys[:1500, 1])
+    assert f.holds(keys[1500:, 0], keys[1500:, 1]).all() and f.holds(keys[:1500, 0], keys[:1500, 1]).mean() < 0.02
+    assert (linededup.Cuckoo.loads(f.dumps()).buckets == f.buckets).all()
+
+
+def test_mixing_against_plain_python(spark, empty):
+    rng = random.Random(3)
+    rows = [(i, words(rng, rng.choice((0, 1, 5, 40))), rng.choice(["en", "de", None]), rng.choice(["src0", "src1", "src2", "x", None])) for i in range(300)]
+    rows += [(None, "a b", "en", "src0"), (400, None, "en", "src0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weights = {("web",): 3.0, ("web", "de"): 0.0, ("books", "en", "src1"): 5.0, ("other",): 9.0}
+    domain = lambda s: ("web" if int(s[-1]) % 2 == 0 else "books") if s and s[-1].isdigit() else "other"
+    leaves, own = Counter(), []
+    for i, t, lang, source in rows:
+        if i is not None and (n := len(WORD.findall(t or ""))):
+            leaf = (domain(source) if source else "other", lang or "none", source or "none")
+            leaves[leaf] += n
+            own.append((leaf, i, n))
+    total = sum(leaves.values())
+    exp = set()
+    for leaf, budget in mixing.plan(leaves, weights, float(round(0.9 * total)), 3).items():
+        used = 0
+        for epoch in range(3):
+            for _, i, n in sorted((hashlib.md5(f"5:{epoch}:{i}".encode()).hexdigest(), i, n) for x, i, n in own if x == leaf):
+                if used < budget:
+                    exp.add((i, epoch))
+                used += n
+    got = [(r.doc_id, r.epoch) for r in mixing.mix(df, mixing.two_domains(), weights, share=0.9, max_epochs=3, seed=5).collect()]
+    assert set(got) == exp and len(got) == len(exp)
+    assert not any(lang == "de" and source in ("src0", "src2") and (i, 0) in exp for i, _, lang, source in rows)
+    assert mixing.mix(empty, mixing.two_domains()).count() == 0
+
+
+def test_budgets_go_to_siblings_first():
+    leaves = {("a", "en", "s1"): 10, ("a", "en", "s2"): 1000, ("b", "en", "s3"): 1000}
+    assert mixing.plan(leaves, {}, 200.0, 1) == {("a", "en", "s1"): 10, ("a", "en", "s2"): 90, ("b", "en", "s3"): 100}
+    assert mixing.plan({("a", "x", "s"): 10, ("b", "x", "t"): 1000}, {}, 200.0, 2) == {("a", "x", "s"): 20, ("b", "x", "t"): 180}
+    assert mixing.plan({}, {}, 5.0, 1) == {}
+
+
+def test_chat_rotation(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob b", None), (1, 3, "ann", "bye"), (2, 0, "system", "x"), (3, 0, None, "who"), (None, 0, "ann", "lost"), (4, 0, "ann", "same"), (4, 0, "ann", "same")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, speaker string")
+    out = chat.rotate(df)
+    got = out.collect()
+    assert {(r.conv_id, r.perspective) for r in got} == {(1, "ann"), (1, "bob b"), (3, "unknown"), (4, "ann")}
+    assert sum(r.conv_id == 4 for r in got) == 2
+    text = {(r.conv_id, r.perspective): r.text for r in chat.joined(out).collect()}
+    bob = "bob_b_" + hashlib.md5(b"bob b").hexdigest()[:8]
+    assert text[1, "ann"] == f"<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name={bob}\n<|im_end|>\n<|im_start|>assistant\nbye<|im_end|>\n"
+    for r in got:
+        assert r.trained == (r.speaker == r.perspective)
+        assert r.segment[r.mask_start : r.mask_end] == (r.segment.split("\n", 1)[1][:-1] if r.trained else "")
+    assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_language_id_on_held_out_texts(spark, empty):
+    from pathlib import Path
+
+    docs = spark.read.parquet(str(Path("/root/testdata/sf0.01/documents.parquet")))
+    found = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in found if r.held_out]
+    assert len(found) == docs.count() and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in found)
+    odd = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 !?", "de"), (4, "the of and", "en"), (None, "le la les", "fr"), (5, "x" * 300_000, None)], "doc_id long, text string, lang string")
+    pred = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd).collect()}
+    assert pred[1] == pred[2] == pred[3] == ("und", 0.0)
+    assert langid.identify(empty).count() == 0
+    only = langid.identify(spark.createDataFrame([(0, "the text", "en"), (2, "a text", "en")], "doc_id long, text string, lang string")).collect()
+    assert {(r.lang_pred, r.score) for r in only if not r.held_out} <= {("en", 1.0), ("und", 0.0)}
+
+
+GOOD = "This is the text of the article and it is one that has a lot of words in it, so that it is long. "
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""),
+        ("", ""),
+        ("<nav><a href=x>Home</a></nav><article><h1>Head &amp; tail</h1><p>One\n two<br>three<p>Four <b>bold</b>er</article><footer>&copy; x</footer>", "Head & tail\nOne two three\nFour bolder"),
+        ("<article><p>x<script>if(a<b){'</p>'}</script>y</p><div class='cookie-notice'>n</div><section id=comments><p>c</p></section></article>", "xy"),
+        (f"<div class=menu><a href=x>Home</a></div><p>Short.</p><p>{GOOD * 3}</p><p>Tail.</p><div class=sidebar><p>{GOOD * 3}</p></div>", f"Short.\n{(GOOD * 3).strip()}\nTail."),
+        ("<p>a < b &lt;c&gt; &nbsp; x", "a < b <c> x"),
+        ("<main><p>kept</p><form>no</form></main><aside>no</aside><p>outside", "kept"),
+        ("<ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul>", ""),
+        ("<!-- c --><style>p{}</style>" + "<p>cut off mid", "cut off mid"),
+    ],
+)
+def test_html(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def test_html_table(spark):
+    rows = [(1, "u", "<article><p>" + "é" * 100_000, "x"), (2, None, None, "x"), (None, "v", "<p>one two", "x")]
+    got = {(r.page_id, r.url): (len(r.text), r.n_chars) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    assert got == {(1, "u"): (100_000, 100_000), (2, None): (0, 0), (None, "v"): (7, 7)}
