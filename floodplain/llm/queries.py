@@ -37,7 +37,7 @@ SELECT query_id, r::INT AS rank, vec_id, score FROM ranked WHERE r <= 10
 
 
 def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,9 @@ from .state import written
 WIDTH = 200
 GRAM = 100
 LONGEST = 256  # windows in a stretch
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 400_000
+SHARD_BYTES = 150_000
+CHUNK_BYTES = 500_000
 
 STRETCH = "row long, first int, windows int"
 
@@ -96,7 +98,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("row").to_numpy()
-            for a, _, data, offs in chunked(batch.column("text")):
+            for a, _, data, offs in chunked(batch.column("text"), CHUNK_BYTES):
                 row, first, count, anchor, content, twice = stretches(data, offs)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(anchor)), pa.array(signed(content)), pa.array(keys[a + row]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(twice)],
@@ -134,7 +136,7 @@ def repeats(pieces: DataFrame) -> DataFrame:
     """Stretches of repeated windows among the pieces that meet in one place, of those to report."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        found = repeated([np.frombuffer(x[2], np.uint8) for x in held], WIDTH)
+        found = repeated([np.frombuffer(x[2], np.uint8) for x in held], WIDTH, SHARD_BYTES)
         rows, firsts, counts = [], [], []
         for (row, first, _, report), flags in zip(held, found, strict=True):
             if report and flags.any():
@@ -190,12 +192,13 @@ def covered(rows: DataFrame, split: int = 4096) -> DataFrame:
     return whole.unionByName(part)
 
 
-def remove_repeats(docs: DataFrame, split: int = 4096) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of docs (doc_id, text); kept holds the remaining bytes."""
+def remove_repeats(docs: DataFrame, split: int = 4096, with_bytes: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs (doc_id, text), and kept, the remaining bytes."""
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     cover = covered(rows.select("row", "text"), split).groupBy("row").agg(F.collect_list(F.struct("first", "windows")).alias("cover"))
     joined = rows.join(cover.hint("merge"), "row", "left").select("doc_id", "text", "cover")
-    schema = rows.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.lit("").alias("kept_sha256"), F.lit(b"").alias("kept")).schema
+    schema = rows.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.lit("").alias("kept_sha256"), *[F.lit(b"").alias("kept")] * with_bytes).schema
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,9 +219,8 @@ def remove_repeats(docs: DataFrame, split: int = 4096) -> DataFrame:
                         gone, spans = int(bad.sum()), int((bad & ~np.r_[False, bad[:-1]]).sum())
                         own = own[~bad]
                     kept = own.tobytes()
-                    out.append((int(offs[i + 1] - offs[i]), gone, spans, hashlib.sha256(kept).hexdigest(), kept))
+                    out.append((int(offs[i + 1] - offs[i]), gone, spans, hashlib.sha256(kept).hexdigest(), *[kept] * with_bytes))
                 columns = zip(*out, strict=True)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, len(out)), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [f.name for f in schema])
 
     return joined.mapInArrow(run, schema)
