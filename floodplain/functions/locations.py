@@ -46,7 +46,7 @@ def ordered(name: Column, pos: Column, suffix: Column | None = None) -> Column:
 
 def gtid_set(text: Column) -> Column:
     """A set from `uuid:1-5:7,uuid2:3`; domains of the other flavour, `domain-server-seq`, become 1 to seq of the domain."""
-    part = F.filter(F.transform(F.split(text, ","), F.trim), lambda s: s != "")
+    part = F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda s: s != "")
     interval = lambda s: F.struct(F.split(s, "-")[0].cast("long").alias("lo"), F.element_at(F.split(s, "-"), -1).cast("long").alias("hi"))
 
     def entry(s: Column) -> Column:

@@ -167,8 +167,11 @@ def key_text(column: Column, kind: str) -> Column:
         return column.cast("int").cast("string")
     if kind in ("double", "float"):
         text = column.cast("string")
-        whole = F.regexp_replace(column.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-        return F.when(text.contains("E"), whole).otherwise(F.regexp_replace(text, r"\.0$", ""))
+        part = lambda i: F.regexp_extract(text, r"^(-?)(\d)\.(\d+?)0*E(-?\d+)$", i)
+        digits, power = F.concat(part(2), part(3)), part(4).try_cast("int")
+        large = F.when(power >= F.length(digits) - 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat_ws(".", F.substr(digits, F.lit(1), power + 1), F.substr(digits, power + 2)))
+        small = F.regexp_replace(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits), "0+$", "")
+        return F.when(text.contains("E"), F.concat(part(1), F.when(power < 0, small).otherwise(large))).otherwise(F.regexp_replace(text, r"\.0$", ""))
     return column.cast("string")
 
 

@@ -15,8 +15,8 @@ SYSTEM_SCHEMAS = ("mysql", "information_schema", "performance_schema", "sys", "m
 #: Statements that have no meaning at the target, by their first words.
 SKIPPED_STATEMENTS = (
     r"^SAVEPOINT", r"^FLUSH", r"^OPTIMIZE\s+TABLE", r"^ANALYZE\s+TABLE", r"^REPAIR\s+TABLE",
-    r"^DROP\s+(/\*.*?\*/\s*)?TEMPORARY\s+TABLE", r"^CREATE\s+(\S+\s+)*?TRIGGER", r"^DROP\s+TRIGGER",
-    r"^CREATE\s+(\S+\s+)*?(PROCEDURE|FUNCTION|EVENT)", r"^(DROP|ALTER)\s+(PROCEDURE|FUNCTION|EVENT)",
+    r"^DROP\s+(/\*.*?\*/\s*)?TEMPORARY\s+TABLE", r"^DROP\s+TRIGGER",
+    r"^CREATE\s+(OR\s+REPLACE\s+)?(DEFINER\s*=\s*\S+\s+)?(AGGREGATE\s+)?(TRIGGER|PROCEDURE|FUNCTION|EVENT)\s", r"^(DROP|ALTER)\s+(PROCEDURE|FUNCTION|EVENT)\s",
     r"^(CREATE|ALTER)\s+(OR\s+REPLACE\s+)?(ALGORITHM\s*=\s*\S+\s+)?(DEFINER\s*=\s*\S+\s+)?(SQL\s+SECURITY\s+\S+\s+)?VIEW", r"^DROP\s+VIEW",
     r"^(CREATE|ALTER|DROP)\s+TABLESPACE", r"^CREATE\s+USER", r"^ALTER\s+USER", r"^DROP\s+USER", r"^RENAME\s+USER", r"^GRANT", r"^REVOKE", r"^SET\s+PASSWORD",
 )

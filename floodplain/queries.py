@@ -468,7 +468,7 @@ def job_counts(spark, sf_dir):
     return out.groupBy("op", "target_table").agg(F.sum("n").alias("n"))
 
 
-@query(f"WITH {LOG}, f AS (SELECT user_id % 16 AS w, min(ts) AS ts FROM log WHERE seq > 5 GROUP BY 1) SELECT (epoch((SELECT max(ts) FROM log)) - 2 - epoch(min(ts)))::BIGINT AS lag FROM f")
+@query(f"WITH {LOG}, f AS (SELECT user_id % 16 AS w, min(ts) AS ts FROM log WHERE seq > 5 GROUP BY 1) SELECT (floor(epoch((SELECT max(ts) FROM log))) - 2 - floor(epoch(min(ts))))::BIGINT AS lag FROM f")
 def lag_min_ts(spark, sf_dir):
     rows = changelog(spark, sf_dir)
     now = rows.agg(F.max("ts").alias("now"))
