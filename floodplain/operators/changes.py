@@ -223,3 +223,20 @@ def set_statements(delta: DataFrame, key: Sequence[str]) -> DataFrame:
 def rename_columns(image: Mapping[str, str], column: str) -> Column:
     """A row image with renamed fields."""
     return F.struct(*[F.col(f"{column}.{old}").alias(new) for old, new in image.items()])
+
+
+def check_images(changes: DataFrame) -> DataFrame:
+    """Fails on a change without the images of its kind: rows need them whole."""
+    need_old, need_new = F.col("op").isin(UPDATE, DELETE), F.col("op").isin(UPDATE, INSERT)
+    bad = (need_old & F.col("before").isNull()) | (need_new & F.col("after").isNull()) | ~F.coalesce(F.col("op").isin(INSERT, UPDATE, DELETE), F.lit(False))
+    return changes.where(F.when(bad, F.raise_error(F.lit("a row image is missing"))).isNull())
+
+
+def without_columns(changes: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Both images without some columns, such as generated ones."""
+    return changes.withColumns({image: F.when(F.col(image).isNotNull(), F.col(image).dropFields(*names)) for image in ("before", "after")})
+
+
+def observed(changes: DataFrame, name: str) -> DataFrame:
+    """changes with counters by op that a query's progress reports, at no extra pass."""
+    return changes.observe(name, *[F.count_if(F.col("op") == op).alias(label) for op, label in ((INSERT, "inserts"), (UPDATE, "updates"), (DELETE, "deletes"))], F.max("ts").alias("last_ts"))

@@ -102,3 +102,48 @@ def barrier_epochs(changes: DataFrame, ddls: DataFrame) -> DataFrame:
     marks = ddls.groupBy("src_table").agg(F.array_sort(F.collect_list(F.struct(*LOCATION))).alias("_ddls"))
     count = F.size(F.filter("_ddls", lambda d: d < location()))
     return changes.join(marks, "src_table", "left").withColumn("ddl_epoch", F.coalesce(F.when(F.col("_ddls").isNotNull(), count), F.lit(0))).drop("_ddls")
+
+
+def without_gtids(changes: DataFrame, gtid: str, executed: Column, contains) -> DataFrame:
+    """Without the transactions that a set holds already (`gtid` is a column of set text); their heartbeat stays in the offsets."""
+    from ..functions.locations import gtid_set
+
+    return changes.where(~F.coalesce(contains(executed, gtid_set(F.col(gtid))), F.lit(False)))
+
+
+def gtid_at(changes: DataFrame, file_seq: int, pos: int) -> DataFrame:
+    """(src_id, last_gtid): how far each source's numbers go in a file up to a position, purged ones before it included."""
+    upto = (F.col("file_seq") < file_seq) | ((F.col("file_seq") == file_seq) & (F.col("pos") <= pos))
+    return changes.where(upto).groupBy("src_id").agg(F.max(F.col("txn_id").cast("long")).alias("last_gtid"))
+
+
+def drop_points(points: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Table points without those of dropped tables; a dropped row without table drops its whole schema."""
+    whole = dropped.where("src_table is null").select("src_schema")
+    return points.join(whole, "src_schema", "left_anti").join(dropped.where("src_table is not null"), ["src_schema", "src_table"], "left_anti")
+
+
+def register_readers(readers: DataFrame, new: DataFrame) -> DataFrame:
+    """The oldest file that each task still needs: (task, epoch, seq), a later report replaces an earlier one."""
+    both = readers.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    last = both.groupBy("task").agg(F.max_by(F.struct("epoch", "seq"), "_new").alias("at"))
+    return last.select("task", "at.epoch", "at.seq")
+
+
+def saved_points(points: DataFrame, new: DataFrame) -> DataFrame:
+    """Points that never go back: (src_table, point), the later of both."""
+    return points.unionByName(new).groupBy("src_table").agg(F.max("point").alias("point"))
+
+
+def flush_due(seconds_since: Column, interval: int) -> Column:
+    return seconds_since >= interval
+
+
+def log_lists_equal(a: Column, b: Column) -> Column:
+    """Lists without repeats that hold the same values."""
+    return (F.size(a) == F.size(b)) & (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+
+
+def prefix_of(part: Column, whole: Column) -> Column:
+    """Whether a list starts another one."""
+    return F.slice(whole, F.lit(1), F.size(part)) == part

@@ -15,6 +15,7 @@ from .operators import changes, log, monitor, rules, verify
 from .operators.changes import RowFilter
 from .operators.rules import AllowList, EventRule, OnlineChange, Route
 from .plans import ddl, lattice, shards
+from .plans import task as task_plan
 from .sources import dumpdir, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -677,3 +678,115 @@ def apply_workers(spark, sf_dir):
     """Changes by worker: CRC-32 of the key modulo 16."""
     return monitor.job_counts(changelog(spark, sf_dir), F.coalesce("after.user_id", "before.user_id"))
 
+
+
+# ---------------------------------------------------------------- more of the stored log and of a task
+
+
+@query(f"WITH {LOG} SELECT seq FROM log WHERE txn_id NOT BETWEEN 100 AND 200")
+def skip_executed_gtids(spark, sf_dir):
+    rows = changelog(spark, sf_dir).withColumn("gtid", F.concat(F.lit("a:"), F.col("txn_id")))
+    return log.without_gtids(rows, "gtid", locations.gtid_set(F.lit("a:100-200")), locations.gtid_contains).select("seq")
+
+
+@query(f"WITH {LOG} SELECT 's1' AS src_id, max(txn_id)::BIGINT AS last_gtid FROM log WHERE seq <= 600")
+def gtid_at_position(spark, sf_dir):
+    return log.gtid_at(changelog(spark, sf_dir), 1, 600 * 10 + 4)
+
+
+@query("SELECT n_name AS src_table, 's' || n_regionkey AS src_schema FROM nation WHERE n_regionkey <> 1 AND n_nationkey <> 0")
+def drop_points(spark, sf_dir):
+    points = read(spark, sf_dir, "nation").select(F.concat(F.lit("s"), F.col("n_regionkey")).alias("src_schema"), F.col("n_name").alias("src_table"))
+    first = read(spark, sf_dir, "nation").where("n_nationkey = 0").select(F.concat(F.lit("s"), F.col("n_regionkey")).alias("src_schema"), F.col("n_name").alias("src_table"))
+    return log.drop_points(points, first.unionByName(spark.createDataFrame([("s1", None)], "src_schema string, src_table string"))).select("src_table", "src_schema")
+
+
+@query("SELECT * FROM (VALUES ('a', 1, 9), ('b', 2, 1), ('c', 1, 1)) AS t(task, epoch, seq)")
+def register_readers(spark, sf_dir):
+    kind = "task string, epoch int, seq int"
+    return log.register_readers(spark.createDataFrame([("a", 1, 5), ("b", 2, 1)], kind), spark.createDataFrame([("a", 1, 9), ("c", 1, 1)], kind))
+
+
+@query(f"WITH {LOG} SELECT src_table, max(seq) AS point FROM log GROUP BY src_table")
+def monotone_points(spark, sf_dir):
+    rows = changelog(spark, sf_dir)
+    late, early = (rows.where(c).groupBy("src_table").agg(F.max("seq").alias("point")) for c in ("true", "seq < 500"))
+    return log.saved_points(late, early)
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 <> 0 AS same, o_orderkey % 2 = 0 AS starts FROM orders")
+def list_comparisons(spark, sf_dir):
+    k = F.col("o_orderkey")
+    a, b = F.array(F.lit("x"), F.lit("y")), F.when(k % 3 == 0, F.array(F.lit("x"), F.lit("z"))).otherwise(F.array(F.lit("y"), F.lit("x")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", log.log_lists_equal(a, b).alias("same"), log.prefix_of(F.array(F.lit("x")), F.when(k % 2 == 0, a).otherwise(F.array(F.lit("y")))).alias("starts"))
+
+
+@query(f"WITH {LOG} SELECT op, count(*) AS n FROM log GROUP BY op")
+def whole_images(spark, sf_dir):
+    return changes.check_images(changelog(spark, sf_dir)).groupBy("op").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LOG} SELECT seq, user_id, CASE WHEN op <> 'D' THEN value END AS value FROM log")
+def pruned_images(spark, sf_dir):
+    rows = changes.without_columns(changelog(spark, sf_dir), ["event_type"])
+    return flat(rows, F.col("after.value").alias("value")).drop("op")
+
+
+@query("SELECT event_id AS pos, 3::BIGINT AS file_seq, CASE event_id % 3 WHEN 0 THEN 'I' WHEN 1 THEN 'U' ELSE 'D' END AS op, user_id AS id FROM events WHERE event_id % 4 <> 3")
+def connector_messages(spark, sf_dir):
+    """Messages of a log-reading connector, made from events, as the canonical changelog."""
+    k = F.col("event_id")
+    op = F.when(k % 4 == 3, F.lit(None)).when(k % 3 == 0, "c").when(k % 3 == 1, "u").otherwise("d")
+    row = F.struct(F.col("user_id").alias("id"))
+    source = F.struct(F.lit("s1").alias("name"), F.lit("app").alias("db"), F.lit("t").alias("table"), F.lit("b.000003").alias("file"), k.alias("pos"), F.lit(0).alias("row"), F.lit("a:1").alias("gtid"))
+    body = F.struct(op.alias("op"), F.when(k % 3 != 0, row).alias("before"), F.when(k % 3 != 2, row).alias("after"), source.alias("source"), F.lit(1).cast("long").alias("ts_ms"))
+    rows = tables.from_envelope(read(spark, sf_dir, "events").select(F.to_json(body).alias("value")), "id:bigint")
+    return rows.select("pos", "file_seq", "op", F.coalesce("after.id", "before.id").alias("id"))
+
+
+TASK = {
+    "name": "shop", "task-mode": "all", "mysql-instances": [{"source-id": "s1", "block-allow-list": "b", "filter-rules": ["f"], "route-rules": ["r1", "r2"], "column-mapping-rules": ["m"], "expression-filters": ["e"]}],
+    "block-allow-list": {"b": {"do-dbs": ["app"], "ignore-tables": [{"db-name": "app", "tbl-name": "events_0"}]}},
+    "filters": {"f": {"schema-pattern": "app", "table-pattern": "events_1", "events": ["delete"], "action": "Ignore"}},
+    "routes": {"r1": {"schema-pattern": "app", "target-schema": "merged"}, "r2": {"schema-pattern": "app", "table-pattern": "events_*", "target-schema": "merged", "target-table": "events"}},
+    "column-mappings": {"m": {"schema-pattern": "app", "table-pattern": "events_*", "expression": "partition id", "source-column": "user_id", "target-column": "user_id", "arguments": ["1", "app", "events_"]}},
+    "expression-filter": {"e": {"schema": "app", "table": "*", "insert-value-expr": "value < 5"}},
+}
+
+
+@query(f"""WITH {LOG}, kept AS (SELECT *, (1::BIGINT << 59) | ((user_id % 4)::BIGINT << 44) | user_id AS id FROM log WHERE src_table <> 'events_0' AND NOT (src_table = 'events_1' AND op = 'D') AND NOT (op = 'I' AND value < 5)),
+last AS (SELECT id, arg_max(op, seq) AS op, arg_max(value, seq) AS value, arg_max(event_type, seq) AS event_type FROM kept GROUP BY id)
+SELECT id AS user_id, value, event_type FROM last WHERE op <> 'D'""")
+def configured_task(spark, sf_dir):
+    """A whole task from its configuration: names, events, mapping, expressions, routes, compaction, apply."""
+    task = task_plan.build(TASK, "s1", ["user_id"])
+    return changes.apply_keyed(spark.createDataFrame([], EMPTY), task.delta(changelog(spark, sf_dir)), task.key)
+
+
+# ---------------------------------------------------------------- bulk changes, as the published figures count them
+
+_BULK = "o_orderkey, o_custkey, o_totalprice"
+
+
+def _bulk(spark: SparkSession, sf_dir: str, op: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    image, none = F.struct("o_orderkey", "o_custkey", "o_totalprice"), F.lit(None).cast("struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>")
+    new = F.struct("o_orderkey", "o_custkey", (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    delta = orders.select(F.lit(op).alias("op"), F.lit(None).cast("int").alias("part"), (none if op == "I" else image).alias("before"), (none if op == "D" else image if op == "I" else new).alias("after"), F.col("o_orderkey").alias("seq"))
+    target = orders.where("false") if op == "I" else orders
+    return changes.apply_keyed(target, changes.compact(delta, ["o_orderkey"], ["seq"]), ["o_orderkey"])
+
+
+@query(f"SELECT {_BULK} FROM orders")
+def bulk_insert(spark, sf_dir):
+    return _bulk(spark, sf_dir, "I")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice + 1 AS o_totalprice FROM orders")
+def bulk_update(spark, sf_dir):
+    return _bulk(spark, sf_dir, "U")
+
+
+@query(f"SELECT {_BULK} FROM orders WHERE false")
+def bulk_delete(spark, sf_dir):
+    return _bulk(spark, sf_dir, "D")

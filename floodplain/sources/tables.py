@@ -73,9 +73,12 @@ class VersionedTable:
         if batch <= self.committed():
             return False
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+        self.commit(batch)
+        return True
+
+    def commit(self, batch: int) -> None:
         self._fs.mkdirs(self._path(f"{self.path}/_commits"))
         self._fs.create(self._path(f"{self.path}/_commits/{batch}"), True).close()
-        return True
 
     def vacuum(self, keep: int = 2) -> None:
         """Drops all but the last versions."""
@@ -84,6 +87,51 @@ class VersionedTable:
             self._fs.delete(self._path(f"{self.path}/v={v}"), True)
 
 
+ENVELOPE_OPS = {"c": "I", "r": "I", "u": "U", "d": "D"}
+
+
+def from_envelope(messages: DataFrame, image: str, value: str = "value") -> DataFrame:
+    """The canonical changelog from messages of a log-reading connector: JSON with op, before, after, source and ts_ms.
+
+    Works on a stream as on a table. Messages without an op (heartbeats, tombstones) are left out.
+    """
+    source = "struct<name:string,db:string,table:string,file:string,pos:bigint,row:int,gtid:string>"
+    body = F.from_json(F.col(value), f"op string, before struct<{image}>, after struct<{image}>, source {source}, ts_ms bigint")
+    rows = messages.select(body.alias("m")).where("m.op is not null")
+    op = F.create_map(*[F.lit(x) for pair in ENVELOPE_OPS.items() for x in pair])
+    return rows.select(
+        F.col("m.source.name").alias("src_id"), F.col("m.source.db").alias("src_schema"), F.col("m.source.table").alias("src_table"), F.coalesce(F.regexp_extract("m.source.file", r"\|(\d+)\.", 1).try_cast("int"), F.lit(0)).alias("epoch"),
+        F.regexp_extract("m.source.file", r"\.(\d+)$", 1).try_cast("long").alias("file_seq"), F.col("m.source.pos").alias("pos"), F.col("m.source.row").alias("row_idx"), F.col("m.source.gtid").alias("txn_id"), F.lit(True).alias("is_commit"),
+        F.timestamp_millis("m.ts_ms").cast("timestamp_ntz").alias("ts"), op[F.col("m.op")].alias("op"), F.col("m.before").alias("before"), F.col("m.after").alias("after"),
+    )
+
+
+def stream_topic(spark: SparkSession, servers: str, topic: str, image: str) -> DataFrame:
+    """Such messages from a topic; needs the connector's package on the class path."""
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
+    return from_envelope(raw.select(F.col("value").cast("string").alias("value")), image)
+
+
+def load_files(target: VersionedTable, files: DataFrame, rows: DataFrame, manifest: VersionedTable) -> bool:
+    """Adds rows (with _file) of the files that the manifest doesn't have yet, and those files to the manifest, in one batch.
+
+    The manifest is written after the rows. A crash between both leaves the same batch to run again, which
+    rewrites the same version; so a file's rows are there once.
+    """
+    batch = manifest.committed() + 1
+    done = manifest.read("filename string, end_pos long")
+    new = files.join(done, "filename", "left_anti").select("filename", F.col("end_pos").cast("long").alias("end_pos"))
+    if new.isEmpty():
+        return False
+    came = rows.join(new.select(F.col("filename").alias("_file")), "_file", "left_semi").drop("_file")
+    before = target.spark.read.parquet(f"{target.path}/v={batch - 1}") if batch else None
+    df = came if before is None else before.unionByName(came, allowMissingColumns=True)
+    df.write.mode("overwrite").parquet(f"{target.path}/v={batch}")
+    manifest.write(done.unionByName(new), batch)
+    target.commit(batch)
+    return True
+
+
 def log_events(n: int, rows_per_event: int = 2, seed: int = 1) -> list[dict]:
     """Made-up raw log events for tests: format, gtid, table map, rows, commit, in files with positions, and some holes."""
     import random
