@@ -6,8 +6,8 @@ adverts, forms, reader comments, hidden parts; by tag, role, class or id) are
 left out, as are scripts, styles and comments in the markup.
 
 First pass: each block is good, bad, or undecided. Inside an article or main
-element a block is good, unless it is a list entry made of links alone. On pages
-without one, many links make a block bad; a long block with many stop words is
+element a block is good, unless it is a list entry made of links alone, and blocks
+outside don't count. On pages without one, many links make a block bad; a long block with many stop words is
 good, a long one with few is bad, and short blocks or blocks between the marks
 are undecided. Second pass: each undecided block takes the label of
 its nearest decided neighbour (the one before it on a tie between two of one
@@ -42,6 +42,7 @@ MARKS = set(
     "subscription signup login search searchform form toolbar widget widgets copyright legal disclaimer skip paywall outbrain taboola".split()
 )
 STRICT = set("ad ads advert advertisement comment comments commentlist reply replies related recommended promo sponsored teaser".split())
+CONTENT = set("content maincontent articlebody articletext post postbody entry story storybody bodytext".split())
 BLOCKS = set(
     "address article blockquote body caption center col colgroup dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li "
     "main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul aside dialog search".split()
@@ -75,32 +76,42 @@ SHORT, LONG, LINKED = 70, 140, 0.33
 FEW_STOPS, MANY_STOPS = 0.12, 0.20
 
 
-def _marked(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(left out, inside the main region) for an element that opens."""
-    out, main = tag in LEFT_OUT, tag in ("article", "main")
+#: How sure an element is that it holds the article.
+CLASSED, MAIN, ARTICLE = 1, 2, 3
+
+
+def _marked(tag: str, attrs: str) -> tuple[bool, int]:
+    """(left out, how surely the article's own) for an element that opens."""
+    out, main = tag in LEFT_OUT, {"article": ARTICLE, "main": MAIN}.get(tag, 0)
     if attrs and attrs.strip(" /"):
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 words = set(re.split(r"[^a-z]+", _CAMEL.sub(" ", value).lower()))
                 out |= tag not in ("html", "body") and bool(words & (STRICT if main else MARKS))
+                joined = re.sub(r"[^a-z]", "", value.lower())
+                if tag not in ("html", "body") and (words & CONTENT or joined in CONTENT):
+                    main = max(main, CLASSED)
             elif name == "role":
                 out |= value.lower() in ROLES
-                main |= value.lower() in ("main", "article")
-            elif name == "itemprop":
-                main |= value == "articleBody"
+                main = max(main, {"main": MAIN, "article": ARTICLE}.get(value.lower(), 0))
+            elif name == "itemprop" and value == "articleBody":
+                main = ARTICLE
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
                 out |= tag not in ("html", "body")
     return out, main
 
 
-def blocks(page: str) -> list[tuple[str, int, str, bool]]:
-    """(text, characters inside links, innermost block tag, inside the main region) of each block that isn't left out."""
-    found: list[tuple[str, int, str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, main
+Block = tuple[str, int, str, int]
+
+
+def blocks(page: str) -> list[Block]:
+    """(text, characters inside links, innermost block tag, how surely the article's own) of each block that isn't left out."""
+    found: list[Block] = []
+    stack: list[tuple[str, bool, int]] = []  # tag, left out, main
     parts: list[str] = []
     linked = links = 0
-    out, main, kind = False, False, "body"
+    out, main, kind = False, 0, "body"
 
     def flush() -> None:
         nonlocal linked
@@ -113,10 +124,10 @@ def blocks(page: str) -> list[tuple[str, int, str, bool]]:
 
     def settle() -> None:
         nonlocal out, main, kind, links
-        out, main, kind, links = False, False, "body", 0
+        out, main, kind, links = False, 0, "body", 0
         for tag, o, m in stack:
             out |= o
-            main |= m
+            main = max(main, m)
             links += tag == "a"
             if tag in BLOCKS:
                 kind = tag
@@ -170,10 +181,24 @@ def blocks(page: str) -> list[tuple[str, int, str, bool]]:
     return found
 
 
-def first_pass(text: str, linked: int, kind: str, main: bool) -> bool | None:
+def region(found: list[Block]) -> list[Block]:
+    """The blocks of the surest element that holds at least half of the text of the next less sure ones; else all.
+
+    An article in a main element is the region only if it isn't a mere teaser there, and a class name counts
+    only if most of the page's text stands under it.
+    """
+    size = lambda level: sum(len(b[0]) for b in found if b[3] >= level)
+    if size(MAIN):
+        level = ARTICLE if 2 * size(ARTICLE) >= size(MAIN) else MAIN
+    else:
+        level = CLASSED if size(CLASSED) and 2 * size(CLASSED) >= size(0) else 0
+    return [(*b[:3], level) for b in found if b[3] >= level]
+
+
+def first_pass(text: str, linked: int, kind: str, main: int) -> bool | None:
     """True: good, False: bad, None: undecided."""
     density = linked / len(text)
-    if main:
+    if main >= MAIN:
         return not (density > 0.9 and kind == "li")
     if density > LINKED:
         return False
@@ -186,7 +211,7 @@ def first_pass(text: str, linked: int, kind: str, main: bool) -> bool | None:
     return False if stops < FEW_STOPS and len(text) >= LONG and kind != "p" else None
 
 
-def second_pass(labels: list[bool | None], found: list[tuple[str, int, str, bool]]) -> list[bool]:
+def second_pass(labels: list[bool | None], found: list[Block]) -> list[bool]:
     """Undecided blocks take the label of their nearest decided neighbour."""
     n = len(labels)
     if all(x is None for x in labels):
@@ -208,9 +233,7 @@ def second_pass(labels: list[bool | None], found: list[tuple[str, int, str, bool
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks(page)
-    if any(b[3] for b in found):
-        found = [b for b in found if b[3]]
+    found = region(blocks(page))
     labels = second_pass([first_pass(*b) for b in found], found)
     return "\n".join(b[0] for b, good in zip(found, labels, strict=True) if good)
 

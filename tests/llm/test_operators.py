@@ -393,6 +393,9 @@ GOOD = "This is the text of the article and it is one that has a lot of words in
         (f"<div class=menu><a href=x>Home</a></div><p>Short.</p><p>{GOOD * 3}</p><p>Tail.</p><div class=sidebar><p>{GOOD * 3}</p></div>", f"Short.\n{(GOOD * 3).strip()}\nTail."),
         ("<p>a < b &lt;c&gt; &nbsp; x", "a < b <c> x"),
         ("<main><p>kept</p><form>no</form></main><aside>no</aside><p>outside", "kept"),
+        (f"<div id=wrap><p>{GOOD}</p><div class='post-content'><p>{GOOD * 2}</p><p>two</p></div></div>", f"{(GOOD * 2).strip()}\ntwo"),
+        (f"<main><p>{GOOD}</p><article class=teaser><p>{GOOD}</p></article><article><p>x</p></article></main>", f"{GOOD.strip()}\nx"),
+        ("<main><p>a</p><article><p>the article itself</p></article></main>", "the article itself"),
         ("<ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul>", ""),
         ("<!-- c --><style>p{}</style>" + "<p>cut off mid", "cut off mid"),
     ],
