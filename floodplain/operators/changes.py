@@ -120,11 +120,18 @@ def compact(changes: DataFrame, key: Sequence[str], order: Sequence[str]) -> Dat
 
 
 def apply_keyed(target: DataFrame, delta: DataFrame, key: Sequence[str]) -> DataFrame:
-    """`target` after a compacted delta: rows of its keys go, images of its I and U come. Applying it twice is applying it once."""
-    fields = image_of(delta, "after")
-    images = delta.where(F.col("op") != DELETE).select(*[F.col(f"after.{c}").alias(c) for c in fields])
-    rest = target.join(delta.select(*key), list(key), "left_anti").select(target.columns)
-    return rest.unionByName(images, allowMissingColumns=True).select(target.columns)
+    """`target` after a compacted delta: rows whose op is D go, images of its I and U come. Applying it twice is applying it once.
+
+    One full outer join, so the delta is computed once, and its aggregation's partitioning serves the join.
+    Columns that the images lack keep the target's values, and are null in new rows.
+    """
+    fields = set(image_of(delta, "after"))
+    new = delta.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(key)], F.col("op").alias("_op"), F.col("after").alias("_after"))
+    condition = F.lit(True)
+    for i, k in enumerate(key):
+        condition &= target[k] == new[f"_key_{i}"]
+    both = target.join(new, condition, "full_outer").where("_op is null or _op <> 'D'")
+    return both.select(*[F.when(F.col("_op").isNull(), target[c]).otherwise(F.col(f"_after.{c}")).alias(c) if c in fields else target[c].alias(c) for c in target.columns])
 
 
 def apply_keyless(target: DataFrame, changes: DataFrame, order: Sequence[str]) -> DataFrame:

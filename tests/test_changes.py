@@ -70,7 +70,7 @@ def test_keyless_bag(spark):
 def test_target_wider_than_source(spark):
     target = spark.createDataFrame([(1, "a", 9)], "id int, v string, extra int")
     delta = changes.compact(spark.createDataFrame([(0, "U", (1, "a"), (1, "b")), (1, "I", None, (2, "c"))], LOG), ["id"], ["seq"])
-    assert sorted(map(tuple, changes.apply_keyed(target, delta, ["id"]).collect())) == [(1, "b", None), (2, "c", None)]
+    assert sorted(map(tuple, changes.apply_keyed(target, delta, ["id"]).collect())) == [(1, "b", 9), (2, "c", None)]
 
 
 def test_filters_and_nulls(spark):
