@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ODD, U, mix
+from .state import small_batches
 
 Q = 8
 ERRORS = 0.1
@@ -192,7 +193,7 @@ def item_blocks(benchmark: DataFrame, errors: float, min_chars: int, block_chars
 
 def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, min_chars: int = MIN_CHARS, block_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, item_id, errors): each document with each benchmark item that occurs in it."""
-    out = None
+    docs, out = small_batches(docs), None
     for items in item_blocks(benchmark, errors, min_chars, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -210,7 +211,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, min_c
 
 def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, min_chars: int = MIN_CHARS, block_chars: int = 8_000_000) -> DataFrame:
     """The rows of docs in which no benchmark item occurs, in the same columns."""
-    kept = docs
+    kept = small_batches(docs)
     for items in item_blocks(benchmark, errors, min_chars, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
         at = docs.columns.index("text")

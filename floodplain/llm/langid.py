@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import LOWER, chunked, flat
+from .state import fresh, small_batches
 
 #: ISO 639-1 codes by family.
 FAMILY = {
@@ -179,7 +180,7 @@ def train(labelled: DataFrame, per_language: int = 300) -> Model:
     Texts are chosen by a hash of doc_id; a text's features are made on the executors, so the
     driver gets at most per_language * languages sparse vectors.
     """
-    rows = labelled.where("lang is not null and doc_id is not null and text is not null")
+    rows = small_batches(labelled).where("lang is not null and doc_id is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model.fit(np.zeros((0, 1 << BITS)), np.array([], object))
@@ -208,11 +209,9 @@ def train(labelled: DataFrame, per_language: int = 300) -> Model:
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all by default), and last the predicted language and score."""
-    from .state import fresh
-
     keep = docs.columns if keep is None else keep
     lang, score, text = fresh(docs, "lang_pred", "score", "_text")
-    source = docs.select(*[docs[c] for c in keep], docs["text"].alias(text))
+    source = small_batches(docs).select(*[docs[c] for c in keep], docs["text"].alias(text))
     schema = docs.select(*[docs[c] for c in keep]).withColumns({lang: F.lit(""), score: F.lit(0.0)}).schema
     names = [f.name for f in schema]
 

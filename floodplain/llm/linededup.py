@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BYTE_VALUE, BYTE_VALUE_2, LOWER, SPACE, chunked, flat, mix, prefix_hash, signed, span_hash
-from .state import fresh, written
+from .state import fresh, small_batches, written
 
 NEWLINE = 10
+CHUNK_BYTES = 1_000_000
 SLOTS = 4
 MAX_KICKS = 500
 
@@ -74,7 +75,7 @@ def postings(docs: DataFrame, min_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, _, data, offs in chunked(batch.column("text")):
+            for a, _, data, offs in chunked(batch.column("text"), CHUNK_BYTES):
                 k = line_keys(data, offs)
                 long = k["points"] >= min_chars
                 row, h1, h2 = k["row"][long], k["h1"][long], k["h2"][long]
@@ -84,7 +85,7 @@ def postings(docs: DataFrame, min_chars: int) -> DataFrame:
                 new[1:] = (row[1:] != row[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h1[new])), pa.array(signed(h2[new])), pa.array(ids[a + row[new]].astype(np.int64))], ["h1", "h2", "doc_id"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h1 long, h2 long, doc_id long")
+    return small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h1 long, h2 long, doc_id long")
 
 
 # ---------------------------------------------------------------- cuckoo filters
@@ -293,7 +294,7 @@ class LineIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts, lines, gone = kept_texts(batch.column("text"), batch.column(found))
+                texts, lines, gone = kept_texts(batch.column(at), batch.column(found))
                 columns = [batch.column(i) for i in range(len(names) - 2)]
                 columns[at] = texts
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lines), pa.array(gone)], names)
@@ -303,29 +304,26 @@ class LineIndex:
 
 def kept_texts(text: pa.Array, drops: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(texts without dropped lines, lines before, lines dropped); texts that lose nothing stay as they are."""
-    n = len(text)
-    lines, gone = np.ones(n, np.int64), np.zeros(n, np.int64)
+    gone = np.zeros(len(text), np.int64)
     data, offs = flat(text)
-    out: list = []
-    touched = np.flatnonzero(drops.is_valid().to_numpy(zero_copy_only=False))
-    breaks = np.r_[0, np.cumsum(data == NEWLINE)]
-    lines += breaks[offs[1:]] - breaks[offs[:-1]]
+    lines = np.diff(np.searchsorted(np.flatnonzero(data == NEWLINE), offs)) + 1
     new: dict[int, str] = {}
-    for i in touched:
+    for i in np.flatnonzero(drops.is_valid().to_numpy(zero_copy_only=False)).tolist():
         part = data[offs[i] : offs[i + 1]]
         k = line_keys(part, np.array([0, len(part)]))
-        held = drops[int(i)].values
+        held = drops[i].values
         bad = set(zip(held.field("h1").to_pylist(), held.field("h2").to_pylist(), strict=True))
         drop = np.fromiter(((x, y) in bad for x, y in zip(signed(k["h1"]).tolist(), signed(k["h2"]).tolist(), strict=True)), bool, len(k["h1"]))
         gone[i] = drop.sum()
         raw = part.tobytes()
-        new[int(i)] = b"\n".join(raw[s:e] for s, e in zip(k["start"][~drop].tolist(), k["end"][~drop].tolist(), strict=True)).decode()
+        new[i] = b"\n".join(raw[s:e] for s, e in zip(k["start"][~drop].tolist(), k["end"][~drop].tolist(), strict=True)).decode()
     if not new:
         return text, lines, gone
-    out = text.to_pylist()
-    for i, value in new.items():
-        out[i] = value
-    return pa.array(out, text.type), lines, gone
+    parts, last = [], 0
+    for i, value in sorted(new.items()):
+        parts += [text.slice(last, i - last), pa.array([value], text.type)]
+        last = i + 1
+    return pa.concat_arrays([*parts, text.slice(last)]), lines, gone
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

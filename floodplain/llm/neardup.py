@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import setsketch
 from .blocks import ODD, U, mix, shingle_sets, signed
 from .components import connected
-from .state import written
+from .state import small_batches, written
 
 WIDTH = 5
 SALTS = 64
@@ -234,6 +234,7 @@ class _Block:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text); see the module."""
+    docs = small_batches(docs)
     rows = band_rows(percent)
     own = written(sketches(docs, width), "near-sketches")
     solid = own.where("n > 0 and doc_id is not null")

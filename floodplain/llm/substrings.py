@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BYTE_VALUE, chunked, flat, prefix_hash, signed, span_hash
 from .bwt import repeated
-from .state import written
+from .state import small_batches, written
 
 WIDTH = 200
 GRAM = 100
@@ -194,7 +194,7 @@ def covered(rows: DataFrame, split: int = 4096) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, split: int = 4096, with_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs (doc_id, text), and kept, the remaining bytes."""
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    rows = small_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     cover = covered(rows.select("row", "text"), split).groupBy("row").agg(F.collect_list(F.struct("first", "windows")).alias("cover"))
     joined = rows.join(cover.hint("merge"), "row", "left").select("doc_id", "text", "cover")
     schema = rows.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.lit("").alias("kept_sha256"), *[F.lit(b"").alias("kept")] * with_bytes).schema

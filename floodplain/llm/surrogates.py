@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .state import fresh, written
+from .state import fresh, small_batches, written
 
 # Forms of address and common first names by gender, and surnames to draw from, by script.
 TITLES_M = "Mr Mister Sir Herr Monsieur Señor Sr Signor Don"
@@ -272,6 +272,7 @@ def replaced(text: str, new: dict[tuple[str, str], str]) -> tuple[str, int]:
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """The columns of docs, `text` with surrogates for all entities, and last the number of mentions."""
+    docs = small_batches(docs)
     row_key, found, count = fresh(docs, "_row", "_found", "_mentions")
     own = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
     seen = written(entities(docs.select(own.alias("row_key"), docs["text"].alias("text"))), "pii-mentions")
