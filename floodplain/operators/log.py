@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,10 +88,6 @@ def new_epochs(events: DataFrame, server: str = "server_uuid") -> DataFrame:
     return events.withColumn("_c", changed).withColumn("new_epoch", F.sum("_c").over(w)).drop("_c")
 
 
-def location_key(prefix: str = "") -> Sequence[Column]:
-    return [F.col(prefix + c) for c in LOCATION]
-
-
 def barrier_epochs(changes: DataFrame, ddls: DataFrame) -> DataFrame:
     """changes with `ddl_epoch`, the number of their table's DDLs before them: rows of one epoch have one schema.
 

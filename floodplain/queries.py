@@ -55,6 +55,11 @@ log AS (
 """
 
 
+def _text(df: DataFrame, *arrays: str) -> DataFrame:
+    """Arrays as texts."""
+    return df.withColumns({c: F.array_join(c, ",") for c in arrays})
+
+
 def flat(df: DataFrame, *extra: str) -> DataFrame:
     """seq, op and user_id of changes."""
     return df.select("seq", "op", F.coalesce("after.user_id", "before.user_id").alias("user_id"), *extra)
@@ -180,15 +185,15 @@ def route_schema_only(spark, sf_dir):
     return rules.route(rows, (Route("SHARD*", "", "target"),)).select("r_name", "target_schema", "target_table")
 
 
-@query("SELECT 'merged' AS target_schema, 'events' AS target_table, ['app.events_1', 'app.events_2', 'app.events_3'] AS sources")
+@query("SELECT 'merged' AS target_schema, 'events' AS target_table, 'app.events_1,app.events_2,app.events_3' AS sources")
 def target_groups(spark, sf_dir):
     names = changelog(spark, sf_dir).select("src_schema", "src_table").distinct()
-    return rules.target_tables(names, ALLOW, (Route("app", "events_*", "merged", "events"),))
+    return _text(rules.target_tables(names, ALLOW, (Route("app", "events_*", "merged", "events"),)), "sources")
 
 
-@query("SELECT 'a.t' AS folded, 2::BIGINT AS n, ['A.t', 'a.T'] AS names")
+@query("SELECT 'a.t' AS folded, 2::BIGINT AS n, 'A.t,a.T' AS names")
 def same_target_name(spark, sf_dir):
-    return rules.same_target_name(spark.createDataFrame([("a", "T"), ("A", "t"), ("b", "t"), ("a", "T")], "target_schema string, target_table string"))
+    return _text(rules.same_target_name(spark.createDataFrame([("a", "T"), ("A", "t"), ("b", "t"), ("a", "T")], "target_schema string, target_table string")), "names")
 
 
 @query("SELECT * FROM (VALUES ('_t_gho','shadow','t'),('_t_new','shadow','t'),('_t_ghc','trash','t'),('_t_old','trash','t'),('t','real','t'),('_t_x','real','_t_x')) AS v(src_table, kind, real_name)")
@@ -265,12 +270,12 @@ def add_prefix(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, ((-o_orderkey % 128) + 256) % 256 AS u8, ((-o_orderkey % 30000) + 65536) % 65536 AS u16, (-o_orderkey + 4294967296) % 4294967296 AS u32,
-CASE WHEN o_orderkey = 0 THEN 0 ELSE 18446744073709551616::DECIMAL(20,0) - o_orderkey END::DECIMAL(20,0) AS u64 FROM orders""")
+CASE WHEN o_orderkey = 0 THEN 0 ELSE 18446744073709551616::DECIMAL(20,0) - o_orderkey END::DECIMAL(20,0)::VARCHAR AS u64 FROM orders""")
 def unsigned_cast(spark, sf_dir):
     k = F.col("o_orderkey")
     minus = lambda m, t: F.expr(f"cast(-o_orderkey % {m} as {t})")
     rows = read(spark, sf_dir, "orders").select("o_orderkey", minus(128, "byte").alias("a"), minus(30000, "short").alias("b"), (-k).cast("int").alias("c"), (-k).alias("d"))
-    return rows.select("o_orderkey", values.unsigned(F.col("a"), "tinyint").alias("u8"), values.unsigned(F.col("b"), "smallint").alias("u16"), values.unsigned(F.col("c"), "int").alias("u32"), values.unsigned(F.col("d"), "bigint").alias("u64"))
+    return rows.select("o_orderkey", values.unsigned(F.col("a"), "tinyint").alias("u8"), values.unsigned(F.col("b"), "smallint").alias("u16"), values.unsigned(F.col("c"), "int").alias("u32"), values.unsigned(F.col("d"), "bigint").cast("string").alias("u64"))
 
 
 @query("SELECT -4692783 AS v, 12084433::BIGINT AS unsigned")
@@ -411,11 +416,11 @@ def unique_violations(spark, sf_dir):
 ORDERS = Table(("o_orderkey", "o_custkey", "o_orderstatus", "o_note"), frozenset({"o_note", "o_orderstatus"}), (Key(("o_orderkey",), True), Key(("o_custkey", "o_note")), Key(("o_note",))))
 
 
-@query("""SELECT o_orderkey, list_filter([o_orderkey || '.o_orderkey.orders', concat_ws('.', o_custkey || '.o_custkey', note || '.o_note') || '.orders', note || '.o_note.orders'], lambda x: x IS NOT NULL) AS keys
+@query("""SELECT o_orderkey, array_to_string(list_filter([o_orderkey || '.o_orderkey.orders', concat_ws('.', o_custkey || '.o_custkey', note || '.o_note') || '.orders', note || '.o_note.orders'], lambda x: x IS NOT NULL), ' ') AS keys
 FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS note FROM orders)""")
 def causality_keys(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").withColumn("o_note", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")))
-    return rows.select("o_orderkey", changes.row_keys(rows, ORDERS, table_name=F.lit("orders")).alias("keys"))
+    return rows.select("o_orderkey", F.array_join(changes.row_keys(rows, ORDERS, table_name=F.lit("orders")), " ").alias("keys"))
 
 
 @query("SELECT * FROM (VALUES (0,'insert'),(1,'insert'),(2,'update'),(3,'delete'),(4,'conflict'),(5,'insert')) AS t(i, job)")
@@ -522,10 +527,10 @@ def global_clamp(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", monitor.clamped(F.col("o_orderkey"), lowest).alias("location"))
 
 
-@query("SELECT n_regionkey::VARCHAR AS target, list_sort(coalesce(list(n_name) FILTER (WHERE n_nationkey % 2 = 0), [])) AS synced, list_sort(list(n_name) FILTER (WHERE n_nationkey % 2 = 1)) AS unsynced FROM nation GROUP BY 1 HAVING count(*) FILTER (WHERE n_nationkey % 2 = 1) > 0")
+@query("SELECT n_regionkey::VARCHAR AS target, coalesce(string_agg(n_name, ',' ORDER BY n_name) FILTER (WHERE n_nationkey % 2 = 0), '') AS synced, string_agg(n_name, ',' ORDER BY n_name) FILTER (WHERE n_nationkey % 2 = 1) AS unsynced FROM nation GROUP BY 1 HAVING count(*) FILTER (WHERE n_nationkey % 2 = 1) > 0")
 def unresolved_groups(spark, sf_dir):
     rows = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("target"), F.col("n_name").alias("member"), (F.col("n_nationkey") % 2 == 0).alias("synced"))
-    return monitor.unresolved_groups(rows)
+    return _text(monitor.unresolved_groups(rows), "synced", "unsynced")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS passed, count(*) FILTER (WHERE o_orderstatus = 'O') AS failed, count(*) FILTER (WHERE o_orderstatus = 'P') AS warned, count(*) FILTER (WHERE o_orderstatus = 'O') = 0 AS ok FROM orders")
