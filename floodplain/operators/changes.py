@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DELETE, INSERT, UPDATE, Table, image_of
@@ -134,7 +134,7 @@ def apply_keyed(target: DataFrame, delta: DataFrame, key: Sequence[str]) -> Data
     return both.select(*[F.when(F.col("_op").isNull(), target[c]).otherwise(F.col(f"_after.{c}")).alias(c) if c in fields else target[c].alias(c) for c in target.columns])
 
 
-def apply_keyless(target: DataFrame, changes: DataFrame, order: Sequence[str]) -> DataFrame:
+def apply_keyless(target: DataFrame, changes: DataFrame) -> DataFrame:
     """`target`, a table without a key, after changes: a delete takes one of the equal rows, not all of them.
 
     Row counts by whole-row value are enough: deletes and inserts of one value commute as long as
@@ -143,18 +143,23 @@ def apply_keyless(target: DataFrame, changes: DataFrame, order: Sequence[str]) -
     columns = target.columns
     gone = changes.where(F.col("op").isin(DELETE, UPDATE)).select(*[F.col(f"before.{c}").alias(c) for c in columns], F.lit(-1).cast("long").alias("_n"))
     came = changes.where(F.col("op").isin(INSERT, UPDATE)).select(*[F.col(f"after.{c}").alias(c) for c in columns], F.lit(1).cast("long").alias("_n"))
-    summed = target.withColumn("_n", F.lit(1).cast("long")).unionByName(came).unionByName(gone).groupBy(*columns).agg(F.sum("_n").alias("_n"))
-    return summed.where("_n > 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_i")).drop("_i")
+    return _counted(target.withColumn("_n", F.lit(1).cast("long")).unionByName(came).unionByName(gone), columns)
 
 
 def delete_one(target: DataFrame, deletes: DataFrame) -> DataFrame:
-    """`target` without one of its equal rows for each row of deletes (same columns); an anti join on values and numbers."""
-    w = Window.partitionBy(*target.columns).orderBy(F.lit(1))
-    left, right = target.withColumn("_n", F.row_number().over(w)), deletes.withColumn("_n", F.row_number().over(w))
-    condition = left["_n"] == right["_n"]
-    for c in target.columns:
-        condition &= left[c].eqNullSafe(right[c])
-    return left.join(right, condition, "left_anti").drop("_n")
+    """`target` without one of its equal rows for each row of deletes (same columns)."""
+    gone = deletes.select(*target.columns, F.lit(-1).cast("long").alias("_n"))
+    return _counted(target.withColumn("_n", F.lit(1).cast("long")).unionByName(gone), target.columns)
+
+
+def _counted(rows: DataFrame, columns: Sequence[str], at_once: int = 4096) -> DataFrame:
+    """Each value as often as its counts add up to. Counts add up before the shuffle; a value with very many copies is dealt out in pieces."""
+    summed = rows.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n > 0")
+    pieces = summed.select(*columns, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / at_once))).alias("_piece"))
+    size = F.least(F.col("_n") - F.col("_piece") * at_once, F.lit(at_once))
+    few = pieces.where(f"_n <= {at_once}").select(*columns, size.alias("_size"))
+    many = pieces.where(f"_n > {at_once}").select(*columns, size.alias("_size"), "_piece").repartition("_piece", *columns).drop("_piece")
+    return few.unionByName(many).select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "_size")).alias("_i")).drop("_i")
 
 
 def unique_violations(target: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..model import LOCATION, location
@@ -25,10 +25,26 @@ def without_replays(changes: DataFrame) -> DataFrame:
     return changes.dropDuplicates(["src_id", *LOCATION])
 
 
+def by_file(changes: DataFrame, **sums: Column) -> DataFrame:
+    """(src_id, epoch, file_seq) with, for each sum, its total over the source's earlier files.
+
+    Running sums over a source's log are made file by file from these: one row a file is little, and no
+    task ever holds a source's whole log.
+    """
+    files = changes.groupBy("src_id", "epoch", "file_seq").agg(*[v.alias(k) for k, v in sums.items()])
+    w = Window.partitionBy("src_id").orderBy("epoch", "file_seq").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("src_id", "epoch", "file_seq", *[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in sums])
+
+
+def in_file() -> WindowSpec:
+    return Window.partitionBy("src_id", "epoch", "file_seq").orderBy("pos", "row_idx")
+
+
 def skip_rows(changes: DataFrame, consumed: DataFrame) -> DataFrame:
     """Without the first `n` row events of each (src_id), which an earlier run has consumed."""
-    w = Window.partitionBy("src_id").orderBy(*LOCATION)
-    return changes.withColumn("_n", F.row_number().over(w)).join(consumed.select("src_id", F.col("n").alias("_skip")), "src_id", "left").where(F.col("_n") > F.coalesce("_skip", F.lit(0))).drop("_n", "_skip")
+    before = by_file(changes, _before=F.count("*")).join(consumed.select("src_id", F.col("n").alias("_skip")), "src_id", "left")
+    rows = changes.join(before, ["src_id", "epoch", "file_seq"])
+    return rows.withColumn("_n", F.row_number().over(in_file())).where(F.col("_before") + F.col("_n") > F.coalesce("_skip", F.lit(0))).drop("_n", "_before", "_skip")
 
 
 def committed(changes: DataFrame) -> DataFrame:
@@ -67,8 +83,12 @@ def first_file_with(index: DataFrame, gtid: Column, contains) -> DataFrame:
 
 def running_gtid(changes: DataFrame) -> DataFrame:
     """(src_id, location, last_gtid): how far each source's numbers go at each event."""
-    w = Window.partitionBy("src_id").orderBy(*LOCATION).rowsBetween(Window.unboundedPreceding, 0)
-    return changes.select("src_id", *LOCATION, F.max(F.col("txn_id").cast("long")).over(w).alias("last_gtid"))
+    number = F.col("txn_id").cast("long")
+    files = changes.groupBy("src_id", "epoch", "file_seq").agg(F.max(number).alias("_top"))
+    earlier = Window.partitionBy("src_id").orderBy("epoch", "file_seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select("src_id", "epoch", "file_seq", F.max("_top").over(earlier).alias("_top"))
+    upto = F.max(number).over(in_file().rowsBetween(Window.unboundedPreceding, 0))
+    return changes.join(before, ["src_id", "epoch", "file_seq"]).select("src_id", *LOCATION, F.greatest(upto, F.col("_top")).alias("last_gtid"))
 
 
 def schema_as_of(changes: DataFrame, versions: DataFrame) -> DataFrame:
@@ -82,10 +102,15 @@ def schema_as_of(changes: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def new_epochs(events: DataFrame, server: str = "server_uuid") -> DataFrame:
-    """events with `new_epoch`, how often the server has changed up to them (from 1)."""
-    w = Window.partitionBy("src_id").orderBy("seq")
-    changed = F.coalesce((F.lag(server).over(w) != F.col(server)).cast("int"), F.lit(1))
-    return events.withColumn("_c", changed).withColumn("new_epoch", F.sum("_c").over(w)).drop("_c")
+    """events with `new_epoch`, how often the server of their source has changed up to them (from 1)."""
+    files = events.groupBy("src_id", "epoch", "file_seq").agg(F.max_by(server, F.struct("pos", "row_idx")).alias("_last"))
+    in_order = Window.partitionBy("src_id").orderBy("epoch", "file_seq")
+    previous = files.select("src_id", "epoch", "file_seq", F.lag("_last").over(in_order).alias("_previous"))
+    rows = events.join(previous, ["src_id", "epoch", "file_seq"]).withColumn("_was", F.coalesce(F.lag(server).over(in_file()), F.col("_previous")))
+    rows = rows.withColumn("_c", F.coalesce((F.col("_was") != F.col(server)).cast("int"), F.lit(1))).drop("_was", "_previous")
+    before = by_file(rows, _before=F.sum("_c"))
+    out = rows.join(before, ["src_id", "epoch", "file_seq"])
+    return out.withColumn("new_epoch", F.col("_before") + F.sum("_c").over(in_file().rowsBetween(Window.unboundedPreceding, 0))).drop("_c", "_before")
 
 
 def barrier_epochs(changes: DataFrame, ddls: DataFrame) -> DataFrame:

@@ -397,7 +397,7 @@ def apply_keyless(spark, sf_dir):
     none = F.lit(None).cast("struct<l_orderkey:bigint,l_linenumber:int>")
     gone = rows.where("l_quantity > 25").select(F.lit("D").alias("op"), image.alias("before"), none.alias("after"))
     came = rows.where("l_quantity < 3").select(F.lit("I").alias("op"), none.alias("before"), image.alias("after"))
-    return changes.apply_keyless(rows.drop("l_quantity"), gone.unionByName(came), []).withColumn("z", F.lit(0).cast("long"))
+    return changes.apply_keyless(rows.drop("l_quantity"), gone.unionByName(came)).withColumn("z", F.lit(0).cast("long"))
 
 
 @query("""WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 25), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber) AS r FROM (SELECT l_orderkey, l_linenumber FROM lineitem))

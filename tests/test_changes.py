@@ -63,10 +63,15 @@ def test_compaction_table(spark, ops, exp):
 def test_keyless_bag(spark):
     t = spark.createDataFrame([(1, None), (1, None), (1, None), (2, "b")], "id int, v string")
     log = spark.createDataFrame([(0, "D", (1, None), None), (1, "U", (2, "b"), (1, None)), (2, "D", (1, None), None)], LOG)
-    assert sorted(map(tuple, changes.apply_keyless(t, log, ["seq"]).collect())) == [(1, None), (1, None)]
+    assert sorted(map(tuple, changes.apply_keyless(t, log).collect())) == [(1, None), (1, None)]
     assert changes.delete_one(t, spark.createDataFrame([(1, None)], "id int, v string")).count() == 3
 
 
+def test_very_many_equal_rows(spark):
+    t = spark.range(10_000).select(F.lit(7).alias("id"), F.lit(None).cast("string").alias("v"))
+    assert changes.delete_one(t, t.limit(100)).groupBy("id", "v").count().first()["count"] == 9_900
+
+
 def test_target_wider_than_source(spark):
     target = spark.createDataFrame([(1, "a", 9)], "id int, v string, extra int")
     delta = changes.compact(spark.createDataFrame([(0, "U", (1, "a"), (1, "b")), (1, "I", None, (2, "c"))], LOG), ["id"], ["seq"])
