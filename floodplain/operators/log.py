@@ -62,8 +62,8 @@ def holes(events: DataFrame) -> DataFrame:
 
 def purgeable(files: DataFrame, readers: DataFrame, rule: Column) -> DataFrame:
     """Files (epoch, seq, ...) that a rule lets go, before the earliest active reader's file."""
-    earliest = readers.agg(F.min(F.struct("epoch", "seq")).alias("_first"))
-    return files.crossJoin(F.broadcast(earliest)).where(F.col("_first").isNull() | (F.struct("epoch", "seq") < F.col("_first"))).where(rule).drop("_first")  # one row: an aggregate
+    earliest = readers.agg(F.min(F.struct("epoch", "seq")).alias("first")).scalar()
+    return files.where(earliest.isNull() | (F.struct("epoch", "seq") < earliest)).where(rule)
 
 
 def purge_rule(free_bytes: Column, keep_bytes: int, modified: Column, now: Column, expire_seconds: int) -> Column:

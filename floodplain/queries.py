@@ -477,10 +477,9 @@ def job_counts(spark, sf_dir):
 @query(f"WITH {LOG}, f AS (SELECT user_id % 16 AS w, min(ts) AS ts FROM log WHERE seq > 5 GROUP BY 1) SELECT (floor(epoch((SELECT max(ts) FROM log))) - 2 - floor(epoch(min(ts))))::BIGINT AS lag FROM f")
 def lag_min_ts(spark, sf_dir):
     rows = changelog(spark, sf_dir)
-    now = rows.agg(F.max("ts").alias("now"))
+    now = rows.agg(F.max("ts").cast("timestamp").alias("now")).scalar()
     flight = rows.where("seq > 5").select((F.coalesce("after.user_id", "before.user_id") % 16).alias("worker"), F.col("ts").cast("timestamp").alias("ts"))
-    first = flight.groupBy("worker").agg(F.min("ts").alias("ts")).crossJoin(F.broadcast(now))  # one row beside one for each worker
-    return first.groupBy("now").agg((F.unix_timestamp(F.col("now").cast("timestamp")) - 2 - F.unix_timestamp(F.min("ts"))).alias("lag")).select("lag")
+    return monitor.lag_seconds(flight, now, 2)
 
 
 @query(f"""WITH {LOG}, s AS (SELECT (floor(epoch(ts) / 3600) * 3600)::BIGINT AS start, count(*) AS n FROM log GROUP BY 1)
@@ -492,8 +491,8 @@ def tps_recent(spark, sf_dir):
 @query(f"WITH {LOG}, f AS (SELECT sum(CASE WHEN file_seq > 2 THEN 1000 ELSE 0 END)::BIGINT AS remaining, sum(CASE WHEN file_seq = 2 THEN 1000 ELSE 0 END)::BIGINT AS recent FROM (SELECT DISTINCT file_seq FROM log)) SELECT remaining, CASE WHEN recent > 0 THEN ceil(remaining * 30 / recent)::BIGINT END AS eta FROM f")
 def eta_remaining(spark, sf_dir):
     sizes = changelog(spark, sf_dir).select("file_seq").distinct().select(F.col("file_seq").alias("seq"), F.lit(1000).alias("size"))
-    out = monitor.remaining_bytes(sizes, 2, 1000).crossJoin(sizes.where("seq = 2").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("recent")))  # one row each
-    return out.select("remaining", monitor.eta_seconds(F.col("remaining"), F.col("recent"), F.lit(30)).cast("long").alias("eta"))
+    recent = sizes.where("seq = 2").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("recent")).scalar()
+    return monitor.remaining_bytes(sizes, 2, 1000).select("remaining", monitor.eta_seconds(F.col("remaining"), recent, F.lit(30)).cast("long").alias("eta"))
 
 
 _LOADED = "files AS (SELECT 't' || (p_partkey % 7) AS src_table, p_partkey AS filename, CASE WHEN p_partkey % 7 = 6 THEN 0 ELSE p_size END AS end_pos, CASE WHEN p_partkey % 7 = 6 THEN 0 WHEN p_partkey % 7 < 3 THEN p_size ELSE p_size // 2 END AS off FROM part)"
