@@ -87,14 +87,14 @@ def gtid_equal(a: Column, b: Column) -> Column:
 
 
 def gtid_truncated(set_: Column, end: Column) -> Column:
-    """Each server's intervals cut at the end that `end` (another set) has for it; servers that it doesn't have stay."""
+    """Each server's intervals cut at the end that `end` (another set) has for it; servers that it doesn't have stay, those without intervals go."""
 
     def cut(server: Column, spans: Column) -> Column:
         limit = F.array_max(F.transform(F.try_element_at(end, server), lambda s: s["hi"]))
         short = F.filter(F.transform(spans, lambda s: F.struct(s["lo"].alias("lo"), F.least(s["hi"], limit).alias("hi"))), lambda s: s["lo"] <= s["hi"])
         return F.when(limit.isNull(), spans).otherwise(short)
 
-    return F.transform_values(set_, cut)
+    return F.map_filter(F.transform_values(set_, cut), lambda _, spans: F.size(spans) > 0)
 
 
 def gtid_replaced(set_: Column, other: Column) -> Column:
