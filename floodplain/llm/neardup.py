@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import setsketch
 from .blocks import ODD, U, mix, shingle_sets, signed
 from .components import connected
-from .state import small_batches, written
+from .state import dropped, small_batches, written
 
 WIDTH = 5
 SALTS = 64
@@ -242,19 +242,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     named = written(own.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "near-named")
     reps = solid.join(classes, ["d1", "d2", "n"], "left").where("rep is null or rep = doc_id").select("doc_id", "n", "regs")
     reps = written(reps, "near-reps")
+    dropped(own)
     buckets = written(
         bands(reps, rows).groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("first")).where("size > 1").select("band", F.col("first.doc_id").alias("centre"), F.col("first.n").alias("centre_n")),
         "near-buckets",
     )
     members = written(bands(reps, rows).join(buckets, "band"), "near-members")
+    dropped(classes, buckets)
     stars = members.where(F.col("doc_id") != F.col("centre")).where(_sizes_allow("n", "centre_n", percent)).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
     ids = members.select(F.col("doc_id").alias("id")).distinct().hint("merge")
     texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "near-texts")
-    links = written(verified(written(plausible(stars, reps, percent), "near-stars"), texts, percent, width), "near-links")
+    pairs = written(plausible(stars, reps, percent), "near-stars")
+    links = written(verified(pairs, texts, percent, width), "near-links")
     parts = written(connected(links), "near-parts")
     more = written(left_over(members, parts, reps, texts, percent, width), "near-more")
+    dropped(pairs, members, reps, texts)
     if not more.isEmpty():
-        parts = written(connected(links.unionByName(more)), "near-parts")
+        before, parts = parts, written(connected(links.unionByName(more)), "near-parts")
+        dropped(before)
+    dropped(links, more)
     out = named.join(parts.toDF("rep", "component_id"), "rep", "left")
     component = F.coalesce("component_id", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -105,6 +105,37 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.two_domains(), WEIGHTS)
 
 
+def _split_budget(rows: str, parent: str, child: str) -> str:
+    """SQL for the budgets of siblings: those that fill up first, in the order of capacity by weight, then the rest by weight."""
+    return f"""SELECT {parent}, {child}, CASE WHEN c <= (b - before_c) * w / (all_w - before_w) THEN c
+       ELSE (b - coalesce(max(CASE WHEN c <= (b - before_c) * w / (all_w - before_w) THEN before_c + c END) OVER p, 0)) * w
+            / (all_w - coalesce(max(CASE WHEN c <= (b - before_c) * w / (all_w - before_w) THEN before_w + w END) OVER p, 0)) END AS b
+FROM (SELECT *, coalesce(sum(c) OVER o, 0)::DOUBLE AS before_c, coalesce(sum(w) OVER o, 0)::DOUBLE AS before_w, sum(w) OVER (PARTITION BY {parent})::DOUBLE AS all_w FROM ({rows})
+      WINDOW o AS (PARTITION BY {parent} ORDER BY c / w, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WINDOW p AS (PARTITION BY {parent})"""
+
+
+def _weight(path: tuple[str, ...]) -> str:
+    """SQL for the weight of a node whose path's columns are `path`."""
+    cases = [f"WHEN {' AND '.join(f"{c} = '{v}'" for c, v in zip(path, key, strict=True))} THEN {w}" for key, w in WEIGHTS.items() if len(key) == len(path)]
+    return f"CASE {' '.join(cases)} ELSE 1 END::DOUBLE"
+
+
+OP7_SQL = f"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(lang, 'none') AS l, coalesce(source, 'none') AS s,
+         CASE WHEN regexp_matches(source, '[02468]$') THEN 'web' WHEN regexp_matches(source, '[13579]$') THEN 'books' ELSE 'other' END AS d,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+leaf AS (SELECT d, l, s, sum(n_tokens) AS t FROM d WHERE n_tokens > 0 GROUP BY ALL),
+one AS (SELECT 0 AS root, round_even(0.5 * sum(t)::DOUBLE, 0)::DOUBLE AS b FROM leaf),
+first AS ({_split_budget(f"SELECT root, d, {_weight(('d',))} AS w, 2 * t::DOUBLE AS c, b FROM (SELECT d, sum(t) AS t FROM leaf GROUP BY 1), one", "root", "d")}),
+second AS ({_split_budget(f"SELECT d, l, {_weight(('d', 'l'))} AS w, 2 * t::DOUBLE AS c, b FROM (SELECT d, l, sum(t) AS t FROM leaf GROUP BY 1, 2) JOIN (SELECT d, b FROM first) USING (d)", "d", "l")}),
+third AS ({_split_budget(f"SELECT d || '/' || l AS dl, d, l, s, {_weight(('d', 'l', 's'))} AS w, 2 * t::DOUBLE AS c, b FROM leaf JOIN (SELECT d, l, b FROM second) USING (d, l)", "dl", "s")}),
+taken AS (SELECT doc_id, lang, source, epoch, n_tokens, d || '/' || l AS dl, s, md5('17:' || epoch || ':' || doc_id) AS place FROM d, (SELECT unnest([0, 1])::INT AS epoch) WHERE n_tokens > 0),
+placed AS (SELECT *, epoch * sum(n_tokens) OVER (PARTITION BY dl, s, epoch) + coalesce(sum(n_tokens) OVER (PARTITION BY dl, s, epoch ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM taken)
+SELECT doc_id, lang, source, epoch, n_tokens FROM placed JOIN third USING (dl, s) WHERE before < floor(b + 0.5)
+"""
+
+
 def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
@@ -149,4 +180,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_html_text": op10_html_text,
 }
-SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op2_exact_topk": OP2_SQL, "op3_repeated_substrings": OP3_SQL, "op6_line_dedup": OP6_SQL, "op8_chat_rotation": OP8_SQL}
+SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op2_exact_topk": OP2_SQL, "op3_repeated_substrings": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_source_mixing": OP7_SQL, "op8_chat_rotation": OP8_SQL}

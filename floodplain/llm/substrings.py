@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BYTE_VALUE, chunked, flat, prefix_hash, signed, span_hash
 from .bwt import repeated
-from .state import small_batches, written
+from .state import dropped, small_batches, written
 
 WIDTH = 200
 GRAM = 100
@@ -179,6 +179,7 @@ def covered(rows: DataFrame, split: int = 4096) -> DataFrame:
     )
     freed(spark)
     shared = written(found.join(anchors.hint("merge"), "anchor"), "bwt-shared")
+    dropped(anchors)
     freed(spark)
     mixed = shared.where("not one").drop("twice")
     variants = written(mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "windows")).alias("at"), F.first("inner").alias("inner")), "bwt-variants")
@@ -188,6 +189,7 @@ def covered(rows: DataFrame, split: int = 4096) -> DataFrame:
     pieces = written(cut_out(rows, asked.groupBy("row").agg(F.collect_list("piece").alias("pieces")).hint("merge"), split), "bwt-pieces")
     freed(spark)
     part = written(repeats(pieces), "bwt-parts")
+    dropped(pieces)
     freed(spark)
     return whole.unionByName(part)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .state import fresh, small_batches, written
+from .state import dropped, fresh, small_batches, written
 
 # Forms of address and common first names by gender, and surnames to draw from, by script.
 TITLES_M = "Mr Mister Sir Herr Monsieur Señor Sr Signor Don"
@@ -59,7 +59,7 @@ PATTERNS = {
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?<![\d.\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\w.\-])(?:\+\d{1,3}[ .\-/]?)?(?:\(\d{1,4}\)[ .\-/]?)\d{2,4}(?:[ .\-/]?\d{2,4}){1,4}(?![\w\-])|(?<![\w.\-])\+\d{1,3}(?:[ .\-/]?\d{2,4}){2,5}(?![\w\-])|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])|(?<![\w.\-])0\d{1,4}[ /\-]\d{3,8}(?:[ \-]\d{2,5})?(?![\w\-])",
+    "phone": r"(?<![\w.\-])(?:\+\d{1,3}[ .\-/]?)?(?:\(\d{1,4}\)[ .\-/]?)\d{2,4}(?:[ .\-/]?\d{2,4}){1,4}(?![\w\-])|(?<![\w.\-])\+\d{1,3}(?:[ .\-/]?\d{2,4}){2,5}(?![\w\-])|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])|(?<![\w.\-])0\d{2,4}[ /\-]\d{4,8}(?:[ \-]\d{2,5})?(?![\w\-])",
 }
 NUMBERS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 _title = "|".join((TITLES_M + " " + TITLES_F + " " + TITLES_N).split())
@@ -255,8 +255,9 @@ def assign(found: DataFrame, key: bytes, max_draws: int = 60) -> DataFrame:
             free = free.join(done.select("kind", "new"), ["kind", "new"], "left_anti")
         first = free.groupBy("kind", "new").agg(F.min("canon").alias("canon")).select("kind", "canon", "new")
         good = written(first if done is None else done.unionByName(first), "pii-surrogates")
-        done = good
-        waiting = written(waiting.join(done.select("kind", "canon"), ["kind", "canon"], "left_anti"), "pii-waiting")
+        rest = written(waiting.join(good.select("kind", "canon"), ["kind", "canon"], "left_anti"), "pii-waiting")
+        dropped(made, *[x for x in (done, waiting) if x is not None and x is not found])
+        done, waiting = good, rest
         if waiting.isEmpty():
             return done
     raise ValueError(f"no unique surrogates after {max_draws} draws; entities of one format outnumber the format's values")
