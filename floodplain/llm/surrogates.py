@@ -56,10 +56,10 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
     "mac": r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b",
     "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})+(?![\w:])",
-    "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "card": r"(?<![\d.\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?![\d\-])",
+    "ipv4": r"(?<!\d)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "card": r"(?<!\d)(?<!\d[.\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?!\d|-\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\w.\-])(?:\+\d{1,3}[ .\-/]?)?(?:\(\d{1,4}\)[ .\-/]?)\d{2,4}(?:[ .\-/]?\d{2,4}){1,4}(?![\w\-])|(?<![\w.\-])\+\d{1,3}(?:[ .\-/]?\d{2,4}){2,5}(?![\w\-])|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])|(?<![\w.\-])0\d{2,4}[ /\-]\d{4,8}(?:[ \-]\d{2,5})?(?![\w\-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-/]?)?(?:\(\d{1,4}\)[ .\-/]?)\d{2,4}(?:[ .\-/]?\d{2,4}){1,4}(?!\w|-\d)|(?<![\w+])\+\d{1,3}(?:[ .\-/]?\d{2,4}){2,5}(?!\w|-\d)|(?<!\w)(?<!\d[.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?!\w|-\d)|(?<!\w)(?<!\d[.\-])0\d{2,4}[ /\-]\d{4,8}(?:[ \-]\d{2,5})?(?!\w|-\d)",
 }
 NUMBERS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 _title = "|".join((TITLES_M + " " + TITLES_F + " " + TITLES_N).split())
