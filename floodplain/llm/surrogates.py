@@ -64,8 +64,9 @@ PATTERNS = {
 NUMBERS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 _title = "|".join((TITLES_M + " " + TITLES_F + " " + TITLES_N).split())
 _first = "|".join((FIRST_M + " " + FIRST_F).split())
-NAMES = re.compile(rf"\b(?:(?P<title>{_title})\.?[ ](?P<name>{NAME_PART}(?:[ ]{NAME_PART})?)|(?P<given>{_first})[ ](?P<family>{NAME_PART}))\b")
-HINT = re.compile(r"[@\d]|(?i:key|secret|token|passw|pwd|bearer|auth)")
+NAMES = re.compile(rf"\b(?=[{UPPER}])(?:(?P<title>{_title})\.?[ ](?P<name>{NAME_PART}(?:[ ]{NAME_PART})?)|(?P<given>{_first})[ ](?P<family>{NAME_PART}))\b")
+#: A text without any of these has no entity but names.
+HINT, KEY_STARTS = re.compile(r"[@\d:=_]"), ("AKIA", "AIza", "sk-", "xox", "glpat-")
 
 _man, _woman = frozenset(FIRST_M.split()), frozenset(FIRST_F.split())
 
@@ -92,7 +93,7 @@ def mentions(text: str | None) -> list[Mention]:
     if not text:
         return []
     found: list[Mention] = []
-    if HINT.search(text):
+    if HINT.search(text) or any(k in text for k in KEY_STARTS):
         for m in NUMBERS.finditer(text):
             kind = m.lastgroup
             if m["secret"]:
