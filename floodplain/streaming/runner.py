@@ -30,9 +30,10 @@ class Task:
     mapping: Callable[[DataFrame], DataFrame] | None = None
     after_batch: Sequence[Callable[[DataFrame, int], None]] = ()
 
-    def changes(self, log: DataFrame) -> DataFrame:
-        """In the order of the row path: names, events, column mapping, expressions, target names."""
-        rows = without_replays(allow(log, self.allow))
+    def changes(self, log: DataFrame, once: bool = True) -> DataFrame:
+        """In the order of the row path: names, events, column mapping, expressions, target names. `once` takes one copy of each event."""
+        rows = allow(log, self.allow)
+        rows = without_replays(rows) if once else rows
         if self.events:
             rows = rows.withColumn("event", row_event()).where(event_action(self.events) == "do").drop("event")
         rows = self.mapping(rows) if self.mapping else rows
@@ -40,7 +41,8 @@ class Task:
         return route(rows, self.routes)
 
     def delta(self, log: DataFrame) -> DataFrame:
-        rows = split_key_changes(self.changes(log), self.key)
+        """The compacted changes. Compaction takes a repeated event as it takes one, so no shuffle is spent on telling them apart."""
+        rows = split_key_changes(self.changes(log, once=False), self.key)
         return compact(rows, self.key, [*LOCATION, "part_idx"])
 
 
