@@ -1,16 +1,20 @@
-"""Vectorised access to Arrow text columns: byte views, words, word hashes, chunking.
+"""Vectorised access to Arrow text columns: byte views, words, word digests, chunking.
 
-Every helper works on whole texts. A chunk is a run of rows whose bytes stay
+Words and lines are known by BLAKE2 digests, so texts that were made to collide
+don't. prefix_hash() and span_hash() are polynomial and only screen: who uses
+them compares bytes afterwards. Every helper works on whole texts. A chunk is a run of rows whose bytes stay
 below a limit, so that memory is bounded; a single longer text is a chunk of
 its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1_000_000
 
@@ -20,7 +24,6 @@ _rng = np.random.Generator(np.random.PCG64(0x5EED))
 BASE = int(_rng.integers(1 << 62, 1 << 63, dtype=np.uint64)) | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-BYTE_VALUE_2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 ODD = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
 
 SPACE = np.zeros(256, bool)
@@ -69,6 +72,19 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: str | int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `limit` bytes of a text column, or one row; nothing is copied."""
+    for batch in batches:
+        column = batch.column(text)
+        wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+        if not len(column) or column.buffers()[1] is None:
+            yield batch
+            continue
+        offs = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+        for a, b in chunks(offs.astype(np.int64), limit):
+            yield batch.slice(a, b - a)
+
+
 def chunks(offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes, or one row."""
     a, n = 0, len(offs) - 1
@@ -113,10 +129,24 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words (A-Z only) and the words' offsets by row."""
+def digests(pieces: Iterable[bytes], size: int) -> np.ndarray:
+    """Cryptographic digests of byte strings, as 64-bit numbers: `size` bytes give size / 8 of them in a row."""
+    return np.frombuffer(b"".join([blake2b(p, digest_size=size).digest() for p in pieces]), U).reshape(-1, size // 8)
+
+
+def word_codes(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct lower-cased words (A-Z only), each word's place among them, the words' offsets by row)."""
     starts, ends, by_row = word_spans(data, offs)
-    return span_hash(prefix_hash(BYTE_VALUE[LOWER[data]]), starts, ends), by_row
+    solid = LOWER[data[~SPACE[data]]]
+    ends_at = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends_at), pa.py_buffer(solid)]).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), by_row
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words (A-Z only) and the words' offsets by row. Each distinct word of the rows is digested once."""
+    distinct, codes, by_row = word_codes(data, offs)
+    return digests(distinct.to_pylist(), 8)[:, 0][codes], by_row
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -146,6 +176,34 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, list[n
         yield a, sets
 
 
+def real_sets(column: pa.Array, width: int, known: pa.Array | None = None) -> tuple[Callable[[int], np.ndarray], pa.Array]:
+    """(a function that gives a row's sorted distinct shingles, the words that their numbers stand for).
+
+    A shingle is the numbers of its words, and a number stands for one word: the place in `known`, or after it. So
+    sets whose numbers go back to one list of words are compared as what they are, not by a hash.
+    """
+    data, offs = flat(column)
+    words, codes, by_row = word_codes(data, offs)
+    if known is not None and len(words):
+        place = pc.index_in(words, value_set=known).to_numpy(zero_copy_only=False)
+        new = np.isnan(place) if place.dtype.kind == "f" else np.zeros(len(place), bool)
+        number = np.where(new, len(known) + np.cumsum(new) - 1, np.nan_to_num(place)).astype(np.int64)
+        codes, words = number[codes], pa.concat_arrays([known, words.filter(pa.array(new))])
+    elif known is not None:
+        words = known
+    codes = codes.astype(np.int32)
+
+    def row(i: int) -> np.ndarray:
+        own = codes[by_row[i] : by_row[i + 1]]
+        if not len(own):
+            return np.zeros(0, f"V{4 * width}")
+        if len(own) < width:
+            own = np.r_[own, np.full(width - len(own), -1, np.int32)]
+        return np.unique(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(own, width)).view(f"V{4 * width}").ravel())
+
+    return row, words
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     """As Spark's long."""
     return h.view(np.int64)

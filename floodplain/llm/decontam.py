@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ODD, U, mix
-from .state import small_batches
+from .blocks import ODD, U, mix, pieces
 
 Q = 8
 ERRORS = 0.1
@@ -193,13 +192,13 @@ def item_blocks(benchmark: DataFrame, errors: float, min_chars: int, block_chars
 
 def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, min_chars: int = MIN_CHARS, block_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, item_id, errors): each document with each benchmark item that occurs in it."""
-    docs, out = small_batches(docs), None
+    out = None
     for items in item_blocks(benchmark, errors, min_chars, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            for batch in batches:
+            for batch in pieces(batches, "text"):
                 hits = find(batch.column("text").to_pylist(), own)
                 ids = batch.column("doc_id")
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _, _ in hits], pa.int64())), pa.array([own.ids[i] for _, i, _ in hits], pa.int64()), pa.array([x for _, _, x in hits], pa.int32())], ["doc_id", "item_id", "errors"])
@@ -211,13 +210,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, min_c
 
 def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, min_chars: int = MIN_CHARS, block_chars: int = 8_000_000) -> DataFrame:
     """The rows of docs in which no benchmark item occurs, in the same columns."""
-    kept = small_batches(docs)
+    kept = docs
     for items in item_blocks(benchmark, errors, min_chars, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
         at = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches, at):
                 good = np.ones(len(batch), bool)
                 good[[r for r, _, _ in find(batch.column(at).to_pylist(), shared.value)]] = False
                 yield batch.filter(pa.array(good))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .state import small_batches
+from .blocks import pieces
 
 # Elements and words that mark what isn't the article.
 RAW = "script style noscript template svg math iframe object canvas audio video head title textarea select"
@@ -242,11 +242,11 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of `pages` (page_id, url, html; more columns are ignored)."""
-    source = small_batches(pages).select("page_id", "url", F.col("html").cast("string").alias("html"))
+    source = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     schema = source.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "html"):
             texts = [main_text(x.as_py()) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

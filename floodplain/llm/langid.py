@@ -30,8 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, chunked, flat
-from .state import fresh, small_batches
+from .blocks import LOWER, chunked, flat, pieces
+from .state import fresh
 
 #: ISO 639-1 codes by family.
 FAMILY = {
@@ -174,23 +174,24 @@ class Model:
         return langs, scores
 
 
-def train(labelled: DataFrame, per_language: int = 300) -> Model:
-    """A model from (doc_id, text, lang): about `per_language` texts of each language at most.
+def train(labelled: DataFrame, per_language: int = 300, max_languages: int = 500) -> Model:
+    """A model from (doc_id, text, lang): about `per_language` texts of each language at most. More than `max_languages` languages are an error.
 
     Texts are chosen by a hash of doc_id; a text's features are made on the executors, so the
     driver gets at most per_language * languages sparse vectors.
     """
-    rows = small_batches(labelled).where("lang is not null and doc_id is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.where("lang is not null and doc_id is not null and text is not null")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     if not sizes:
         return Model.fit(np.zeros((0, 1 << BITS)), np.array([], object))
-    share: Column = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["n"])) for r in sizes], "lang string, share double")
+    share = F.col("share")
+    chosen = rows.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             data, offs = flat(batch.column("text"))
             slots, values = [], []
             for i in range(len(batch)):
@@ -211,12 +212,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     """The columns `keep` of docs (all by default), and last the predicted language and score."""
     keep = docs.columns if keep is None else keep
     lang, score, text = fresh(docs, "lang_pred", "score", "_text")
-    source = small_batches(docs).select(*[docs[c] for c in keep], docs["text"].alias(text))
+    source = docs.select(*[docs[c] for c in keep], docs["text"].alias(text))
     schema = docs.select(*[docs[c] for c in keep]).withColumns({lang: F.lit(""), score: F.lit(0.0)}).schema
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text):
             langs, scores = model.predict(batch.column(text))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(langs, pa.string()), pa.array(scores)], names)
 

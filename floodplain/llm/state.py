@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes that go to a Python worker at once while tables are written.
+BATCH_ROWS = 2000
+BATCH_BYTES = 4_000_000
+
+_scopes: list[list[DataFrame]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (as in tests) a new one."""
+    """The folder in spark.checkpoint.dir. Only where that is unset and all runs on one machine (as in tests) a new one; on a cluster it is an error."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='floodplain-')}"
         context.setCheckpointDir(path)
         return context._jsc.sc().getCheckpointDir().get()
@@ -24,24 +35,55 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes for what is planned inside; then the session's own settings again."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        if not 0 < int(before[k].rstrip("bB")) <= v:
+            spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/floodplain/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of written(); only once nothing that is still to run reads them."""
+    """Deletes tables of written(); only once nothing that is still to run reads them. Deleting twice does nothing."""
     for df in tables:
         jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(make, label: str) -> DataFrame:
+    """make() as a table, without the other tables that were written for it."""
+    _scopes.append([])
+    try:
+        out = written(make(), label)
+    finally:
+        made = _scopes.pop()
+    dropped(*[x for x in made if x is not out])
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,16 +97,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
-
-
-#: Rows that go to a Python worker at once; whole texts make larger batches costly on both sides.
-BATCH_ROWS = 1000
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have at most BATCH_ROWS rows from now on; a lower setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df

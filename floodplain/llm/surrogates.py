@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .state import dropped, fresh, small_batches, written
+from .blocks import pieces
+from .state import dropped, fresh, written
 
 # Forms of address and common first names by gender, and surnames to draw from, by script.
 TITLES_M = "Mr Mister Sir Herr Monsieur Señor Sr Signor Don"
@@ -220,7 +221,7 @@ def entities(docs: DataFrame) -> DataFrame:
     """(row_key, kind, canon): the distinct entities of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             keys, kinds, canons = [], [], []
             for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text"), strict=True):
                 for kind, canon in sorted({(m.kind, m.canon) for m in mentions(text.as_py())}):
@@ -274,7 +275,6 @@ def replaced(text: str, new: dict[tuple[str, str], str]) -> tuple[str, int]:
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """The columns of docs, `text` with surrogates for all entities, and last the number of mentions."""
-    docs = small_batches(docs)
     row_key, found, count = fresh(docs, "_row", "_found", "_mentions")
     own = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
     seen = written(entities(docs.select(own.alias("row_key"), docs["text"].alias("text"))), "pii-mentions")
@@ -285,7 +285,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     at, names = docs.columns.index("text"), [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             text, maps_ = batch.column(at), batch.column(len(names) - 1)
             counts = [0] * len(batch)
             touched = [i for i, ok in enumerate(maps_.is_valid().to_pylist()) if ok]
