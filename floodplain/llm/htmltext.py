@@ -1,15 +1,18 @@
-"""Main text of web pages: structural regions, then two-pass block rules.
+"""Main text of web pages: two-pass block rules over blocks with structural priors.
 
 A page becomes blocks of text between block tags. Blocks inside elements that
-are never part of an article (menus, headers, footers, sidebars, notices,
+are never part of an article (menus, page headers, footers, sidebars, notices,
 adverts, forms, reader comments, hidden parts; by tag, role, class or id) are
-left out, as are scripts, styles and comments in the markup.
-
-First pass: each block is good, bad, or undecided. Inside an article or main
-element a block is good, unless it is a list entry made of links alone, and blocks
-outside don't count. On pages without one, many links make a block bad; a long block with many stop words is
-good, a long one with few is bad, and short blocks or blocks between the marks
-are undecided. Second pass: each undecided block takes the label of
+left out, as are scripts, styles and comments in the markup. Inside an article
+or main element a header stays (it holds the headline), and class names that
+needn't mean anything there (legal, share, banner and the like) are only a mark.
+
+First pass: every block that is left gets points. Structure is the prior: three for
+the element that holds the article, three less outside it, none on pages without one;
+a mark costs three. Evidence is the block's own: many links cost three (a list entry made of
+links alone six), a long block with many stop words gains two, one with few loses
+two, a short one with links loses two where there is no prior. Two points or more are good, less than none is bad,
+a short marked block is bad, and the rest is undecided. Second pass: each undecided block takes the label of
 its nearest decided neighbour (the one before it on a tie between two of one
 label; good if labels differ at the same distance); with none decided on the
 whole page, undecided blocks with a sentence's length or a heading are good.
@@ -18,7 +21,7 @@ Character references are decoded, white space inside a block (line breaks
 too) becomes one space, and blocks are joined by one newline.
 
 Defined cases: a null or empty page has the empty text; markup that ends
-early is read as far as it goes; stray `<` is text; any length is read whole.
+early is read as far as it goes; stray `<` is text; any length and depth is read whole, in time that grows with the length.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +38,10 @@ from pyspark.sql import functions as F
 from .blocks import pieces
 
 # Elements and words that mark what isn't the article.
-RAW = "script style noscript template svg math iframe object canvas audio video head title textarea select"
-LEFT_OUT = set("nav header footer aside form button menu dialog fieldset datalist label option".split())
+RAW = "script style noscript template svg iframe object canvas audio video head title textarea select"
+LEFT_OUT = set("nav footer aside form button menu dialog fieldset datalist option".split())
+#: Left out but inside an article or main element.
+PAGE_LEVEL = set("header label".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 MARKS = set(
     "nav navbar navigation menu submenu megamenu topbar header masthead footer sidebar aside rail ad ads advert adverts advertisement advertising adsense adslot "
@@ -43,7 +49,10 @@ MARKS = set(
     "commentlist disqus respond reply replies share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager newsletter subscribe "
     "subscription signup login search searchform form toolbar widget widgets copyright legal disclaimer skip paywall outbrain taboola".split()
 )
-STRICT = set("ad ads advert advertisement comment comments commentlist reply replies related recommended promo sponsored teaser".split())
+#: Of these, inside an article or main element, only a mark; the rest is left out there too.
+SOFT = set("header masthead banner share sharing social legal disclaimer copyright overlay widget widgets rail skip alert respond topbar search dialog pager form".split())
+#: What an article or main element itself isn't left out for.
+TEASERS = set("ad ads advert advertisement comment comments commentlist reply replies related recommended promo sponsored teaser".split())
 CONTENT = set("content maincontent articlebody articletext post postbody entry story storybody bodytext".split())
 BLOCKS = set(
     "address article blockquote body caption center col colgroup dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li "
@@ -82,18 +91,21 @@ FEW_STOPS, MANY_STOPS = 0.12, 0.20
 CLASSED, MAIN, ARTICLE = 1, 2, 3
 
 
-def _marked(tag: str, attrs: str) -> tuple[bool, int]:
-    """(left out, how surely the article's own) for an element that opens."""
-    out, main = tag in LEFT_OUT, {"article": ARTICLE, "main": MAIN}.get(tag, 0)
+def _opened(tag: str, attrs: str, inside: bool) -> tuple[bool, int, bool]:
+    """(left out, how surely the article's own, marked) for an element that opens; `inside` an article or main element."""
+    main = {"article": ARTICLE, "main": MAIN}.get(tag, 0)
+    out, soft = tag in LEFT_OUT or tag in PAGE_LEVEL and not inside, False
     if attrs and attrs.strip(" /"):
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 words = set(re.split(r"[^a-z]+", _CAMEL.sub(" ", value).lower()))
-                out |= tag not in ("html", "body") and bool(words & (STRICT if main else MARKS))
-                joined = re.sub(r"[^a-z]", "", value.lower())
-                if tag not in ("html", "body") and (words & CONTENT or joined in CONTENT):
-                    main = max(main, CLASSED)
+                if tag not in ("html", "body"):
+                    bad = words & (TEASERS if main else MARKS | TEASERS)
+                    soft |= inside and bool(bad & SOFT)
+                    out |= bool(bad - SOFT if inside else bad)
+                    if words & CONTENT or re.sub(r"[^a-z]", "", value.lower()) in CONTENT:
+                        main = max(main, CLASSED)
             elif name == "role":
                 out |= value.lower() in ROLES
                 main = max(main, {"main": MAIN, "article": ARTICLE}.get(value.lower(), 0))
@@ -101,46 +113,70 @@ def _marked(tag: str, attrs: str) -> tuple[bool, int]:
                 main = ARTICLE
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
                 out |= tag not in ("html", "body")
-    return out, main
+    return out, main, soft
+
+
+@dataclass(frozen=True)
+class Block:
+    text: str
+    linked: int  # characters inside links
+    kind: str  # innermost block tag
+    main: int  # how surely the article's own
+    soft: bool  # marked by a class name
 
 
-Block = tuple[str, int, str, int]
+@dataclass(frozen=True)
+class _Open:
+    """An open element with what holds inside it; `fence` is where the search for an open paragraph ends."""
+
+    tag: str
+    out: bool = False
+    main: int = 0
+    soft: bool = False
+    kind: str = "body"
+    links: int = 0
+    fence: int = -1
 
 
 def blocks(page: str) -> list[Block]:
-    """(text, characters inside links, innermost block tag, how surely the article's own) of each block that isn't left out."""
+    """The blocks that aren't left out, in page order. What holds inside an element is kept with it, and open elements are known by tag, so nothing is searched again."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, left out, main
+    stack: list[_Open] = []
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
-    linked = links = 0
-    out, main, kind = False, 0, "body"
+    linked = 0
+    now = top = _Open("")
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append((text, linked, kind, main))
+                found.append(Block(text, linked, now.kind, now.main, now.soft))
             parts.clear()
         linked = 0
 
-    def settle() -> None:
-        nonlocal out, main, kind, links
-        out, main, kind, links = False, 0, "body", 0
-        for tag, o, m in stack:
-            out |= o
-            main = max(main, m)
-            links += tag == "a"
-            if tag in BLOCKS:
-                kind = tag
+    def last(tag: str) -> int:
+        held = places.get(tag)
+        return held[-1] if held else -1
+
+    def close(to: int) -> None:
+        """Closes all elements from place `to` on."""
+        nonlocal now
+        if any(x.out or x.tag in BLOCKS for x in stack[to:]):
+            flush()
+        for x in stack[to:]:
+            places[x.tag].pop()
+        del stack[to:]
+        now = stack[-1] if stack else top
 
     for m in _TOKEN.finditer(page):
         raw = m[0]
         if raw[0] != "<" or raw == "<":
-            if not out:
+            if not now.out:
                 text = html.unescape(raw)
                 parts.append(text)
-                if links:
+                if now.links:
                     linked += len(text.strip())
             continue
         tag = m[3] or m[6]
@@ -148,76 +184,70 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing, attrs = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         if tag == "br":
-            if not out:
+            if not now.out:
                 parts.append(" ")
             continue
         if tag in BLOCKS:
             flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if any(x[1] or x[0] in BLOCKS for x in stack[i + 1 :]):
-                        flush()
-                    del stack[i:]
-                    settle()
-                    break
+            if last(tag) >= 0:
+                close(last(tag))
             continue
-        if tag in CLOSES_P or tag in SAME_CLOSES:
-            ends, fences = SAME_CLOSES.get(tag, {"p"}), FENCES.get(tag, BLOCKS - {"p"})
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    settle()
-                    break
-                if stack[i][0] in fences:
-                    break
+        if tag in SAME_CLOSES:
+            ends = max(last(x) for x in SAME_CLOSES[tag])
+            if ends > max(last(x) for x in FENCES[tag]):
+                close(ends)
+        elif tag in CLOSES_P and last("p") > now.fence:
+            close(last("p"))
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
-        left, is_main = _marked(tag, attrs)
-        if left and not out:
+        left, main, soft = _opened(tag, attrs, now.main >= MAIN)
+        if left and not now.out or soft:
             flush()
-        stack.append((tag, left, is_main))
-        if left or is_main or tag == "a" or tag in BLOCKS:
-            settle()
+        places.setdefault(tag, []).append(len(stack))
+        block = tag in BLOCKS
+        now = _Open(tag, now.out or left, max(now.main, main), now.soft or soft, tag if block else now.kind, now.links + (tag == "a"), len(stack) if block and tag != "p" else now.fence)
+        stack.append(now)
     flush()
     return found
 
 
-def region(found: list[Block]) -> list[Block]:
-    """The blocks of the surest element that holds at least half of the text of the next less sure ones; else all.
+def priors(found: list[Block]) -> list[int]:
+    """Each block's points by structure: by the surest element that holds at least half of the text of the next less sure ones.
 
     An article in a main element is the region only if it isn't a mere teaser there, and a class name counts
     only if most of the page's text stands under it.
     """
-    size = lambda level: sum(len(b[0]) for b in found if b[3] >= level)
+    size = lambda level: sum(len(b.text) for b in found if b.main >= level)
     if size(MAIN):
         level = ARTICLE if 2 * size(ARTICLE) >= size(MAIN) else MAIN
     else:
         level = CLASSED if size(CLASSED) and 2 * size(CLASSED) >= size(0) else 0
-    return [(*b[:3], level) for b in found if b[3] >= level]
+    return [0 if not level else 3 if b.main >= level else -3 for b in found]
 
 
-def first_pass(text: str, linked: int, kind: str, main: int) -> bool | None:
+def first_pass(block: Block, prior: int) -> bool | None:
     """True: good, False: bad, None: undecided."""
-    density = linked / len(text)
-    if main >= MAIN:
-        return not (density > 0.9 and kind == "li")
+    text, density = block.text, block.linked / len(block.text)
+    points = prior - 3 * block.soft
     if density > LINKED:
-        return False
+        points -= 6 if density > 0.9 and block.kind == "li" else 3
     if len(text) < SHORT:
-        return False if linked else None
-    words = [w.lower() for w in _WORD.findall(text)]
-    stops = sum(w in STOP for w in words) / max(1, len(words))
-    if stops >= MANY_STOPS and len(text) >= LONG:
-        return True
-    return False if stops < FEW_STOPS and len(text) >= LONG and kind != "p" else None
+        if block.soft:
+            return False
+        points -= 2 * (not prior and block.linked > 0)
+    elif len(text) >= LONG:
+        words = [w.lower() for w in _WORD.findall(text)]
+        stops = sum(w in STOP for w in words) / max(1, len(words))
+        points += 2 * (stops >= MANY_STOPS) - 2 * (stops < FEW_STOPS and block.kind != "p")
+    return True if points >= 2 else False if points < 0 else None
 
 
 def second_pass(labels: list[bool | None], found: list[Block]) -> list[bool]:
     """Undecided blocks take the label of their nearest decided neighbour."""
     n = len(labels)
     if all(x is None for x in labels):
-        return [len(b[0]) >= SHORT or b[2] in ("p", "h1", "h2", "h3", "blockquote", "pre") for b in found]
+        return [len(b.text) >= SHORT or b.kind in ("p", "h1", "h2", "h3", "blockquote", "pre") for b in found]
     before: list[tuple[int, bool]] = []
     near = (n + 1, False)
     for x in labels:
@@ -235,9 +265,9 @@ def second_pass(labels: list[bool | None], found: list[Block]) -> list[bool]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = region(blocks(page))
-    labels = second_pass([first_pass(*b) for b in found], found)
-    return "\n".join(b[0] for b, good in zip(found, labels, strict=True) if good)
+    found = blocks(page)
+    labels = second_pass([first_pass(*x) for x in zip(found, priors(found), strict=True)], found)
+    return "\n".join(b.text for b, good in zip(found, labels, strict=True) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:

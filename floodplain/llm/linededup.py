@@ -373,7 +373,7 @@ def without_lines(docs: DataFrame, drops: DataFrame, min_chars: int) -> DataFram
     """The columns of `docs`, `text` without the lines whose keys `drops` names, and two more, last: lines before, lines dropped."""
     doc, found, n_lines, n_dropped = fresh(docs, "_doc", "_drops", "_lines", "_dropped")
     drops = drops.toDF(doc, found)
-    joined = docs.join(drops, docs["doc_id"] == drops[doc], "left").drop(doc)
+    joined = docs.join(drops.hint("merge"), docs["doc_id"] == drops[doc], "left").drop(doc)  # as on large tables, whatever the size
     schema = docs.withColumns({n_lines: F.lit(0).cast("long"), n_dropped: F.lit(0).cast("long")}).schema
     at, names = docs.columns.index("text"), [f.name for f in schema]
 
