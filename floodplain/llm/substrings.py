@@ -8,15 +8,16 @@ each other to one place.
 * Screen. Every window of WIDTH bytes is known by its anchor, the smallest hash of its
   GRAM-byte grams; equal windows have equal anchors. Consecutive windows with
   one anchor are a stretch, and each window is in just one stretch. A stretch whose anchor occurs
-  nowhere else, nor twice in itself, holds no repeat.
-* Stretches of one anchor that are equal as a whole (anchor, 64-bit hash of all
-  bytes) repeat each other in every window, and count as one for the rest.
-* All others, those that overlap another one in part, go with their anchor to
-  one task, and the transforms there tell which windows repeat. An anchor with more than `split`
-  different stretches is dealt out further, by window, under the hash of the window's
-  first GRAM bytes, so no task grows with the copies of one passage.
-
-Rows are known by a 64-bit hash of (doc_id, text), so rows that repeat a doc_id
+  nowhere else, nor twice in itself, holds no repeat. Hashes that collide only let more through.
+* Stretches of one anchor that are equal as a whole (128-bit BLAKE2 digest of their bytes)
+  count as one string with their number as its weight.
+* All these strings go with their anchor to one place, and the transforms there
+  tell which of their windows stand for two positions or more. What they decide holds for every stretch
+  that the string stands for. An anchor with more than PLACE_BYTES of different
+  strings is dealt out further, window by window, under a hash of the whole window, and
+  a place of very many equal windows is worked off in pieces, so no task grows with the copies of one passage.
+
+Rows are known by the MD5 of (doc_id, text), so rows that repeat a doc_id
 are texts of their own, and equal rows repeat each other.
 
 Defined cases: a null text is empty; texts shorter than WIDTH lose nothing; a
@@ -35,18 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BYTE_VALUE, chunked, flat, prefix_hash, signed, span_hash
+from .blocks import BYTE_VALUE, chunked, digests, flat, pieces, prefix_hash, signed, span_hash
 from .bwt import repeated
 from .state import dropped, written
 
 WIDTH = 200
-GRAM = 100
+GRAM = 50
 LONGEST = 256  # windows in a stretch
-BATCH_BYTES = 400_000
-SHARD_BYTES = 150_000
-CHUNK_BYTES = 500_000
+#: Bytes that are solved at once, so that ranks have 16 bits; a longer place is solved on its own.
+BATCH_BYTES = 64_000
+PLACE_BYTES = 1_000_000
+CHUNK_BYTES = 250_000
 
-STRETCH = "row long, first int, windows int"
+ROW = ("k1", "k2")
+STRING = ("anchor", "d1", "d2")
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -62,10 +65,10 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, first window, windows, anchor, content hash, whether the anchor stands in it twice) of every stretch of the rows."""
+    """(row, first window, windows, anchor, whether the anchor stands in it twice) of every stretch of the rows."""
     windows = np.maximum(0, offs[1:] - offs[:-1] - WIDTH + 1)
     if not windows.sum():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, bool))
     prefix = prefix_hash(BYTE_VALUE[data])
     at, span = np.arange(len(data) - GRAM + 1), WIDTH - GRAM + 1
     grams = span_hash(prefix, at, at + GRAM)
@@ -89,78 +92,109 @@ def stretches(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.repeat(low, held) + np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
     equal = grams[chosen[at]] == np.repeat(anchor[first], held)
     twice = np.bincount(np.repeat(np.arange(len(held)), held), weights=equal, minlength=len(held)) > 1
-    return row[first], begin - offs[row[first]], count, anchor[first], span_hash(prefix, begin, begin + count - 1 + WIDTH), twice
+    return row[first], begin - offs[row[first]], count, anchor[first], twice
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(anchor, content, row, first, windows, twice) of rows (row, text)."""
+    """(STRING, ROW, first, windows, twice) of rows (ROW, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("row").to_numpy()
+            keys = [batch.column(c).to_numpy() for c in ROW]
             for a, _, data, offs in chunked(batch.column("text"), CHUNK_BYTES):
-                row, first, count, anchor, content, twice = stretches(data, offs)
+                row, first, count, anchor, twice = stretches(data, offs)
+                raw, begin = data.tobytes(), first + offs[row]
+                own = digests((raw[i:j] for i, j in zip(begin.tolist(), (begin + count - 1 + WIDTH).tolist(), strict=True)), 16).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(anchor)), pa.array(signed(content)), pa.array(keys[a + row]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(twice)],
-                    ["anchor", "content", "row", "first", "windows", "twice"],
+                    [pa.array(signed(anchor)), *[pa.array(own[:, k].copy()) for k in (0, 1)], *[pa.array(k[a + row]) for k in keys], pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(twice)],
+                    [*STRING, *ROW, "first", "windows", "twice"],
                 )
 
-    return rows.mapInArrow(run, f"anchor long, content long, {STRETCH}, twice boolean")
+    return rows.mapInArrow(run, "anchor long, d1 long, d2 long, k1 long, k2 long, first int, windows int, twice boolean")
 
 
-def cut_out(rows: DataFrame, wanted: DataFrame, split: int) -> DataFrame:
-    """(place, row, first, report, bytes): the bytes of wanted (row, pieces of anchor, first, windows, report, variants), with the key of the place where they meet."""
+PIECE = "place long, split boolean, anchor long, d1 long, d2 long, at int, weight long, bytes binary"
+
+
+def cut_out(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """PIECE: the bytes of the strings of wanted (ROW, strings of STRING, first, windows, weight, split), with the place where they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text", CHUNK_BYTES):
             data, offs = flat(batch.column("text"))
-            out: list[tuple] = []
-            for i, (key, pieces) in enumerate(zip(batch.column("row").to_pylist(), batch.column("pieces").to_pylist(), strict=True)):
-                own = data[offs[i] : offs[i + 1]]
-                for p in pieces:
-                    a, n = p["first"], p["windows"]
-                    if p["variants"] <= split:
-                        out.append((p["anchor"], key, a, p["report"], own[a : a + n - 1 + WIDTH].tobytes()))
+            raw, out = data.tobytes(), []
+            for start, strings in zip(offs.tolist(), batch.column("strings").to_pylist(), strict=False):
+                for p in strings:
+                    a, n, key = start + p["first"], p["windows"], (p["anchor"], p["d1"], p["d2"])
+                    if not p["split"]:
+                        out.append((p["anchor"], False, *key, 0, p["weight"], raw[a : a + n - 1 + WIDTH]))
                         continue
-                    part = prefix_hash(BYTE_VALUE[own[a : a + n - 1 + GRAM]])
-                    places = signed(span_hash(part, np.arange(n), np.arange(n) + GRAM))
-                    out += [(int(places[j]), key, a + j, p["report"], own[a + j : a + j + WIDTH].tobytes()) for j in range(n)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["place", "row", "first", "report", "bytes"])
-
-    return rows.join(wanted, "row").select("row", "text", "pieces").mapInArrow(run, "place long, row long, first int, report boolean, bytes binary")
-
-
-def repeats(pieces: DataFrame) -> DataFrame:
-    """Stretches of repeated windows among the pieces that meet in one place, of those to report."""
-
-    def solve(held: list[tuple]) -> pa.RecordBatch:
-        found = repeated([np.frombuffer(x[2], np.uint8) for x in held], WIDTH, SHARD_BYTES)
-        rows, firsts, counts = [], [], []
-        for (row, first, _, report), flags in zip(held, found, strict=True):
-            if report and flags.any():
-                edges = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
-                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    rows.append(row)
-                    firsts.append(first + a)
-                    counts.append(b - a)
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32())], ["row", "first", "windows"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
-        for batch in batches:
-            for place, row, first, report, raw in zip(*[batch.column(c).to_pylist() for c in ("place", "row", "first", "report", "bytes")], strict=True):
-                if place != last and size >= BATCH_BYTES:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append((row, first, raw, report))
-                size, last = size + len(raw), place
-        if held:
-            yield solve(held)
-
-    return pieces.repartition("place").sortWithinPartitions("place").mapInArrow(run, STRETCH)
+                    part = prefix_hash(BYTE_VALUE[data[a : a + n - 1 + WIDTH]])
+                    places = signed(span_hash(part, np.arange(n), np.arange(n) + WIDTH)).tolist()
+                    out += [(place, True, *key, j, p["weight"], raw[a + j : a + j + WIDTH]) for j, place in enumerate(places)]
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            names = [x.split()[0] for x in PIECE.split(", ")]
+            for a in range(0, len(out), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[a : a + 4096], strict=True), kinds, strict=True)], names)
+
+    return rows.join(wanted.hint("merge"), list(ROW)).select("text", "strings").mapInArrow(run, PIECE)
+
+
+DECIDED = "anchor long, d1 long, d2 long, at int, windows int"
+
+
+def solved(rows: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+    """(DECIDED for the PIECEs of whole places, the flags of all their windows)."""
+    data, offs = flat(rows.column("bytes"))
+    flags = repeated(data, offs, rows.column("weight").to_numpy(), WIDTH)
+    begin = np.r_[0, np.cumsum(np.diff(offs) - WIDTH + 1)]
+    new, around = np.zeros(len(flags) + 1, bool), np.r_[False, flags, False]
+    new[begin] = True  # runs don't go on from string to string
+    start = np.flatnonzero(flags & (~around[:-2] | new[:-1]))
+    stop = np.flatnonzero(flags & (~around[2:] | new[1:])) + 1
+    of = np.searchsorted(begin, start, "right") - 1
+    at = start - begin[of] + rows.column("at").to_numpy()[of]
+    keys = [pa.array(rows.column(c).to_numpy()[of]) for c in STRING]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(at.astype(np.int32)), pa.array((stop - start).astype(np.int32))], [x.split()[0] for x in DECIDED.split(", ")]), flags
+
+
+def carried(rows: pa.Table, flags: np.ndarray) -> pa.Table:
+    """What must be held of a place of single windows whose first rows are solved: those not repeated yet, and one of each that is, which repeats any to come."""
+    whole = np.frombuffer(flat(rows.column("bytes"))[0], f"V{WIDTH}")
+    _, one = np.unique(whole[flags], return_index=True)
+    known = rows.take(pa.array(np.flatnonzero(flags)[one]))
+    known = known.set_column(known.schema.get_field_index("weight"), "weight", pa.array(np.full(len(known), 2)))
+    return pa.concat_tables([rows.filter(pa.array(~flags)), known]).combine_chunks()
+
+
+def by_place(batches: Iterator[pa.RecordBatch], limit: int = 4 * PLACE_BYTES) -> Iterator[pa.RecordBatch]:
+    """DECIDED for PIECEs sorted by place: whole places together up to BATCH_BYTES, and a place of single windows in pieces of `limit` bytes."""
+    held = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = (now if held is None else pa.concat_tables([held, now])).combine_chunks()
+        place = held.column("place").to_numpy()
+        ends = np.flatnonzero(place[1:] != place[:-1]) + 1  # of whole places; the last one may go on
+        size = flat(held.column("bytes"))[1]
+        a = 0
+        while (left := ends[ends > a]).size:
+            b = int(left[max(0, int(np.searchsorted(size[left], size[a] + BATCH_BYTES, "right")) - 1)])
+            if b == left[-1] and size[b] - size[a] < BATCH_BYTES // 2:
+                break
+            yield solved(held.slice(a, b - a).combine_chunks())[0]
+            a = b
+        held = held.slice(a)
+        if not len(ends) and size[-1] > limit and held.column("split")[0].as_py():
+            found, flags = solved(held)
+            yield found
+            held = carried(held, flags)
+    if held is not None and len(held):
+        yield solved(held.combine_chunks())[0]
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """DECIDED: the windows of PIECEs that the transforms find at two positions or more."""
+    return rows.repartition("place").sortWithinPartitions("split", "place").mapInArrow(by_place, DECIDED)
 
 
 def freed(spark: SparkSession) -> None:
@@ -169,41 +203,36 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def covered(rows: DataFrame, split: int = 4096) -> DataFrame:
-    """(row, first, windows): stretches of repeated windows that hold every repeated window of rows (row, text)."""
+def covered(rows: DataFrame, place_bytes: int = PLACE_BYTES) -> DataFrame:
+    """(ROW, first, windows): stretches of repeated windows that hold every repeated window of rows (ROW, text)."""
     spark = rows.sparkSession
-    found = occurrences(rows)
-    anchors = written(
-        found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.max("twice").alias("inner")).where("n > 1 or inner").selectExpr("anchor", "n > 1 and low = high as one", "inner"),
-        "bwt-anchors",
-    )
+    marks = written(occurrences(rows), "bwt-marks")
+    anchors = written(marks.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("inner")).where("n > 1 or inner").select("anchor"), "bwt-anchors")
     freed(spark)
-    shared = written(found.join(anchors.hint("merge"), "anchor"), "bwt-shared")
-    dropped(anchors)
+    shared = written(marks.drop("twice").join(anchors.hint("merge"), "anchor"), "bwt-shared")
+    dropped(marks, anchors)
     freed(spark)
-    mixed = shared.where("not one").drop("twice")
-    variants = written(mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "windows")).alias("at"), F.first("inner").alias("inner")), "bwt-variants")
-    whole = mixed.join(variants.where("copies > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("row", "first", "windows").unionByName(shared.where("one").select("row", "first", "windows"))
-    single = written(variants.groupBy("anchor").agg(F.count("*").alias("variants"), F.min("copies").alias("least"), F.first("inner").alias("inner")).where("least = 1 and (variants > 1 or inner)").select("anchor", "variants"), "bwt-single")
-    asked = variants.join(single, "anchor").select("at.row", F.struct("anchor", "at.first", "at.windows", (F.col("copies") == 1).alias("report"), "variants").alias("piece"))
-    pieces = written(cut_out(rows, asked.groupBy("row").agg(F.collect_list("piece").alias("pieces")).hint("merge"), split), "bwt-pieces")
+    strings = written(shared.groupBy(*STRING).agg(F.count("*").alias("weight"), F.min(F.struct(*ROW, "first", "windows")).alias("s")).select(*STRING, "weight", "s.*"), "bwt-strings")
+    large = strings.groupBy("anchor").agg(F.sum(F.col("windows") + WIDTH - 1).alias("bytes")).select("anchor", (F.col("bytes") > place_bytes).alias("split"))
+    asked = strings.join(large.hint("merge"), "anchor").select(*ROW, F.struct(*STRING, "first", "windows", "weight", "split").alias("string"))
+    decided = written(repeats(cut_out(rows, asked.groupBy(*ROW).agg(F.collect_list("string").alias("strings")))), "bwt-decided")
+    dropped(strings)
     freed(spark)
-    part = written(repeats(pieces), "bwt-parts")
-    dropped(pieces)
-    freed(spark)
-    return whole.unionByName(part)
+    return shared.drop("windows").join(decided.hint("merge"), list(STRING)).select(*ROW, (F.col("first") + F.col("at")).alias("first"), "windows")
 
 
-def remove_repeats(docs: DataFrame, split: int = 4096, with_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, place_bytes: int = PLACE_BYTES, with_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs (doc_id, text), and kept, the remaining bytes."""
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    cover = covered(rows.select("row", "text"), split).groupBy("row").agg(F.collect_list(F.struct("first", "windows")).alias("cover"))
-    joined = rows.join(cover.hint("merge"), "row", "left").select("doc_id", "text", "cover")
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\0"), F.coalesce("text", F.lit(""))).cast("binary"))
+    half = lambda a: F.conv(F.substring(key, a, 16), 16, -10).cast("long")
+    rows = docs.select("doc_id", "text", half(1).alias("k1"), half(17).alias("k2"))
+    cover = covered(rows.select(*ROW, "text"), place_bytes).groupBy(*ROW).agg(F.collect_list(F.struct("first", "windows")).alias("cover"))
+    joined = rows.join(cover.hint("merge"), list(ROW), "left").select("doc_id", "text", "cover")
     schema = rows.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.lit("").alias("kept_sha256"), *[F.lit(b"").alias("kept")] * with_bytes).schema
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             data, offs = flat(batch.column("text"))
             ids, cover = batch.column("doc_id"), batch.column("cover")
             for a in range(0, len(batch), 512):

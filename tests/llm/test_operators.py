@@ -9,6 +9,7 @@ import string
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from floodplain.llm import bwt, chat, components, decontam, htmltext, langid, linededup, mixing, neardup, setsketch, substrings, surrogates, topk
@@ -175,9 +176,9 @@ def brute_repeats(rows, width=200):
     return out
 
 
-@pytest.mark.parametrize("split", [4096, 1])
-def test_repeated_substrings(docs, split):
-    got = {r[0]: tuple(r[1:]) for r in substrings.remove_repeats(docs, split).drop("kept").collect()}
+@pytest.mark.parametrize("place_bytes", [substrings.PLACE_BYTES, 1])
+def test_repeated_substrings(docs, place_bytes):
+    got = {r[0]: tuple(r[1:]) for r in substrings.remove_repeats(docs, place_bytes).drop("kept").collect()}
     assert got == brute_repeats(corpus())
 
 
@@ -194,10 +195,52 @@ def test_transform_merge_round_trip():
     rng = np.random.default_rng(6)
     base = rng.integers(97, 100, 2000).astype(np.uint8)
     strings = [base[a : a + n].copy() for a, n in zip(rng.integers(0, 1500, 30), rng.integers(0, 420, 30))]
-    seen = Counter(s[i : i + 200].tobytes() for s in strings for i in range(len(s) - 199))
+    weight = np.ones(30, np.int64)
+    weight[7] = 2
+    seen = Counter()
+    for s, w in zip(strings, weight.tolist()):
+        seen.update({k: w * n for k, n in Counter(s[i : i + 200].tobytes() for i in range(len(s) - 199)).items()})
+    exp = [seen[s[i : i + 200].tobytes()] > 1 for s in strings for i in range(len(s) - 199)]
     for size in (400, 10_000_000):
-        got = bwt.repeated(strings, 200, size)
-        assert all(g.tolist() == [seen[s[i : i + 200].tobytes()] > 1 for i in range(len(s) - 199)] for s, g in zip(strings, got))
+        assert bwt.repeated(np.concatenate(strings), np.r_[0, np.cumsum([len(s) for s in strings])], weight, 200, size).tolist() == exp
+    wide = np.concatenate([base] * 40)  # ranks of more than 16 bits
+    assert bwt.repeated(wide, np.array([0, len(wide)]), np.ones(1, np.int64), 200, 30_000).all()
+
+
+def test_symbols_are_bytes_even_where_hashes_collide(monkeypatch):
+    data = np.random.default_rng(1).integers(97, 99, 3000).astype(np.uint8)
+    start = np.arange(len(data) - bwt.STRIDE + 1)
+    exact = bwt.symbols_of(data, start)
+    monkeypatch.setattr(bwt, "span_hash", lambda prefix, a, b: np.asarray(a % 7, np.uint64))
+    assert (bwt.symbols_of(data, start) == np.unique([data[i : i + bwt.STRIDE].tobytes() for i in start.tolist()], return_inverse=True)[1]).all()
+    assert len(np.unique(exact)) == len({data[i : i + bwt.STRIDE].tobytes() for i in start.tolist()})
+
+
+def test_a_place_of_many_equal_windows_is_worked_off_in_pieces():
+    rng = np.random.default_rng(4)
+    kinds = [rng.integers(97, 123, 200).astype(np.uint8).tobytes() for _ in range(4)]
+    order = [0, 1, 0, 0, 2, 0, 0, 0, 1, 0, 3, 0]
+    names = [x.split()[0] for x in substrings.PIECE.split(", ")]
+    rows = [(5, True, 5, 0, i, 0, 1, kinds[k]) for i, k in enumerate(order)]
+    schema = pa.schema(list(zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))))
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[a : a + 2]], schema) for a in range(0, len(rows), 2)]
+    got = {i for b in substrings.by_place(iter(batches), limit=700) for i in b.column("d2").to_pylist()}
+    assert got == {i for i, k in enumerate(order) if order.count(k) > 1}
+
+
+#: Strings of two letters on which polynomial hashes modulo a power of two collide.
+def thue_morse(n, swap=False):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_strings_made_to_collide(spark, n):
+    one, two = thue_morse(n), thue_morse(n, True)
+    rows = [(1, one), (2, one), (3, one), (4, two), (5, two), (6, f"{one} {two} x y z"), (7, f"{two} {one} x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: tuple(r[1:]) for r in linededup.digest(linededup.line_dedup(df)).collect()} == brute_lines(rows)
+    assert {r[0]: tuple(r[1:]) for r in neardup.near_duplicates(df, 85).collect()} == brute_components(rows, 85)
+    assert {r[0]: tuple(r[1:]) for r in substrings.remove_repeats(df).drop("kept").collect()} == brute_repeats(rows)
 
 
 def plain(text):
