@@ -1,8 +1,8 @@
 """Vectorised access to Arrow text columns: byte views, words, word digests, chunking.
 
-Words and lines are known by BLAKE2 digests, so texts that were made to collide
-don't. prefix_hash() and span_hash() are polynomial and only screen: who uses
-them compares bytes afterwards. Every helper works on whole texts. A chunk is a run of rows whose bytes stay
+Whole texts, lines and stretches are known by BLAKE2 digests. Word hashes,
+prefix_hash() and span_hash() only screen: who uses them compares words or bytes
+afterwards. Every helper works on whole texts. A chunk is a run of rows whose bytes stay
 below a limit, so that memory is bounded; a single longer text is a chunk of
 its own.
 """
@@ -15,6 +15,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 CHUNK_BYTES = 1_000_000
 
@@ -144,9 +145,12 @@ def word_codes(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words (A-Z only) and the words' offsets by row. Each distinct word of the rows is digested once."""
+    """Hashes of the lower-cased words (A-Z only) and the words' offsets by row. Each distinct word of the rows is hashed once."""
     distinct, codes, by_row = word_codes(data, offs)
-    return digests(distinct.to_pylist(), 8)[:, 0][codes], by_row
+    own, ends = flat(distinct)
+    raw, ends = own.tobytes(), ends.tolist()
+    hashes = np.fromiter((xxh3_64_intdigest(raw[i:j]) for i, j in zip(ends, ends[1:], strict=False)), U, len(distinct))
+    return hashes[codes], by_row
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, list[np.ndarray]]]:
