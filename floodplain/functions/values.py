@@ -31,11 +31,33 @@ def set_labels(mask: Column, labels: Sequence[str]) -> Column:
     return F.when(mask.isNotNull(), F.concat_ws(",", *parts))
 
 
+#: Bits of a mapped id: instance, schema number, table number, id; the sign stays 0.
+INSTANCE_BITS, SCHEMA_BITS, TABLE_BITS, ID_BITS = 4, 7, 8, 44
+
+
 def partition_id(id_: Column, instance: int, schema: Column, schema_prefix: str, table: Column, table_prefix: str) -> Column:
-    """instance << 59 | schema number << 52 | table number << 44 | id, with numbers after the names' prefixes."""
-    number = lambda name, prefix: F.coalesce(F.regexp_extract(name, f"^{prefix}(\\d+)$", 1).try_cast("long"), F.lit(0).cast("long"))
-    out = F.lit(instance << 59).cast("long").bitwiseOR(F.shiftleft(number(schema, schema_prefix), 52)).bitwiseOR(F.shiftleft(number(table, table_prefix), 44))
-    return out.bitwiseOR(id_.cast("long"))
+    """instance << 59 | schema number << 52 | table number << 44 | id, with numbers after the names' prefixes.
+
+    A part without a prefix counts as 0, and so does a name that is the prefix alone. Any other name that is not its prefix and a number, and a
+    number or id without room in its bits, are errors: they would give two rows one id. A null id stays null.
+    """
+    if not 0 <= instance < 1 << INSTANCE_BITS:
+        raise ValueError(f"instance {instance} is not from 0 to {(1 << INSTANCE_BITS) - 1}")
+
+    def within(value: Column, bits: int, what: str, of: Column) -> Column:
+        return F.when((value >= 0) & (value < 1 << bits), value).otherwise(F.raise_error(F.concat(F.lit(f"{what} has no room in {bits} bits: "), of.cast("string"))).cast("long"))
+
+    def number(name: Column, prefix: str, bits: int, what: str) -> Column:
+        if not prefix:
+            return F.lit(0).cast("long")
+        digits = F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1 << 20))
+        value = F.when(digits == "", F.lit(0).cast("long")).when(digits.rlike(r"^\d{1,18}$"), digits.try_cast("long"))
+        wrong = F.raise_error(F.concat(F.lit(f"{what} is not {prefix!r} and a number: "), name)).cast("long")
+        return F.when(value.isNull(), wrong).otherwise(within(value, bits, what, name))
+
+    parts = F.lit(instance << 59).cast("long")
+    parts = parts.bitwiseOR(F.shiftleft(number(schema, schema_prefix, SCHEMA_BITS, "schema"), 52)).bitwiseOR(F.shiftleft(number(table, table_prefix, TABLE_BITS, "table"), 44))
+    return F.when(id_.isNotNull(), parts.bitwiseOR(within(id_.cast("long"), ID_BITS, "id", id_)))
 
 
 def add_prefix(column: Column, prefix: str) -> Column:

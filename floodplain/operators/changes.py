@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import DELETE, INSERT, UPDATE, Table, image_of
+from .expressions import condition
 
 # ---------------------------------------------------------------- expression filters
 
@@ -24,49 +25,27 @@ class RowFilter:
     delete: str | None = None
 
 
-def _on_image(text: str | None, image: str, columns: Sequence[str]) -> Column | None:
-    """The expression over an image's fields; an unknown column makes it false, so that nothing is dropped."""
-    if text is None:
-        return None
-    strings = re.compile(r"'(?:[^'\\]|\\.|'')*'")
-    bare = strings.sub("''", text)
-    names = {w for w in re.findall(r"(?<![\w.'\"$])[A-Za-z_]\w*(?!\s*\(|\w)", bare)}
-    words = set("and or not null is in like rlike between true false case when then else end div mod interval year month day hour minute second date timestamp timestamp_ntz as cast int bigint double string decimal boolean escape x".split())
-    known = {c.lower(): c for c in columns}
-    unknown = {n for n in names if n.lower() not in known and n.lower() not in words}
-    if unknown:
-        return F.lit(False)
-    parts, at = [], 0
-    for m in [*strings.finditer(text), None]:
-        code = text[at : m.start() if m else len(text)]
-        parts.append(re.sub(r"(?<![\w.])([A-Za-z_]\w*)(?!\s*\(|\w)", lambda w: f"{image}.`{known[w[1].lower()]}`" if w[1].lower() in known else w[1], code))
-        if m:
-            parts.append(m[0])
-            at = m.end()
-    return F.coalesce(F.expr("".join(parts)).cast("boolean"), F.lit(False))
-
-
-def dropped(filters: Sequence[RowFilter], columns: Sequence[str], op: str = "op", before: str = "before", after: str = "after") -> Column:
-    """Whether a change is dropped: by any of the filters of its kind. An expression that is null drops nothing."""
+def dropped(filters: Sequence[RowFilter], image: T.StructType, op: str = "op", before: str = "before", after: str = "after") -> Column:
+    """Whether a change is dropped: by any of the filters of its kind. An expression that is null, or names an unknown column, drops nothing."""
     out = F.lit(False)
+    holds = lambda text, side: F.lit(True) if text is None else condition(text, side, image)
     for f in filters:
         if f.insert is not None:
-            out |= (F.col(op) == INSERT) & _on_image(f.insert, after, columns)
+            out |= (F.col(op) == INSERT) & holds(f.insert, after)
         if f.delete is not None:
-            out |= (F.col(op) == DELETE) & _on_image(f.delete, before, columns)
+            out |= (F.col(op) == DELETE) & holds(f.delete, before)
         if f.update_old is not None or f.update_new is not None:
-            old, new = _on_image(f.update_old, before, columns), _on_image(f.update_new, after, columns)
-            out |= (F.col(op) == UPDATE) & (F.lit(True) if old is None else old) & (F.lit(True) if new is None else new)
+            out |= (F.col(op) == UPDATE) & holds(f.update_old, before) & holds(f.update_new, after)
     return out
 
 
 def filter_rows(changes: DataFrame, filters: Sequence[RowFilter]) -> DataFrame:
-    return changes.where(~dropped(filters, image_of(changes, "after")))
+    return changes.where(~dropped(filters, changes.schema["after"].dataType))
 
 
 def dropped_counts(changes: DataFrame, filters: Sequence[RowFilter]) -> DataFrame:
     """(op, dropped, kept)."""
-    gone = dropped(filters, image_of(changes, "after"))
+    gone = dropped(filters, changes.schema["after"].dataType)
     return changes.groupBy("op").agg(F.count_if(gone).alias("dropped"), F.count_if(~gone).alias("kept"))
 
 

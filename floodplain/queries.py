@@ -224,20 +224,34 @@ for _name, (_filters, _condition) in _EXPRESSIONS.items():
     query(f"WITH {LOG} SELECT seq, op, user_id FROM log WHERE NOT coalesce({_condition}, false)", _name)(partial(_filtered, filters=_filters))
 
 
-@query("SELECT event_id FROM events WHERE coalesce(CAST(props::JSON->>'$.k' AS BIGINT) > 50, false)")
-def expr_filter_json(spark, sf_dir):
-    return read(spark, sf_dir, "events").where(F.coalesce(values.json_path(F.col("props"), "$.k", "long") > 50, F.lit(False))).select("event_id")
-
-
-@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderdate > TIMESTAMP '1996-06-01 00:00:00')")
-def expr_filter_date(spark, sf_dir):
-    return read(spark, sf_dir, "orders").where(~F.expr("coalesce(o_orderdate > timestamp_ntz'1996-06-01 00:00:00', false)")).select("o_orderkey")
-
-
-@query("SELECT p_partkey, list_position(string_split(p_type, ' '), 'BRASS') AS place FROM part WHERE list_position(string_split(p_type, ' '), 'BRASS') > 0")
-def expr_filter_find_in_set(spark, sf_dir):
-    place = F.expr("find_in_set('BRASS', replace(p_type, ' ', ','))")
-    return read(spark, sf_dir, "part").select("p_partkey", place.alias("place")).where("place > 0")
+def _kept_rows(spark: SparkSession, sf_dir: str, table: str, key: str, columns: dict[str, str], text: str) -> DataFrame:
+    """The keys of a table's rows that an insert filter keeps, with image columns as given."""
+    rows = read(spark, sf_dir, table).select(F.lit("I").alias("op"), F.struct(key, *[F.expr(e).alias(c) for c, e in columns.items()]).alias("after"))
+    log_ = rows.withColumn("before", F.lit(None).cast(rows.schema["after"].dataType))
+    return changes.filter_rows(log_, [RowFilter(insert=text)]).select(f"after.{key}")
+
+
+#: Name: table, its key, image columns in Spark SQL, the expression, and the rows that it holds for in SQL.
+_DIALECT = {
+    "expr_filter_bit": ("orders", "o_orderkey", {"c": "o_orderkey % 16"}, "c = b'1111'", "o_orderkey % 16 = 15"),
+    "expr_filter_hex": ("orders", "o_orderkey", {"c": "cast(left(o_orderpriority, 2) as binary)"}, "c = x'312D'", "o_orderpriority LIKE '1-%'"),
+    "expr_filter_json": ("events", "event_id", {"props": "props"}, 'props->"$.k" > 50', "CAST(props::JSON->>'$.k' AS BIGINT) > 50"),
+    "expr_filter_date": ("orders", "o_orderkey", {"d": "o_orderdate"}, "d > '1996-06-01 00:00:00'", "o_orderdate > TIMESTAMP '1996-06-01 00:00:00'"),
+    "expr_filter_offset": ("orders", "o_orderkey", {"d": "o_orderdate"}, "d >= '1996-06-01 02:00:00+02:00' and d < '1997-01-01'", "o_orderdate >= TIMESTAMP '1996-06-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01'"),
+    "expr_filter_time": ("orders", "o_orderkey", {"t": "concat('-', o_orderkey % 800, ':30:00.5')"}, "t = '-10:30:00.5' or t in ('-20:30:00.5', '-30:30:00.5')", "o_orderkey % 800 IN (10, 20, 30)"),
+    "expr_filter_year": ("orders", "o_orderkey", {"y": "year(o_orderdate)", "d": "o_orderdate"}, "y = '1996' or year(d) = 1997", "year(o_orderdate) IN (1996, 1997)"),
+    "expr_filter_now": ("events", "event_id", {"ts": "case when event_id % 3 = 0 then localtimestamp() + interval 1 day else ts end"}, "ts > NOW()", "event_id % 3 = 0"),
+    "expr_filter_find_in_set": ("part", "p_partkey", {"c": "replace(p_name, ' ', ',')"}, "find_in_set('ring', c) > 0", "list_contains(string_split(p_name, ' '), 'ring')"),
+    "expr_filter_enum": ("customer", "c_custkey", {"c": "lower(c_mktsegment)"}, "c = 'machinery' or c like 'house%'", "c_mktsegment = 'MACHINERY' OR c_mktsegment LIKE 'HOUSE%'"),
+    "expr_filter_backquoted": ("events", "event_id", {"value": "value", "a`b": "event_type"}, "`value` > 50 && `a``b` != 'view'", "value > 50 AND event_type <> 'view'"),
+    "expr_filter_xor": ("events", "event_id", {"value": "value", "c": "event_type"}, "value > 50 xor c = 'click'", "(value > 50) <> (event_type = 'click')"),
+    "expr_filter_or": ("events", "event_id", {"value": "value", "c": "event_type"}, "value > 90 || c != 'click' && !(value between 10 and 60)", "value > 90 OR (event_type <> 'click' AND NOT (value BETWEEN 10 AND 60))"),
+    "expr_filter_decimal": ("customer", "c_custkey", {"c": "cast(c_acctbal as decimal(12,2))", "f": "cast(c_acctbal as float)"}, "c >= 25 and f < 5000.5 and c / 0 is null and c div 100 % 2 = 1", "c_acctbal >= 25 AND c_acctbal < 5000.5 AND trunc(c_acctbal / 100)::BIGINT % 2 = 1"),
+    "expr_filter_null_safe": ("orders", "o_orderkey", {"c": "nullif(o_orderstatus, 'P')"}, "c <=> null or c is not null and c <> 'F'", "o_orderstatus IN ('P', 'O')"),
+    "expr_filter_case": ("orders", "o_orderkey", {"s": "o_orderstatus", "k": "o_custkey"}, "case s when 'P' then k > 500 when 'F' then k & 1 = 1 else false end", "(o_orderstatus = 'P' AND o_custkey > 500) OR (o_orderstatus = 'F' AND o_custkey % 2 = 1)"),
+}
+for _name, (_table, _key, _columns, _expression, _holds) in _DIALECT.items():
+    query(f"SELECT {_key} FROM {_table} WHERE NOT coalesce({_holds}, false)", _name)(partial(_kept_rows, table=_table, key=_key, columns=_columns, text=_expression))
 
 
 @query(f"""WITH {LOG} SELECT op, count(*) FILTER (WHERE gone) AS dropped, count(*) FILTER (WHERE NOT gone) AS kept FROM (
@@ -264,6 +278,13 @@ def partition_id_golden(spark, sf_dir):
     return rows.withColumn("mapped", values.partition_id(F.col("id"), 1, name("stest_", "s"), "stest_", name("t_", "t"), "t_"))
 
 
+@query("SELECT o_orderkey, ((15::BIGINT << 59) | (127::BIGINT << 52) | ((o_orderkey % 256)::BIGINT << 44) | (17592186044415 - o_orderkey)) AS id FROM orders")
+def partition_id_largest(spark, sf_dir):
+    """The largest legal instance, schema, table and ids."""
+    t, k = F.concat(F.lit("t.+"), F.col("o_orderkey") % 256), F.lit((1 << 44) - 1) - F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select("o_orderkey", values.partition_id(k, 15, F.lit("shop(127"), "shop(", t, "t.+").alias("id"))
+
+
 @query("SELECT p_partkey, 'p:' || p_partkey AS prefixed FROM part")
 def add_prefix(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", values.add_prefix(F.col("p_partkey"), "p:").alias("prefixed"))
@@ -302,8 +323,10 @@ def time_intervals(spark, sf_dir):
 @query("SELECT c_custkey, c_name, c_nationkey + 1 AS g FROM customer")
 def generated_columns(spark, sf_dir):
     """Generated columns are left out of the image and made anew at the target."""
-    rows = read(spark, sf_dir, "customer").withColumn("g", F.lit(-1)).drop("g")
-    return rows.select("c_custkey", "c_name", (F.col("c_nationkey") + 1).alias("g"))
+    rows = read(spark, sf_dir, "customer").select(F.lit("I").alias("op"), F.col("c_custkey").alias("seq"), F.struct("c_custkey", "c_name", "c_nationkey", F.lit(-1).alias("g")).alias("after"))
+    log_ = changes.without_columns(rows.withColumn("before", F.lit(None).cast(rows.schema["after"].dataType)), ["g"])
+    applied = changes.apply_keyed(spark.createDataFrame([], "c_custkey long, c_name string, c_nationkey int"), changes.compact(log_, ["c_custkey"], ["seq"]), ["c_custkey"])
+    return applied.select("c_custkey", "c_name", (F.col("c_nationkey") + 1).alias("g"))
 
 
 # ---------------------------------------------------------------- shards
@@ -315,16 +338,13 @@ def _shard(spark: SparkSession, sf_dir: str, i: int) -> DataFrame:
 
 @query("SELECT o_custkey % 3 AS shard, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
 def shard_union(spark, sf_dir):
-    all_ = None
-    for i in range(3):
-        one = _shard(spark, sf_dir, i).withColumn("shard", F.lit(i).cast("long"))
-        all_ = one if all_ is None else all_.unionByName(one)
-    return all_.groupBy("shard").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    all_ = tables.union_shards({i: _shard(spark, sf_dir, i) for i in range(3)}, "shard")
+    return all_.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
 @query("SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 3 <> 1 THEN o_orderstatus END AS o_orderstatus FROM orders")
 def shard_union_missing_cols(spark, sf_dir):
-    return _shard(spark, sf_dir, 0).unionByName(_shard(spark, sf_dir, 1).drop("o_orderstatus"), allowMissingColumns=True).unionByName(_shard(spark, sf_dir, 2))
+    return tables.union_shards({0: _shard(spark, sf_dir, 0), 1: _shard(spark, sf_dir, 1).drop("o_orderstatus"), 2: _shard(spark, sf_dir, 2).withColumn("o_custkey", F.col("o_custkey").cast("int"))})
 
 
 _DDLS = [("events_0", 2000), ("events_1", 4000), ("events_2", 3000), ("events_3", 5000), ("events_1", 6000)]
@@ -468,10 +488,15 @@ def diff_ignore_columns(spark, sf_dir):
 # ---------------------------------------------------------------- monitoring
 
 
-@query(f"WITH {LOG} SELECT op, src_table AS target_table, count(*) AS n FROM log GROUP BY ALL")
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 (reflected polynomial 0xEDB88320) of a text of ASCII characters."""
+    step = "lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: list_reduce([xor(c, b)] || list_transform(range(8), lambda z: z::BIGINT), {step})), 4294967295::BIGINT)"
+
+
+@query(f"WITH {LOG} SELECT ({_crc32('seq::VARCHAR')} % 16)::INT AS queue, op, src_table AS target_table, count(*) AS n FROM log GROUP BY ALL")
 def job_counts(spark, sf_dir):
-    out = monitor.job_counts(changelog(spark, sf_dir), F.col("seq"))
-    return out.groupBy("op", "target_table").agg(F.sum("n").alias("n"))
+    return monitor.job_counts(changelog(spark, sf_dir), F.col("seq"))
 
 
 @query(f"WITH {LOG}, f AS (SELECT user_id % 16 AS w, min(ts) AS ts FROM log WHERE seq > 5 GROUP BY 1) SELECT (floor(epoch((SELECT max(ts) FROM log))) - 2 - floor(epoch(min(ts))))::BIGINT AS lag FROM f")
@@ -642,19 +667,21 @@ def location_compare(spark, sf_dir):
 # ---------------------------------------------------------------- DDL: no SQL says these, tests hold them against their rules
 
 
-@query()
+@query("""SELECT * FROM (VALUES (0, 0, 'ALTER TABLE `db`.`t` ADD COLUMN a int'), (0, 1, 'ALTER TABLE `db`.`t` ADD COLUMN b int'), (0, 2, 'ALTER TABLE `db`.`t` drop column c'), (0, 3, 'RENAME TABLE `db`.`t` TO `db`.`u`'),
+(1, 0, 'DROP TABLE IF EXISTS `db`.`a`'), (1, 1, 'DROP TABLE IF EXISTS `db`.`b`'), (2, 0, 'RENAME TABLE `db`.`a` TO `db`.`b`'), (2, 1, 'RENAME TABLE `db`.`c` TO `db`.`d`'), (3, 0, 'create TABLE IF NOT EXISTS `db`.`x` (id int)')) AS t(statement, part, ddl)""")
 def ddl_split(spark, sf_dir):
     sql = ["alter table t add column (a int, b int), drop column c, rename to u", "drop table a, b", "rename table a to b, c to d", "create table x (id int)"]
     return spark.createDataFrame([(i, j, part) for i, s in enumerate(sql) for j, part in enumerate(ddl.split(s, "db"))], "statement int, part int, ddl string")
 
 
-@query()
+@query("SELECT n_nationkey, 'ALTER TABLE `merged`.`events` ADD COLUMN c_' || n_nationkey || ' int' AS ddl FROM nation")
 def ddl_route(spark, sf_dir):
-    names = {("app", f"events_{i}"): ("merged", "events") for i in range(4)}
-    return spark.createDataFrame([(i, ddl.renamed(f"ALTER TABLE events_{i} ADD COLUMN c int", names, "app")) for i in range(4)], "i int, ddl string")
+    keys = [r[0] for r in read(spark, sf_dir, "nation").select("n_nationkey").collect()]
+    names = {("app", f"events_{i}"): ("merged", "events") for i in keys}
+    return spark.createDataFrame([(i, ddl.renamed(f"ALTER TABLE events_{i} ADD COLUMN c_{i} int", names, "app")) for i in keys], "n_nationkey int, ddl string")
 
 
-@query()
+@query("SELECT * FROM (VALUES (0, 'ALTER TABLE `db`.`t0` ADD COLUMN c2 int', false), (1, 'ALTER TABLE `db`.`t1` ADD COLUMN c2 int', false), (2, 'ALTER TABLE `db`.`t2` ADD COLUMN c2 int', false)) AS t(shard, ddl, resolved)")
 def optimistic_merge(spark, sf_dir):
     base = ddl.create_schema("CREATE TABLE t (id bigint primary key, c1 varchar(20))")
     lock, out = lattice.Lock({("s", "db", f"t{i}"): base for i in range(3)}), []
@@ -663,21 +690,21 @@ def optimistic_merge(spark, sf_dir):
     return spark.createDataFrame(out, "shard int, ddl string, resolved boolean")
 
 
-@query()
+@query("SELECT n::INT AS n, ddl, row::INT AS row FROM (VALUES (0, '', 0), (1, '', 2), (2, '', 4), (3, 'ALTER', NULL), (4, '', 1), (5, '', 3), (6, '', 5)) AS t(n, ddl, row)")
 def pessimistic_merge(spark, sf_dir):
     events = [{"member": ("db", f"t{i}"), **e} for i in range(3) for e in ({"row": 2 * i}, {"ddl": "ALTER"}, {"row": 2 * i + 1})]
     out = shards.merge_batches(events, {("db", f"t{i}") for i in range(3)})
-    return spark.createDataFrame([(n, str(e.get("ddl", "")), e.get("row")) for n, e in enumerate(out)], "n int, ddl string, row int")
+    return spark.createDataFrame([(n, " ".join(e.get("ddl", ())), e.get("row")) for n, e in enumerate(out)], "n int, ddl string, row int")
 
 
-@query()
+@query("SELECT 'ALTER TABLE `db`.`t` add column x int' AS ddl")
 def online_change_replay(spark, sf_dir):
     online = shards.OnlineLog()
     run = [s for x in ("create table _t_gho like t", "alter table _t_gho add column x int", "rename table t to _t_del, _t_gho to t") for part in ddl.split(x, "db") for s in online.apply(part, "db")]
     return spark.createDataFrame([(s,) for s in run], "ddl string")
 
 
-@query()
+@query(f"WITH {LOG} SELECT ({_crc32('user_id::VARCHAR')} % 16)::INT AS queue, op, src_table AS target_table, count(*) AS n FROM log GROUP BY ALL")
 def apply_workers(spark, sf_dir):
     """Changes by worker: CRC-32 of the key modulo 16."""
     return monitor.job_counts(changelog(spark, sf_dir), F.coalesce("after.user_id", "before.user_id"))

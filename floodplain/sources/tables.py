@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_ROWS = 200_000
 
@@ -27,6 +28,27 @@ def jdbc_snapshot(spark: SparkSession, url: str, table: str, key: str, low: int,
     return spark.read.jdbc(url, table, predicates=[f"({r}) and ({where})" if where else r for r in ranges], properties=dict(options))
 
 
+def union_shards(shards: Mapping[object, DataFrame], member: str | None = None) -> DataFrame:
+    """All rows of shards of one table, none dropped. A column that a shard lacks is null there; a column of several numeric types gets the widest.
+
+    Columns match by name in any case; other differences of type are an error. `member` names a column for the shard's own name.
+    """
+    out, kinds = None, {}
+    for name, df in shards.items():
+        for f in df.schema:
+            kinds.setdefault(f.name.lower(), set()).add(f.dataType)
+        df = df.withColumn(member, F.lit(name)) if member else df
+        if out is None:
+            out = df
+            continue
+        known = {c.lower(): c for c in out.columns}
+        out = out.unionByName(df.withColumnsRenamed({c: known.get(c.lower(), c) for c in df.columns}), allowMissingColumns=True)
+    mixed = {c: sorted(t.simpleString() for t in ts) for c, ts in kinds.items() if len(ts) > 1 and not all(isinstance(t, T.NumericType) for t in ts)}
+    if mixed:
+        raise ValueError(f"shards differ in the types of {mixed}")
+    return out
+
+
 def append_log(changes: DataFrame, path: str) -> None:
     """Adds changes to a stored log, partitioned by epoch and file."""
     changes.write.mode("append").partitionBy("epoch", "file_seq").parquet(path)

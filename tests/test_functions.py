@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from floodplain.functions import locations, values
@@ -39,7 +40,7 @@ def test_gtid_algebra(spark):
 
 
 def test_values(spark):
-    df = spark.createDataFrame([(-1, None, "t_12", "a%2Fb+c", 0), (None, 5, "t", None, 3)], "x int, big long, t string, n string, m int")
+    df = spark.createDataFrame([(-1, None, "t_12", "a%2Fb+c", 0), (None, 5, "t_", None, 3)], "x int, big long, t string, n string, m int")
     (one, two) = df.select(
         values.unsigned(F.col("x"), "tinyint").alias("u8"), values.unsigned(F.col("x"), "int").alias("u32"), values.unsigned(F.col("x").cast("long"), "bigint").alias("u64"), values.partition_id(F.lit(7), 0, F.lit("s"), "s", F.col("t"), "t_").alias("p"),
         values.unescape_name(F.col("n")).alias("n"), values.enum_label(F.col("m"), ["a"]).alias("e"), values.set_labels(F.col("m"), ["a", "b"]).alias("s"), values.percent(F.lit(1), F.col("m")).alias("pc"), values.zero_date(F.lit("2020-00-01")).alias("z"),
@@ -56,3 +57,17 @@ def test_positions_and_names(spark):
     assert order == ["b.000009", "b.1000000", "b|000001.000003", "b|000002.000001"]
     row = df.select(locations.with_epoch(F.lit("b"), F.lit(2), F.lit(7)).alias("e"), locations.file_name(F.lit("b"), F.lit(1234567)).alias("n"), locations.file_name(F.lit("b"), F.lit(12)).alias("m")).first()
     assert tuple(row) == ("b|000002.000007", "b.1234567", "b.000012")
+
+
+@pytest.mark.parametrize(("instance", "schema", "table", "id_"), [(1, "s_1", "t_300", 7), (1, "s_1", "t_0", (1 << 44) + 7), (1, "s_x", "t_1", 7), (1, "other", "t_1", 7), (1, "s_128", "t_1", 7), (1, "s_1", "t_1", -1), (16, "s_1", "t_1", 7), (-1, "s_1", "t_1", 7)])
+def test_ids_without_room_are_errors(spark, instance, schema, table, id_):
+    row = spark.createDataFrame([(schema, table, id_)], "s string, t string, i long")
+    with pytest.raises(Exception, match="has no room|is not"):
+        row.select(values.partition_id(F.col("i"), instance, F.col("s"), "s_", F.col("t"), "t_")).collect()
+
+
+def test_the_largest_ids(spark):
+    rows = spark.createDataFrame([("s+127", "t.255", (1 << 44) - 1), ("s+", "t.", None), ("s+1", "t.2", 10)], "s string, t string, i long")
+    got = [r[0] for r in rows.select(values.partition_id(F.col("i"), 15, F.col("s"), "s+", F.col("t"), "t.")).collect()]
+    assert got == [(1 << 63) - 1, None, 15 << 59 | 1 << 52 | 2 << 44 | 10]
+    assert rows.select(values.partition_id(F.col("i"), 1, F.col("s"), "", F.col("t"), "")).collect()[2][0] == 1 << 59 | 10
