@@ -134,26 +134,6 @@ def stream_topic(spark: SparkSession, servers: str, topic: str, image: str) -> D
     return from_envelope(raw.select(F.col("value").cast("string").alias("value")), image)
 
 
-def load_files(target: VersionedTable, files: DataFrame, rows: DataFrame, manifest: VersionedTable) -> bool:
-    """Adds rows (with _file) of the files that the manifest doesn't have yet, and those files to the manifest, in one batch.
-
-    The manifest is written after the rows. A crash between both leaves the same batch to run again, which
-    rewrites the same version; so a file's rows are there once.
-    """
-    batch = manifest.committed() + 1
-    done = manifest.read("filename string, end_pos long")
-    new = files.join(done, "filename", "left_anti").select("filename", F.col("end_pos").cast("long").alias("end_pos"))
-    if new.isEmpty():
-        return False
-    came = rows.join(new.select(F.col("filename").alias("_file")), "_file", "left_semi").drop("_file")
-    before = target.spark.read.parquet(f"{target.path}/v={batch - 1}") if batch else None
-    df = came if before is None else before.unionByName(came, allowMissingColumns=True)
-    df.write.mode("overwrite").parquet(f"{target.path}/v={batch}")
-    manifest.write(done.unionByName(new), batch)
-    target.commit(batch)
-    return True
-
-
 def log_events(n: int, rows_per_event: int = 2, seed: int = 1) -> list[dict]:
     """Made-up raw log events for tests: format, gtid, table map, rows, commit, in files with positions, and some holes."""
     import random

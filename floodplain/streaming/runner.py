@@ -1,9 +1,11 @@
-"""The same operators on a stream: rules, compaction and apply in foreachBatch, with commits by batch id."""
+"""The same operators on a stream: rules, statements, compaction and apply in foreachBatch, with commits by batch id."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..model import LOCATION
-from ..operators.changes import RowFilter, apply_keyed, compact, filter_rows, split_key_changes
-from ..operators.log import committed, without_replays
-from ..operators.rules import AllowList, EventRule, Route, allow, event_action, route, row_event
-from ..sources.tables import VersionedTable
+from ..model import LOCATION, location
+from ..operators.changes import RowFilter, compact, filter_rows, safe_mode, split_key_changes
+from ..operators.log import without_replays
+from ..operators.rules import AllowList, EventRule, Route, allow, event_action, route, row_event, skipped_statement
+from ..plans import ddl
+from ..plans.history import SafeMode
+from ..sources.merged import Change, MergedTable
 
 
 @dataclass
@@ -40,35 +44,111 @@ class Task:
         rows = filter_rows(rows, self.filters) if self.filters else rows
         return route(rows, self.routes)
 
-    def delta(self, log: DataFrame) -> DataFrame:
-        """The compacted changes. Compaction takes a repeated event as it takes one, so no shuffle is spent on telling them apart."""
-        rows = split_key_changes(self.changes(log, once=False), self.key)
+    def delta(self, log: DataFrame, safe: bool = False) -> DataFrame:
+        """The compacted changes. Compaction takes a repeated event as it takes one, so no shuffle is spent on telling them apart.
+
+        In safe mode every update deletes its old row first, so changes can come again from any point on.
+        """
+        rows = self.changes(log, once=False)
+        rows = safe_mode(rows) if safe else split_key_changes(rows, self.key)
         return compact(rows, self.key, [*LOCATION, "part_idx"])
 
 
+MEMBER = ("src_id", "src_schema", "src_table")
+EPOCH = "ddl_epoch"
+
+
 class Replication:
-    """Applies a changelog stream to a versioned target; a batch that comes twice is applied once."""
+    """Applies a changelog stream to a merged table; a batch that comes twice is applied once.
 
-    def __init__(self, task: Task, target: VersionedTable, schema, offsets: VersionedTable | None = None):
-        self.task, self.target, self.schema, self.offsets = task, target, schema, offsets
+    A batch is one commit: the rows of the buckets that it touches, how far every table's log has been read, rows that must wait, and the
+    statements followed. Only whole transactions are applied; rows after a source's last commit wait for the next batch.
+
+    Statements come in the log as rows with `ddl` (a column that logs without statements may lack). Without `members`, each is followed where
+    it stands in its source's log. With `members`, the tables (src_id, src_schema, src_table) of one shard group, a statement is followed once
+    all members have reached it, and a member's rows after it wait until then; the k-th statement of every member must be the same.
+    """
+
+    def __init__(self, task: Task, target: MergedTable, members: Sequence[tuple[str, str, str]] | None = None, safe: SafeMode | None = None, clock: Callable[[], float] = time.time):
+        self.task, self.target, self.members, self.safe, self.clock = task, target, members, safe, clock
 
     def batch(self, log: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.target.committed():
+        change = self.target.change(batch_id)
+        if not change.open:
             return
-        now = apply_keyed(self.target.read(self.schema), self.task.delta(log), self.task.key)
-        if self.offsets is not None:
-            self.offsets.write(self.points(log), batch_id)
-        self.target.write(now, batch_id)
+        waiting = self.target.side("waiting") if self.target.committed() >= 0 else None
+        rows = log if "ddl" in log.columns else log.withColumn("ddl", F.lit(None).cast("string"))
+        rows = rows.withColumn(EPOCH, F.lit(None).cast("long"))
+        rows = rows if waiting is None else waiting.unionByName(rows)
+        last = rows.where("is_commit").groupBy("src_id").agg(F.max(location()).alias("_last"))
+        marked = rows.join(last, "src_id", "left").withColumn("_whole", F.coalesce(location() <= F.col("_last"), F.lit(False))).drop("_last")
+        whole, rest = marked.where("_whole").drop("_whole"), marked.where("not _whole").drop("_whole")
+        held = self._followed(change, whole) if self.members is None else self._grouped(change, whole)
+        keep = rest if held is None else rest.unionByName(held)
+        change.side("waiting", keep)
+        change.side("points", self.points(whole))
+        change.commit()
         for callback in self.task.after_batch:
             callback(log, batch_id)
 
-    def points(self, log: DataFrame) -> DataFrame:
-        """(src_id, src_schema, src_table, point, ts): how far each table's log has been read, never backwards. Rows that rules drop count too."""
-        new = log.groupBy("src_id", "src_schema", "src_table").agg(F.max(F.struct(*LOCATION)).alias("point"), F.max("ts").alias("ts"))
-        if self.offsets is None or self.offsets.committed() < 0:
-            return new
-        both = self.offsets.read().unionByName(new)
-        return both.groupBy("src_id", "src_schema", "src_table").agg(F.max("point").alias("point"), F.max("ts").alias("ts"))
+    def _apply(self, change: Change, rows: DataFrame) -> None:
+        at = rows.agg(F.max(location())).first()[0] if self.safe else None
+        safe = at is not None and self.safe.on(tuple(at), self.clock())
+        change.merge(self.task.delta(rows.where("ddl is null").drop("ddl", EPOCH), safe))
+
+    def _statements(self, rows: DataFrame) -> list:
+        """The statements of a batch in the order of their logs: few rows beside the changes. Those of tables that aren't wanted, and those that are always skipped, are left out."""
+        wanted = allow(rows.where(F.col("ddl").isNotNull()), self.task.allow).where(~skipped_statement(F.col("ddl")))
+        return wanted.select(*MEMBER, *LOCATION, "ddl", EPOCH).dropDuplicates([*MEMBER, *LOCATION]).orderBy(*MEMBER, *LOCATION).collect()
+
+    def _followed(self, change: Change, rows: DataFrame) -> None:
+        """Rows and statements as they stand in each source's log."""
+        seen: dict[str, tuple] = {}
+        here = lambda at: F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(LOCATION, at, strict=True)])
+        after = lambda: reduce(lambda x, s: x & ((F.col("src_id") != s) | (location() > here(seen[s]))), sorted(seen), F.lit(True))
+        for d in sorted(self._statements(rows), key=lambda r: (r.src_id, *(r[c] for c in LOCATION))):
+            at = tuple(d[c] for c in LOCATION)
+            self._apply(change, rows.where((F.col("src_id") == d.src_id) & (location() < here(at)) & after()))
+            change.alter(d.ddl)
+            seen[d.src_id] = at
+        self._apply(change, rows.where(after()))
+
+    def _grouped(self, change: Change, rows: DataFrame) -> DataFrame:
+        """Applies what all members have reached; returns the rows that wait. Rows are dealt by member, and only the statements meet by target."""
+        names = ["|".join(m) for m in self.members]
+        counts, statements = dict.fromkeys(names, 0) | change.state["members"], change.state["statements"]
+        marks = []
+        for d in self._statements(rows.where(F.col(EPOCH).isNull())):
+            name = "|".join(d[c] for c in MEMBER)
+            if name not in counts:
+                raise ValueError(f"{name} is no member of the group")
+            k, text = counts[name], ddl.renamed(d.ddl, {(d.src_schema, d.src_table): ("group", "table")}, d.src_schema)
+            if k < len(statements) and statements[k] != text:
+                raise ValueError(f"statement {k} of {name} is {text!r}, and of others {statements[k]!r}")
+            statements += [text] * (k == len(statements))
+            counts[name] = k + 1
+            marks.append(tuple(d[c] for c in (*MEMBER, *LOCATION)))
+        before = change.state["members"] or dict.fromkeys(names, 0)
+        done, now = min((before.get(n, 0) for n in names), default=0), min(counts.values())
+        base = self.target.spark.createDataFrame([(*n.split("|"), c) for n, c in sorted(before.items())] or [("", "", "", 0)], "src_id string, src_schema string, src_table string, _base long")
+        spans = self.target.spark.createDataFrame(marks, rows.select(*MEMBER, *LOCATION).schema).groupBy(*MEMBER).agg(F.array_sort(F.collect_list(F.struct(*LOCATION))).alias("_marks"))
+        numbered = rows.join(base, list(MEMBER), "left").join(spans, list(MEMBER), "left")
+        own = F.coalesce("_base", F.lit(0)) + F.when(F.col("_marks").isNull(), 0).otherwise(F.size(F.filter("_marks", lambda d: d < location())))
+        numbered = numbered.withColumn(EPOCH, F.coalesce(EPOCH, own.cast("long"))).where("ddl is null").select(*rows.columns)
+        for k in range(done, now + 1):
+            self._apply(change, numbered.where(F.col(EPOCH) == k) if k > done else numbered.where(F.col(EPOCH) <= k))
+            if k < now:
+                change.alter(statements[k])
+        change.state["members"], change.state["statements"] = counts, statements
+        if self.safe:
+            self.safe.holders = int(now < max(counts.values()))
+        return numbered.where(F.col(EPOCH) > now)
+
+    def points(self, rows: DataFrame) -> DataFrame:
+        """(MEMBER, point, ts): how far each table's log has been read, never backwards. Rows that rules drop count too."""
+        new = rows.groupBy(*MEMBER).agg(F.max(location()).alias("point"), F.max("ts").alias("ts"))
+        old = self.target.side("points") if self.target.committed() >= 0 else None
+        return new if old is None else old.unionByName(new).groupBy(*MEMBER).agg(F.max("point").alias("point"), F.max("ts").alias("ts"))
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
@@ -76,31 +156,16 @@ class Replication:
 
 
 def load_then_follow(replication: Replication, snapshot: DataFrame, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-    """A full load as the first version, then the log from the snapshot's location on; log rows before it find their result there already."""
-    replication.target.write(snapshot, 0)
-    shifted = Replication(replication.task, _Shifted(replication.target), replication.schema, replication.offsets and _Shifted(replication.offsets))
-    return shifted.start(stream, checkpoint)
-
+    """A full load as the first commit, then the log from the snapshot's location on; log rows before it find their result there already.
 
-class _Shifted:
-    """A versioned table whose batch n is version n + 1, after a full load as version 0."""
-
-    def __init__(self, table: VersionedTable):
-        self.table = table
-
-    def committed(self) -> int:
-        return self.table.committed() - 1
-
-    def read(self, schema=None) -> DataFrame:
-        return self.table.read(schema)
-
-    def write(self, df: DataFrame, batch: int) -> bool:
-        return self.table.write(df, batch + 1)
-
-
-def whole_transactions(log: DataFrame) -> DataFrame:
-    """The part of a batch up to each source's last commit."""
-    return committed(log)
+    The load is batch 0, so the stream's batch n is commit n + 1.
+    """
+    change = replication.target.change(0)
+    if change.open:
+        change.load(snapshot)
+        change.commit()
+    writer = stream.writeStream.foreachBatch(lambda df, i: replication.batch(df, i + 1)).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
 
 class ShardBarrier(StatefulProcessor):

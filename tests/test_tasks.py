@@ -6,7 +6,7 @@ import pytest
 
 from floodplain.plans import checks, ddl, history, task
 from floodplain.queries import TASK
-from floodplain.sources.tables import VersionedTable, load_files
+from floodplain.sources.merged import MergedTable, load_files
 
 T = ("db", "t")
 
@@ -76,12 +76,12 @@ def test_configuration():
 
 
 def test_files_load_once(spark, tmp_path):
-    target, manifest = VersionedTable(spark, str(tmp_path / "t")), VersionedTable(spark, str(tmp_path / "m"))
+    target = MergedTable(spark, str(tmp_path / "t"), ["id"], "id int, v string", 4)
     files = spark.createDataFrame([("a", 10), ("b", 20)], "filename string, end_pos long")
-    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "_file string, id int")
-    assert load_files(target, files.where("filename = 'a'"), rows, manifest) and not load_files(target, files.where("filename = 'a'"), rows, manifest)
-    assert load_files(target, files, rows, manifest)
-    assert sorted(r.id for r in target.read().collect()) == [1, 2, 3] and manifest.read().count() == 2
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("b", 3, "x"), ("c", 4, "x")], "_file string, id int, v string")
+    assert load_files(target, files.where("filename = 'a'"), rows) and not load_files(target, files.where("filename = 'a'"), rows)
+    assert load_files(target, files, rows) and not load_files(target, files, rows)
+    assert sorted(r.id for r in target.read().collect()) == [1, 2, 3] and target.side("files").count() == 2
 
 
 @pytest.mark.parametrize("name", ["check_images"])
