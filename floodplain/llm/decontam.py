@@ -10,8 +10,8 @@ within e of each other. Diagonals are cut into bands of 2e + 1 that overlap by
 e, so one band holds them all: only bands that reach the bound are aligned, by
 dynamic programming over the band's diagonals and e more on each side.
 
-Items go to the executors in blocks of at most `block_chars` characters, one
-scan of the documents for each block; that bounds what is broadcast.
+Items go to the executors in blocks of about `block_chars` characters, one
+scan of the documents and one broadcast at a time; that bounds what is held at once.
 
 Defined cases: null and empty texts and items match nothing; items with fewer
 than `min_chars` characters after normalising are too short to tell and are
@@ -24,12 +24,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ODD, U, mix, pieces
+from .state import dropped, written
 
 Q = 8
 ERRORS = 0.1
@@ -37,6 +38,8 @@ MIN_CHARS = 24
 GAP = 0xFFFFFFFF
 BITS = 22
 CHUNK_CHARS = 1_000_000
+#: Cells of arrays in one alignment, beyond the one item that is always aligned.
+CELLS = 4_000_000
 
 _lower = np.arange(0x2000, dtype=np.uint32)
 for _i in range(0x2000):
@@ -117,8 +120,13 @@ def align(text: np.ndarray, items: Items, item: np.ndarray, diagonal: np.ndarray
     """The least edit distance between each item and a stretch of the text around its band; those over the budget may come out larger than they are."""
     out = np.zeros(len(item), np.int64)
     order = np.argsort(items.size[item], kind="stable")
-    for a in range(0, len(order), 256):
-        some = order[a : a + 256]
+    a = 0
+    while a < len(order):
+        # As many as fit in CELLS cells, by the longest of 256: rows are in the order of length.
+        longest = order[min(a + 255, len(order) - 1)]
+        cells = int(items.size[item[longest]] + 8 * (4 * items.budget[item[order[a : a + 256]]].max() + 1))
+        some = order[a : a + max(1, min(256, CELLS // cells))]
+        a += len(some)
         own, e, m = item[some], items.budget[item[some]], items.size[item[some]]
         width, height = int((4 * e + 1).max()), int(m.max())
         low = diagonal[some] - e
@@ -179,22 +187,24 @@ def find(texts: list[str | None], items: Items) -> list[tuple[int, int, int]]:
     return found
 
 
-def item_blocks(benchmark: DataFrame, errors: float, min_chars: int, block_chars: int) -> Iterator[Items]:
-    """Items in blocks of about `block_chars` characters, each collected on its own."""
+def item_blocks(benchmark: DataFrame, errors: float, min_chars: int, block_chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """(items, whether these are all) in blocks of about `block_chars` characters: each is collected, sent, and taken back before the next one, so one block is held at a time."""
     rows = benchmark.where("text is not null").select(F.col("item_id"), F.col("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-int(chars) // block_chars)
     for k in range(blocks):
-        part: pd.DataFrame = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").toPandas()
-        if len(part):
-            yield Items([None if pd.isna(x) else int(x) for x in part.item_id], list(part.text), errors, min_chars)
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        if part:
+            shared = benchmark.sparkSession.sparkContext.broadcast(Items([None if r["item_id"] is None else int(r["item_id"]) for r in part], [r["text"] for r in part], errors, min_chars))
+            yield shared, blocks == 1
+            if blocks > 1:
+                shared.destroy()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, min_chars: int = MIN_CHARS, block_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, item_id, errors): each document with each benchmark item that occurs in it."""
     out = None
-    for items in item_blocks(benchmark, errors, min_chars, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    for shared, only in item_blocks(benchmark, errors, min_chars, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
@@ -204,6 +214,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, min_c
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _, _ in hits], pa.int64())), pa.array([own.ids[i] for _, i, _ in hits], pa.int64()), pa.array([x for _, _, x in hits], pa.int32())], ["doc_id", "item_id", "errors"])
 
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, errors int")
+        found = found if only else written(found, "leaks-found")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, errors int")
 
@@ -211,8 +222,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, min_c
 def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, min_chars: int = MIN_CHARS, block_chars: int = 8_000_000) -> DataFrame:
     """The rows of docs in which no benchmark item occurs, in the same columns."""
     kept = docs
-    for items in item_blocks(benchmark, errors, min_chars, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    for shared, only in item_blocks(benchmark, errors, min_chars, block_chars):
         at = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
@@ -221,5 +231,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, min_cha
                 good[[r for r, _, _ in find(batch.column(at).to_pylist(), shared.value)]] = False
                 yield batch.filter(pa.array(good))
 
-        kept = kept.mapInArrow(run, kept.schema)
+        before, kept = kept, kept.mapInArrow(run, kept.schema)
+        if not only:
+            kept = written(kept, "leaks-kept")
+            if before is not docs:
+                dropped(before)
     return kept

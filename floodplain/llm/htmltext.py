@@ -9,8 +9,8 @@ needn't mean anything there (legal, share, banner and the like) are only a mark.
 
 First pass: every block that is left gets points. Structure is the prior: three for
 the element that holds the article, three less outside it, none on pages without one;
-a mark costs three. Evidence is the block's own: many links cost three (a list entry made of
-links alone six), a long block with many stop words gains two, one with few loses
+a mark costs three. Evidence is the block's own: hardly more than links costs three (a list entry six), many
+links three (one where structure speaks for the block), a long block with many stop words gains two, one with few loses
 two, a short one with links loses two where there is no prior. Two points or more are good, less than none is bad,
 a short marked block is bad, and the rest is undecided. Second pass: each undecided block takes the label of
 its nearest decided neighbour (the one before it on a tie between two of one
@@ -230,8 +230,10 @@ def first_pass(block: Block, prior: int) -> bool | None:
     """True: good, False: bad, None: undecided."""
     text, density = block.text, block.linked / len(block.text)
     points = prior - 3 * block.soft
-    if density > LINKED:
-        points -= 6 if density > 0.9 and block.kind == "li" else 3
+    if density > 0.9:
+        points -= 6 if block.kind == "li" else 3
+    elif density > LINKED:
+        points -= 1 if prior > 0 else 3
     if len(text) < SHORT:
         if block.soft:
             return False

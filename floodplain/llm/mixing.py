@@ -29,43 +29,46 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .state import written
+from .state import dropped, written
 
 PATH = ("_domain", "_lang", "_source")
 WORD = r"[^\x20\x09-\x0D]+"
+#: Up to so many leaves (a row of about 100 bytes for each epoch) their budgets are broadcast.
+BROADCAST_LEAVES = 20_000
 
 
 def shares(budget: float, children: Mapping[str, tuple[float, float]]) -> dict[str, float]:
-    """Budgets of siblings {name: (weight, capacity)}: by weight, what one can't use goes to the others by weight."""
+    """Budgets of siblings {name: (weight, capacity)}: by weight, what one can't use goes to the others by weight.
+
+    Siblings fill up in the order of capacity by weight, so one pass in that order finds those that do.
+    """
     out = dict.fromkeys(children, 0.0)
-    open_ = {k for k, (w, c) in children.items() if w > 0 and c > 0}
-    left = budget
-    while open_ and left > 1e-9:
-        total = sum(children[k][0] for k in sorted(open_))
-        full = {k for k in open_ if left * children[k][0] / total >= children[k][1]}
-        if not full:
-            return out | {k: left * children[k][0] / total for k in open_}
-        for k in sorted(full):
-            out[k] = children[k][1]
-            left -= out[k]
-        open_ -= full
+    open_ = sorted((c / w, k) for k, (w, c) in children.items() if w > 0 and c > 0)
+    left, total = budget, sum(children[k][0] for _, k in open_)
+    for i, (_, k) in enumerate(open_):
+        weight, capacity = children[k]
+        if left * weight / total < capacity:
+            return out | {x: left * children[x][0] / total for _, x in open_[i:]}
+        out[k] = capacity
+        left, total = left - capacity, total - weight
     return out
 
 
 def plan(leaves: Mapping[tuple[str, ...], int], weights: Mapping[tuple[str, ...], float], budget: float, max_epochs: int) -> dict[tuple[str, ...], int]:
-    """Whole-token budgets of the leaves {path: tokens}; weights may be given for any path from the root."""
-
-    def capacity(prefix: tuple[str, ...]) -> float:
-        return float(max_epochs * sum(n for p, n in leaves.items() if p[: len(prefix)] == prefix and all(weights.get(p[: i + 1], 1.0) > 0 for i in range(len(prefix), len(p)))))
-
-    def descend(prefix: tuple[str, ...], own: float) -> dict[tuple[str, ...], int]:
-        if prefix in leaves:
-            return {prefix: int(own + 0.5)}
-        names = sorted({p[len(prefix)] for p in leaves if p[: len(prefix)] == prefix})
-        given = shares(own, {n: (weights.get((*prefix, n), 1.0), capacity((*prefix, n))) for n in names})
-        return {p: b for n in names for p, b in descend((*prefix, n), given[n]).items()}
-
-    return descend((), min(budget, capacity(()))) if leaves else {}
+    """Whole-token budgets of the leaves {path: tokens}; weights may be given for any path from the root. One walk up for capacities and one down."""
+    children: dict[tuple[str, ...], set[str]] = {}
+    capacity = {p: float(max_epochs * n) for p, n in leaves.items()}
+    for path in leaves:
+        for i in range(len(path)):
+            children.setdefault(path[:i], set()).add(path[i])
+    weight = lambda p: weights.get(p, 1.0)
+    for prefix in sorted(children, key=len, reverse=True):
+        capacity[prefix] = sum(capacity[(*prefix, n)] for n in sorted(children[prefix]) if weight((*prefix, n)) > 0)
+    given = {(): min(budget, capacity.get((), 0.0))}
+    for prefix in sorted(children, key=len):
+        own = shares(given[prefix], {n: (weight((*prefix, n)), capacity[(*prefix, n)]) for n in sorted(children[prefix])})
+        given |= {(*prefix, n): b for n, b in own.items()}
+    return {p: int(given[p] + 0.5) for p in leaves}
 
 
 def _order(seed: int, doc_id: str, epoch: str) -> Column:
@@ -92,14 +95,17 @@ def mix(
     budgets = plan(leaves, weights or {}, float(budget if budget is not None else round(share * total)), max_epochs)
     spark = docs.sparkSession
     given = spark.createDataFrame([(*p, b, leaves[p]) for p, b in budgets.items() if b > 0], "_domain string, _lang string, _source string, leaf_budget long, leaf_tokens long")
-    return prefixes(rows, given, max_epochs, seed).select("doc_id", "lang", "source", "epoch", "n_tokens")
+    taken = written(prefixes(rows, given, len(leaves), max_epochs, seed).select("doc_id", "lang", "source", "epoch", "n_tokens"), "mix-taken")
+    dropped(rows)
+    return taken
 
 
-def prefixes(rows: DataFrame, given: DataFrame, max_epochs: int, seed: int) -> DataFrame:
+def prefixes(rows: DataFrame, given: DataFrame, leaves: int, max_epochs: int, seed: int) -> DataFrame:
     """The rows that each leaf takes, epoch by epoch; `given` has a row for each leaf."""
     asked = given.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_epochs - 1), F.floor((F.col("leaf_budget") - 1) / F.col("leaf_tokens")).cast("int")))))
     asked = asked.withColumn("before_epoch", F.col("epoch") * F.col("leaf_tokens"))
-    taken = rows.join(F.broadcast(asked), list(PATH)).withColumn("place", _order(seed, "doc_id", "epoch")).withColumn("slice", F.substring("place", 1, 3))
+    asked = F.broadcast(asked) if leaves <= BROADCAST_LEAVES else asked
+    taken = rows.join(asked, list(PATH)).withColumn("place", _order(seed, "doc_id", "epoch")).withColumn("slice", F.substring("place", 1, 3))
     keys = [*PATH, "epoch"]
     slices = taken.groupBy(*keys, "slice").agg(F.sum("n_tokens").alias("slice_tokens"))
     running = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -498,6 +498,43 @@ def test_cuckoo_filter():
     assert (linededup.Cuckoo.loads(f.dumps()).buckets == f.buckets).all()
 
 
+def filled(leaves, weights, budget, max_epochs, prefix=()):
+    """Budgets by rounds: all open siblings share by weight what is left, until nobody fills up."""
+    if prefix in leaves:
+        return {prefix: int(budget + 0.5)}
+    weight = lambda p: weights.get(p, 1.0)
+    names = sorted({p[len(prefix)] for p in leaves if p[: len(prefix)] == prefix})
+    usable = lambda q: max_epochs * sum(n for p, n in leaves.items() if p[: len(q)] == q and all(weight(p[:i]) > 0 for i in range(len(q) + 1, len(p) + 1)))
+    own, open_, left = dict.fromkeys(names, 0.0), {n for n in names if weight((*prefix, n)) > 0}, min(budget, usable(prefix))
+    while open_:
+        total = sum(weight((*prefix, n)) for n in open_)
+        full = {n for n in open_ if left * weight((*prefix, n)) / total >= usable((*prefix, n))}
+        if not full:
+            own |= {n: left * weight((*prefix, n)) / total for n in open_}
+            break
+        for n in full:
+            own[n] = usable((*prefix, n))
+            left -= own[n]
+        open_ -= full
+    return {p: b for n in names for p, b in filled(leaves, weights, own[n], max_epochs, (*prefix, n)).items()}
+
+
+def test_budgets_of_random_trees():
+    rng = random.Random(8)
+    for _ in range(200):
+        leaves = {(rng.choice("ab"), rng.choice("xyz"), f"s{i}"): rng.randrange(1, 50) for i in range(rng.randrange(1, 12))}
+        weights = {p[:i]: float(rng.choice((0, 1, 2, 8))) for p in leaves for i in (1, 2, 3) if rng.random() < 0.5}
+        budget, epochs = float(rng.randrange(1, 600)), rng.choice((1, 3))
+        assert mixing.plan(leaves, weights, budget, epochs) == filled(leaves, weights, budget, epochs)
+
+
+def test_plan_of_many_leaves_takes_little_time():
+    leaves = {(f"d{i % 7}", f"l{i % 50}", f"s{i}"): 1 + i % 13 for i in range(100_000)}
+    began = time.process_time()
+    assert abs(sum(mixing.plan(leaves, {}, 300_000.0, 1).values()) - 300_000) < 60_000
+    assert time.process_time() - began < 10
+
+
 def test_mixing_against_plain_python(spark, empty):
     rng = random.Random(3)
     rows = [(i, words(rng, rng.choice((0, 1, 5, 40))), rng.choice(["en", "de", None]), rng.choice(["src0", "src1", "src2", "x", None])) for i in range(300)]
@@ -513,7 +550,7 @@ def test_mixing_against_plain_python(spark, empty):
             own.append((leaf, i, n))
     total = sum(leaves.values())
     exp = set()
-    for leaf, budget in mixing.plan(leaves, weights, float(round(0.9 * total)), 3).items():
+    for leaf, budget in filled(leaves, weights, float(round(0.9 * total)), 3).items():
         used = 0
         for epoch in range(3):
             for _, i, n in sorted((hashlib.md5(f"5:{epoch}:{i}".encode()).hexdigest(), i, n) for x, i, n in own if x == leaf):

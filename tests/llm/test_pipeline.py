@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import corpus_pipeline
+from floodplain.llm.state import written
 from test_operators import brute_components, brute_lines
 
 SF = Path("/root/testdata/sf0.001")
@@ -14,7 +15,7 @@ def test_each_stage_takes_effect(spark):
     docs = spark.read.parquet(str(SF / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES:
         before = {r.doc_id: r for r in docs.collect()}
-        out = corpus_pipeline.written(stage(spark, docs, str(SF)), name)
+        out = written(stage(spark, docs, str(SF)), name)
         after = {r.doc_id: r for r in out.collect()}
         assert set(after) <= set(before)
         if name != "source_mixing":
@@ -33,8 +34,8 @@ def test_stages_do_not_crash_on_odd_rows(spark):
     rows = [(1, None, "en", "src1", 0, 9), (2, "", None, None, 0, 9), (2, "the of and " * 30, "en", "src1", 3, 9), (None, "le la les et " * 30, "fr", "src2", 3, 9), (5, "x" * 200_000, None, "src1", None, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _kept int")
     for name, stage in corpus_pipeline.STAGES:
-        out = corpus_pipeline.written(stage(spark, docs, str(SF)), name)
-        corpus_pipeline.written(stage(spark, docs.limit(0), str(SF)), name).count()
+        out = written(stage(spark, docs, str(SF)), name)
+        written(stage(spark, docs.limit(0), str(SF)), name).count()
         if name != "source_mixing":
             assert out.columns == docs.columns
         docs = out
