@@ -3,17 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and works on every row that its
 predecessor kept; all but the last return the columns of `documents`, so any
 prefix of the pipeline is a corpus of its own. run() writes each stage's rows to
-the shared folder and reads them again for the next.
+the shared folder, reads them again for the next, and deletes what no stage reads any more.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodplain.llm import decontam, langid, linededup, mixing, neardup
 from floodplain.llm.queries import WEIGHTS
-from floodplain.llm.state import fresh, table, written
+from floodplain.llm.state import dropped, fresh, settled, table
 
 #: Documents with a language score under this are rejected, like those without a letter.
 MIN_SCORE = 0.3
@@ -68,5 +70,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, settled(partial(stage, spark, docs, sf_dir), f"pipeline-{name}")
+        if hasattr(before, "written_to"):
+            dropped(before)
     return docs
