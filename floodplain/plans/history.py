@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ddl import Column, Schema, altered, create_schema, kind, references, split
+from .ddl import Column, Schema, altered, create_schema, default_of, kind, moved, references, split
 
 #: Bits of the server's sql_mode.
 SQL_MODES = {
@@ -196,18 +197,28 @@ class Statements:
                     self.spark.sql(f"ALTER TABLE {name(a)} RENAME TO {name(b)}")
             return True
         if what == "ALTER TABLE":
-            have = {f.name.lower() for f in self.spark.table(name(refs[0])).schema}
-            before = Schema(tuple(Column(f, "int") for f in have))
-            changed = False
-            for part in split(statement, schema):
-                try:
-                    after = altered(before, part)
-                except StopIteration:  # a column that is gone already
-                    continue
-                new = [c for c in after.columns if c.name.lower() not in have]
-                if new:
-                    self.spark.sql(f"ALTER TABLE {name(refs[0])} ADD COLUMNS ({', '.join(f'`{c.name}` {spark_type(c)}' for c in new)})")
-                    have |= {c.name.lower() for c in new}
-                    changed, before = True, Schema(tuple(Column(f, "int") for f in have))
-            return changed
+            return sum([self.alter(f"{refs[0].schema}.{refs[0].table}", part) for part in split(statement, schema)]) > 0
         return False
+
+    def alter(self, table: str, part: str) -> bool:
+        """One operation on a table's columns. New last columns go to the catalog; all else writes the table anew under another name and then takes its place.
+
+        Keys, defaults and options of a table have no place in a Spark catalog and change nothing here; the schema history follows them.
+        """
+        name = ".".join(f"`{x}`" for x in table.split("."))
+        fields = self.spark.table(name).schema.fields
+        found = moved(Schema(tuple(Column(f.name, "?") for f in fields)), part)
+        if found is None or [(c.name, c.type) for c, _ in found] == [(f.name, "?") for f in fields]:
+            return False
+        kept = [c for c, old in found if old is not None]
+        if [(c.name, c.type) for c in kept] == [(f.name, "?") for f in fields] and all(old is None and default_of(c) is None for c, old in found[len(fields) :]):
+            self.spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{c.name}` {spark_type(c)}' for c, _ in found[len(fields) :])})")
+            return True
+        value = lambda c, old: F.col(f"`{old}`") if old is not None else F.lit(default_of(c))
+        columns = [(value(c, old) if c.type == "?" else value(c, old).cast(spark_type(c))).alias(c.name) for c, old in found]
+        new = f"{table}__altered"
+        self.spark.sql(f"DROP TABLE IF EXISTS {'.'.join(f'`{x}`' for x in new.split('.'))}")
+        self.spark.table(name).select(*columns).write.saveAsTable(new)
+        self.spark.sql(f"DROP TABLE {name}")
+        self.spark.sql(f"ALTER TABLE {'.'.join(f'`{x}`' for x in new.split('.'))} RENAME TO {name}")
+        return True

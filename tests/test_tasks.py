@@ -75,6 +75,24 @@ def test_configuration():
     assert isinstance(checks.shard_schemas({"a": ddl.create_schema("CREATE TABLE t (a int)")}), checks.Result)
 
 
+def test_alterations_reach_the_catalog(spark):
+    run = history.Statements(spark).run
+    run("CREATE DATABASE d_alter")
+    run("CREATE TABLE d_alter.t (id int primary key, a varchar(9), b int)")
+    spark.sql("INSERT INTO d_alter.t VALUES (1, '7', 5)")
+    table = lambda: spark.table("d_alter.t")
+    try:
+        assert run("ALTER TABLE d_alter.t ADD COLUMN c int NOT NULL DEFAULT 3, ADD COLUMN d varchar(4)") and not run("ALTER TABLE d_alter.t ADD COLUMN c int")
+        assert table().columns == ["id", "a", "b", "c", "d"] and tuple(table().first()) == (1, "7", 5, 3, None)
+        assert run("ALTER TABLE d_alter.t DROP COLUMN b, MODIFY COLUMN a bigint") and not run("ALTER TABLE d_alter.t DROP COLUMN b")
+        assert table().dtypes[:2] == [("id", "int"), ("a", "bigint")] and tuple(table().first()) == (1, 7, 3, None)
+        assert run("ALTER TABLE d_alter.t CHANGE COLUMN a e varchar(20)") and run("ALTER TABLE d_alter.t RENAME COLUMN d TO f")
+        assert table().dtypes == [("id", "int"), ("e", "string"), ("c", "int"), ("f", "string")] and table().first().e == "7"
+        assert not run("ALTER TABLE d_alter.t ADD INDEX x (c)") and table().count() == 1
+    finally:
+        run("DROP DATABASE d_alter")
+
+
 def test_files_load_once(spark, tmp_path):
     target = MergedTable(spark, str(tmp_path / "t"), ["id"], "id int, v string", 4)
     files = spark.createDataFrame([("a", 10), ("b", 20)], "filename string, end_pos long")
