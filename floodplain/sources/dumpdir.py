@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,60 +34,50 @@ def files(names: DataFrame, name: str = "name") -> DataFrame:
     return names.withColumns({"kind": kind, "db": unescape_name(db), "table": unescape_name(table), "part": part})
 
 
+#: One value with what ends it: a quoted text, maybe with a lead (x, b, _binary), or anything else up to a comma or bracket.
+VALUE = re.compile(r"""\s*(?:_binary\s+)?(?:([xXbB])?'((?:[^'\\]+|\\.|'')*)'|"((?:[^"\\]+|\\.|"")*)"|((?:[^,()'"]|\((?:[^()]|\([^()]*\))*\))+))\s*([,)])""", re.S)
+ESCAPED = {"'": re.compile(r"\\(.)|''", re.S), '"': re.compile(r'\\(.)|""', re.S)}
+#: Characters that a backslash stands for.
+ESCAPES = {"0": "\0", "n": "\n", "r": "\r", "t": "\t", "b": "\b", "Z": "\x1a"}
+
+
+def unescaped(text: str, quote: str) -> str:
+    if "\\" not in text and quote not in text:
+        return text
+    return ESCAPED[quote].sub(lambda m: ESCAPES.get(m[1], m[1]) if m[1] is not None else quote, text)
+
+
 def parse_values(text: str, at: int = 0) -> Iterator[list[str | bytes | None]]:
     """Rows of `(...), (...)` from a place on; quoted texts are unescaped, hex and bit literals become bytes, NULL None, others stay text."""
-    escapes = {"0": "\0", "n": "\n", "r": "\r", "t": "\t", "b": "\b", "Z": "\x1a"}
-    n = len(text)
-    while at < n and text[at] != ";":
-        if text[at] != "(":
-            at += 1
-            continue
+    while (at := text.find("(", at)) >= 0:
         row, at = [], at + 1
-        while text[at] != ")":
-            while text[at] in " \t\r\n,":
-                at += 1
-            lead, binary = text[at], ""
-            if lead in "xXbB" and text[at + 1] == "'":
-                binary, at = lead.lower(), at + 1
-            elif text[at : at + 8].lower() == "_binary ":
-                at += 8
-            if text[at] in "'\"":
-                quote, at, out = text[at], at + 1, []
-                while True:
-                    end = at
-                    while text[end] != quote and text[end] != "\\":
-                        end += 1
-                    out.append(text[at:end])
-                    if text[end] == "\\":
-                        c = text[end + 1]
-                        out.append(escapes.get(c, c))
-                        at = end + 2
-                    elif text[end + 1 : end + 2] == quote:
-                        out.append(quote)
-                        at = end + 2
-                    else:
-                        at = end + 1
-                        break
-                value: str | bytes = "".join(out)
-                if binary == "x":
+        while True:
+            m = VALUE.match(text, at)
+            if m is None:
+                if not row and text[at:].lstrip()[:1] == ")":
+                    at = text.index(")", at) + 1
+                    break
+                raise ValueError(f"a statement that breaks off or can't be read, at {text[at : at + 40]!r}")
+            lead, single, double, bare, end = m.groups()
+            if single is not None:
+                value: str | bytes | None = unescaped(single, "'")
+                if lead in ("x", "X"):
                     value = bytes.fromhex(value)
-                elif binary == "b":
+                elif lead:
                     value = int(value or "0", 2).to_bytes(max(1, -(-len(value) // 8)), "big")
-                row.append(value)
-            elif lead == ")":
-                break
+            elif double is not None:
+                value = unescaped(double, '"')
             else:
-                end, depth = at, 0
-                while depth or text[end] not in ",)":
-                    depth += (text[end] == "(") - (text[end] == ")")
-                    end += 1
-                word = text[at:end].strip()
-                row.append(None if word.upper() == "NULL" else bytes.fromhex(word[2:]) if word[:2].lower() == "0x" else word)
-                at = end
-            while text[at] in " \t\r\n":
-                at += 1
-        at += 1
+                word = bare.strip()
+                value = None if word.upper() == "NULL" else bytes.fromhex(word[2:]) if word[:2].lower() == "0x" else word
+            row.append(value)
+            at = m.end()
+            if end == ")":
+                break
         yield row
+        rest = text[at : at + 2].lstrip()[:1]
+        if rest == ";":
+            return
 
 
 def parse_insert(statement: str) -> tuple[str, list[str] | None, Iterator[list]]:
