@@ -60,6 +60,27 @@ def holes(events: DataFrame) -> DataFrame:
     return rows.where("start_pos > _end").select("file_seq", F.col("_end").alias("hole_start"), F.col("start_pos").alias("hole_end"))
 
 
+def filled(events: DataFrame) -> DataFrame:
+    """events (file_seq, start_pos, end_pos, event_type, ...) with a `dummy` event in every hole, so that a file can be read from end to end; other columns are null there."""
+    own = holes(events).select("file_seq", F.col("hole_start").alias("start_pos"), F.col("hole_end").alias("end_pos"), F.lit("dummy").alias("event_type"))
+    return events.unionByName(own, allowMissingColumns=True)
+
+
+def before_file(epoch: int, seq: int) -> Column:
+    """A purge rule: files before a named one."""
+    return F.struct("epoch", "seq") < F.struct(F.lit(epoch).cast("int").alias("epoch"), F.lit(seq).cast("long").alias("seq"))
+
+
+def before_time(time: Column, modified: str = "modified") -> Column:
+    """A purge rule: files that were last written before a time."""
+    return F.col(modified) < time
+
+
+def inactive(seconds: int, now: Column, modified: str = "modified") -> Column:
+    """A purge rule: files that nothing has been written to for so long."""
+    return F.unix_timestamp(now) - F.unix_timestamp(F.col(modified)) >= seconds
+
+
 def purgeable(files: DataFrame, readers: DataFrame, rule: Column) -> DataFrame:
     """Files (epoch, seq, ...) that a rule lets go, before the earliest active reader's file."""
     earliest = readers.agg(F.min(F.struct("epoch", "seq")).alias("first")).scalar()

@@ -150,19 +150,27 @@ class Route:
 
 
 def route(df: DataFrame, routes: Sequence[Route], schema: str = "src_schema", table: str = "src_table", case_sensitive: bool = False) -> DataFrame:
-    """df with target_schema and target_table; table routes come before schema routes, no route is identity."""
-    to_schema = to_table = None
-    for r in sorted(routes, key=lambda r: not r.table):
-        condition = matches(F.col(schema), r.schema, case_sensitive)
-        if r.table:
-            condition &= matches(F.col(table), r.table, case_sensitive)
-        new_table = F.lit(r.target_table) if r.table and r.target_table else F.col(table)
-        to_schema = F.when(condition, F.lit(r.target_schema)) if to_schema is None else to_schema.when(condition, F.lit(r.target_schema))
-        to_table = F.when(condition, new_table) if to_table is None else to_table.when(condition, new_table)
-    return df.withColumns({
-        "target_schema": F.col(schema) if to_schema is None else to_schema.otherwise(F.col(schema)),
-        "target_table": F.col(table) if to_table is None else to_table.otherwise(F.col(table)),
-    })
+    """df with target_schema and target_table; table routes come before schema routes, no route is identity.
+
+    A table that several routes of one kind send to different targets is an error, as its rows would land by chance.
+    """
+    to_schema, to_table, clash = F.col(schema), F.col(table), F.lit(False)
+    for by_table in (False, True):  # a table route takes over what schema routes said, their clashes too
+        found, any_, own = [], F.lit(False), F.lit(False)
+        for r in routes:
+            if bool(r.table) == by_table:
+                condition = matches(F.col(schema), r.schema, case_sensitive)
+                found.append((condition & matches(F.col(table), r.table, case_sensitive) if by_table else condition, r))
+        for i, (condition, r) in enumerate(found):
+            to_schema = F.when(condition, F.lit(r.target_schema)).otherwise(to_schema)
+            to_table = F.when(condition, F.lit(r.target_table) if by_table and r.target_table else F.col(table)).otherwise(to_table)
+            any_ |= condition
+            for other, x in found[:i]:
+                if (r.target_schema, r.target_table) != (x.target_schema, x.target_table):
+                    own |= condition & other
+        clash = F.when(any_, own).otherwise(clash)
+    several = F.raise_error(F.concat(F.lit("several routes for "), F.col(schema), F.lit("."), F.col(table))).cast("string")
+    return df.withColumns({"target_schema": F.when(clash, several).otherwise(to_schema), "target_table": to_table})
 
 
 def target_tables(tables: DataFrame, rules: AllowList, routes: Sequence[Route]) -> DataFrame:

@@ -175,7 +175,7 @@ def ddl_builtin_skip(spark, sf_dir):
 @query("SELECT o_orderkey, 'orders_' || (o_custkey % 4) AS src_table, CASE WHEN o_custkey % 4 = 3 THEN 'arch' ELSE 'merged' END AS target_schema, CASE WHEN o_custkey % 4 = 3 THEN 'old' ELSE 'orders' END AS target_table FROM orders")
 def route_tables(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select("o_orderkey", F.lit("shop").alias("src_schema"), F.concat(F.lit("orders_"), F.col("o_custkey") % 4).alias("src_table"))
-    routed = rules.route(rows, (Route("shop*", "", "merged"), Route("shop", "orders_3", "arch", "old"), Route("shop", "orders_*", "merged", "orders")))
+    routed = rules.route(rows, (Route("shop*", "", "merged"), Route("shop", "orders_3", "arch", "old"), *[Route("shop", f"orders_{i}", "merged", "orders") for i in range(3)]))
     return routed.drop("src_schema")
 
 
@@ -196,6 +196,44 @@ def same_target_name(spark, sf_dir):
     return _text(rules.same_target_name(spark.createDataFrame([("a", "T"), ("A", "t"), ("b", "t"), ("a", "T")], "target_schema string, target_table string")), "names")
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'shadow' WHEN c_custkey % 4 = 1 THEN 'trash' ELSE 'real' END AS kind, CASE WHEN c_custkey % 4 = 3 THEN '_' ELSE '' END || c_mktsegment || CASE WHEN c_custkey % 4 = 3 THEN '_x' ELSE '' END AS real_name FROM customer""")
+def online_change_tables(spark, sf_dir):
+    """Shadow, trash and real tables of as many names as customers."""
+    k, online = F.col("c_custkey") % 4, OnlineChange().checked()
+    name = F.concat(F.when(k != 2, "_").otherwise(""), F.col("c_mktsegment"), F.when(k == 0, "_gho").when(k == 1, "_del").when(k == 2, "").otherwise("_x"))
+    return read(spark, sf_dir, "customer").select("c_custkey", online.kind(name).alias("kind"), online.real_name(name).alias("real_name"))
+
+
+@query("""SELECT o_orderkey, o_custkey % 7 <= 4 AS contains, CASE WHEN o_custkey % 7 = 0 THEN 'equal' WHEN o_custkey % 7 <= 4 THEN 'after' ELSE 'before' END AS place FROM orders""")
+def gtid_contains_table(spark, sf_dir):
+    """One set a row against a fixed one: numbers up to 100, less or more by the row."""
+    n = F.col("o_custkey") % 7
+    own = locations.gtid_set(F.concat(F.lit("a:1-"), (F.when(n <= 4, 100 - n).otherwise(100 + n)).cast("string")))
+    fixed = locations.gtid_set(F.lit("a:1-100"))
+    holds, held = locations.gtid_contains(fixed, own), locations.gtid_contains(own, fixed)
+    return read(spark, sf_dir, "orders").select("o_orderkey", holds.alias("contains"), F.when(holds & held, "equal").when(holds, "after").otherwise("before").alias("place"))
+
+
+@query("""SELECT event_id, 'b.' || lpad((event_id % 2000000 + 999000)::VARCHAR, greatest(6, length((event_id % 2000000 + 999000)::VARCHAR))::INT, '0') AS name, row_number() OVER (ORDER BY event_id) AS place FROM events""")
+def file_order(spark, sf_dir):
+    """File numbers go over 999999 in the middle; they order as numbers."""
+    from pyspark.sql import Window
+
+    k = F.col("event_id") % 2000000 + 999000
+    rows = read(spark, sf_dir, "events").select("event_id", locations.file_name(F.lit("b"), k).alias("name"))
+    w = Window.orderBy(locations.ordered(F.col("name"), F.col("event_id")))
+    return rows.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+@query("""SELECT e.event_id, CASE WHEN event_id % 5 = 0 THEN 'statement' WHEN event_id % 5 = 1 THEN 'kept' ELSE 'row' END AS what FROM events e WHERE event_id % 5 <> 0""")
+def ddl_skip_table(spark, sf_dir):
+    """Statements on the built-in list go, others stay, for as many as events."""
+    k = F.col("event_id") % 5
+    text = F.when(k == 0, "/* x */ FLUSH PRIVILEGES").when(k == 1, "ALTER TABLE t ADD COLUMN c int").otherwise(F.concat(F.lit("INSERT INTO t VALUES ("), F.col("event_id"), F.lit(")")))
+    what = F.when(k == 0, "statement").when(k == 1, "kept").otherwise("row")
+    return read(spark, sf_dir, "events").where(~rules.skipped_statement(text)).select("event_id", what.alias("what"))
+
+
 @query("SELECT * FROM (VALUES ('_t_gho','shadow','t'),('_t_new','shadow','t'),('_t_ghc','trash','t'),('_t_old','trash','t'),('t','real','t'),('_t_x','real','_t_x')) AS v(src_table, kind, real_name)")
 def online_change_names(spark, sf_dir):
     names, online = spark.createDataFrame([(n,) for n in ("_t_gho", "_t_new", "_t_ghc", "_t_old", "t", "_t_x")], "src_table string"), OnlineChange().checked()
@@ -597,6 +635,25 @@ def hole_detect(spark, sf_dir):
     return log.holes(rows)
 
 
+@query("""WITH e AS (SELECT event_id // 1000 AS file_seq, event_id % 1000 * 10 AS start_pos, event_id % 1000 * 10 + CASE WHEN event_id % 97 = 0 THEN 4 ELSE 10 END AS end_pos, event_type FROM events),
+l AS (SELECT *, lag(end_pos) OVER (PARTITION BY file_seq ORDER BY start_pos) AS e FROM e) SELECT * FROM e UNION ALL SELECT file_seq, e, start_pos, 'dummy' FROM l WHERE start_pos > e""")
+def hole_fill(spark, sf_dir):
+    k, at = F.col("event_id"), (F.col("event_id") % 1000 * 10)
+    return log.filled(read(spark, sf_dir, "events").select(F.floor(k / 1000).alias("file_seq"), at.alias("start_pos"), (at + F.when(k % 97 == 0, 4).otherwise(10)).alias("end_pos"), "event_type"))
+
+
+@query("""WITH f AS (SELECT CASE WHEN event_id < 6000 THEN 1 ELSE 2 END AS epoch, event_id // 100 AS seq, max(ts) AS modified FROM events GROUP BY 1, 2), n AS (SELECT max(ts) AS now FROM events)
+SELECT epoch, seq, (epoch, seq) < (2, 70) AS by_name, modified < TIMESTAMP '2024-01-02 00:00:00' AS by_time, floor(epoch((SELECT now FROM n))) - floor(epoch(modified)) >= 86400 * 10 AS by_silence FROM f WHERE (epoch, seq) < (2, 80)""")
+def purge_rules(spark, sf_dir):
+    """Files by name, by time and by silence, and never from the earliest active reader on."""
+    events = read(spark, sf_dir, "events")
+    files = events.groupBy(F.when(F.col("event_id") < 6000, 1).otherwise(2).alias("epoch"), F.floor(F.col("event_id") / 100).alias("seq")).agg(F.max("ts").alias("modified"))
+    now = events.agg(F.max("ts").cast("timestamp").alias("now")).scalar()
+    readers = spark.createDataFrame([(2, 80), (2, 95)], "epoch int, seq long")
+    gone = log.purgeable(files, readers, F.lit(True))
+    return gone.select("epoch", "seq", log.before_file(2, 70).alias("by_name"), log.before_time(F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")).alias("by_time"), log.inactive(86400 * 10, now).alias("by_silence"))
+
+
 @query("SELECT 1::BIGINT AS epoch, seq FROM (SELECT DISTINCT event_id // 1000 AS seq FROM events) WHERE seq < 3 AND seq <= 5")
 def retention(spark, sf_dir):
     files = read(spark, sf_dir, "events").select(F.lit(1).cast("long").alias("epoch"), F.floor(F.col("event_id") / 1000).alias("seq")).distinct()

@@ -150,6 +150,12 @@ class Replication:
         old = self.target.side("points") if self.target.committed() >= 0 else None
         return new if old is None else old.unionByName(new).groupBy(*MEMBER).agg(F.max("point").alias("point"), F.max("ts").alias("ts"))
 
+    def update(self, task: Task) -> None:
+        """Other rules from the next batch on. The key stays, as the target lies in its buckets."""
+        if list(task.key) != list(self.task.key):
+            raise ValueError(f"the key {list(self.task.key)} can't become {list(task.key)}")
+        self.task = task
+
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
@@ -168,6 +174,37 @@ def load_then_follow(replication: Replication, snapshot: DataFrame, stream: Data
     return writer.trigger(availableNow=True).start()
 
 
+#: Texts in errors that another try may mend.
+PASSING = ("connection", "timed out", "timeout", "temporarily", "reset by peer", "unavailable")
+
+
+def supervised(start: Callable[[], StreamingQuery], tries: int = 5, wait: float = 1.0, longest: float = 300.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Runs a query to its end, and again after a passing error, with waits that double; returns how often it was started. Any other error, and the last one, is raised.
+
+    The query goes on from its checkpoint, and batches that were committed are skipped, so a restart repeats nothing.
+    """
+    for n in range(1, tries + 1):
+        try:
+            start().awaitTermination()
+            return n
+        except Exception as error:
+            if n == tries or not any(x in str(error).lower() for x in PASSING):
+                raise
+            sleep(min(longest, wait * 2 ** (n - 1)))
+    return tries
+
+
+def first_of(sources: Sequence[Callable[[], DataFrame]]) -> DataFrame:
+    """The first of several sources of one log (the stored one, then the remote one) that can be read; the last one's error is raised."""
+    for i, source in enumerate(sources):
+        try:
+            return source()
+        except Exception:
+            if i == len(sources) - 1:
+                raise
+    raise ValueError("no sources")
+
+
 class ShardBarrier(StatefulProcessor):
     """Holds a member's rows after its DDL until all members of the target have seen it; state by target.
 

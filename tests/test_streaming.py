@@ -13,7 +13,7 @@ from floodplain.operators.rules import AllowList, Route
 from floodplain.plans.history import SafeMode
 from floodplain.sources.merged import MergedTable
 from floodplain.sources.tables import append_log, log_events, read_log, stream_log
-from floodplain.streaming.runner import Replication, Task, load_then_follow, shard_barrier, windowed_counts
+from floodplain.streaming.runner import Replication, Task, first_of, load_then_follow, shard_barrier, supervised, windowed_counts
 
 EMPTY = "user_id long, value double, event_type string"
 TASK = Task(["user_id"], AllowList(do_dbs=("app",)), filters=(RowFilter(insert="value < 5"),), routes=(Route("app", "events_*", "m", "events"),))
@@ -178,3 +178,40 @@ def test_windowed_counts(spark):
 def test_log_events_have_holes():
     events = log_events(200)
     assert any(b["start_pos"] > a["end_pos"] for a, b in zip(events, events[1:]) if a["file_seq"] == b["file_seq"])
+
+
+def test_rules_change_between_batches(spark, tmp_path):
+    target = MergedTable(spark, str(tmp_path / "t"), ["id"], "id int, a string", 2)
+    run = Replication(Task(["id"]), target)
+    run.batch(log_of(spark, ("s", "t", 1, True, "I", None, (1, "x", 0, None), None)), 0)
+    run.update(Task(["id"], filters=[RowFilter(insert="id > 1")]))
+    run.batch(log_of(spark, ("s", "t", 2, True, "I", None, (2, "x", 0, None), None)), 1)
+    assert [r.id for r in target.read().collect()] == [1]
+    with pytest.raises(ValueError, match="key"):
+        run.update(Task(["a"]))
+
+
+def test_passing_errors_are_tried_again():
+    class Query:
+        def __init__(self, error):
+            self.error = error
+
+        def awaitTermination(self):  # noqa: N802
+            if self.error:
+                raise self.error
+
+    waits = []
+    left = [RuntimeError("Connection reset by peer"), RuntimeError("read timed out"), None]
+    assert supervised(lambda: Query(left.pop(0)), sleep=waits.append) == 3 and waits == [1.0, 2.0]
+    with pytest.raises(ValueError, match="wrong"):
+        supervised(lambda: Query(ValueError("wrong statement")), sleep=waits.append)
+    with pytest.raises(RuntimeError, match="timeout"):
+        supervised(lambda: Query(RuntimeError("timeout")), tries=2, sleep=waits.append)
+
+
+def test_the_first_source_that_can_be_read(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.range(3).write.parquet(path)
+    assert first_of([lambda: spark.read.parquet(str(tmp_path / "none")), lambda: spark.read.parquet(path)]).count() == 3
+    with pytest.raises(Exception, match="none"):
+        first_of([lambda: spark.read.parquet(str(tmp_path / "none"))])

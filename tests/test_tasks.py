@@ -6,7 +6,9 @@ import pytest
 
 from floodplain.plans import checks, ddl, history, task
 from floodplain.queries import TASK
+from floodplain.operators.rules import Route, route
 from floodplain.sources.merged import MergedTable, load_files
+from floodplain.sources.tables import jdbc_snapshot
 
 T = ("db", "t")
 
@@ -93,6 +95,25 @@ def test_alterations_reach_the_catalog(spark):
         run("DROP DATABASE d_alter")
 
 
+def test_snapshot_by_key_ranges_over_jdbc(spark):
+    url = "jdbc:derby:memory:floodplain;create=true"
+    rows = spark.range(1000).selectExpr("case when id % 100 = 99 then null else id - 50 end as ID", "concat('v', id) as V")
+    rows.write.jdbc(url, "T", mode="overwrite")
+    for n in (1, 500_000, 1_000_000):
+        got = jdbc_snapshot(spark, url, "T", "ID", 0, 900, n)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect())) and got.rdd.getNumPartitions() >= max(1, n // 200_000)
+    assert jdbc_snapshot(spark, url, "T", "ID", 0, 900, 10, where="V like 'v1%'").count() == rows.where("V like 'v1%'").count()
+
+
+def test_a_table_with_several_routes_is_an_error(spark):
+    names = spark.createDataFrame([("a", "t1"), ("b", "t1")], "src_schema string, src_table string")
+    ways = [Route("a*", "t*", "x", "t"), Route("*", "t1", "y", "t")]
+    with pytest.raises(Exception, match="several routes"):
+        route(names, ways).collect()
+    assert route(names.where("src_schema = 'b'"), ways).first().target_schema == "y"
+    assert route(names, [Route("a", "", "x"), Route("a", "t*", "z", "u"), Route("b", "t*", "z", "u"), Route("*", "t1", "z", "u")]).select("target_schema", "target_table").distinct().count() == 1
+
+
 def test_files_load_once(spark, tmp_path):
     target = MergedTable(spark, str(tmp_path / "t"), ["id"], "id int, v string", 4)
     files = spark.createDataFrame([("a", 10), ("b", 20)], "filename string, end_pos long")
