@@ -131,10 +131,9 @@ def rows(inserts: DataFrame, create: str) -> DataFrame:
     return inserts.mapInArrow(run, ", ".join(f"`{n}` string" for n in names))
 
 
-def start_location(metadata: str) -> dict[str, str | int]:
-    """The log position and GTID set that a dump's metadata text names."""
+def _location(lines: list[str]) -> dict[str, str | int]:
     out: dict[str, str | int] = {}
-    for line in metadata.splitlines():
+    for line in lines:
         name, _, value = line.strip().partition(":")
         key = {"log": "file", "pos": "pos", "gtid": "gtid"}.get(name.strip().lower())
         if key and key not in out:
@@ -142,6 +141,18 @@ def start_location(metadata: str) -> dict[str, str | int]:
     return out
 
 
+def start_location(metadata: str) -> dict[str, str | int]:
+    """The log position and GTID set that a dump's metadata text names."""
+    return _location(metadata.splitlines())
+
+
+def exit_location(metadata: str) -> dict[str, str | int] | None:
+    """Where all of the dump's connections stood: changes from the start up to here may be in the dump already, so they are applied in safe mode. None if the text names no such place."""
+    lines = metadata.splitlines()
+    after = [i for i, line in enumerate(lines) if "after connection pool established" in line.lower()]
+    return _location(lines[after[0] + 1 :]) or None if after else None
+
+
 def replace_name(statement: str, old: str, new: str) -> str:
     """The first quoted occurrence of a name under another one."""
     return statement.replace(f"`{old}`", f"`{new}`", 1)

@@ -1,4 +1,4 @@
-"""Snapshots, the stored changelog, and versioned targets in shared storage."""
+"""Snapshots, unions of shards, the stored changelog, and connector messages."""
 
 from __future__ import annotations
 
@@ -64,51 +64,6 @@ def stream_log(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("latestFirst", "false").parquet(path)
 
 
-class VersionedTable:
-    """A target whose every version is a directory of its own; a commit file names the version and the batch.
-
-    A version is written whole before its commit file is, and a batch id at or below the last committed one is
-    skipped, so a batch that is run again changes nothing. Paths go through Hadoop's file system, so any store works.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def committed(self) -> int:
-        """The last committed batch, or -1."""
-        folder = self._path(f"{self.path}/_commits")
-        if not self._fs.exists(folder):
-            return -1
-        return max((int(s.getPath().getName()) for s in self._fs.listStatus(folder)), default=-1)
-
-    def read(self, schema=None) -> DataFrame:
-        last = self.committed()
-        if last < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.path}/v={last}")
-
-    def write(self, df: DataFrame, batch: int) -> bool:
-        """Commits df as the version of a batch; False if that batch has been committed."""
-        if batch <= self.committed():
-            return False
-        df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-        self.commit(batch)
-        return True
-
-    def commit(self, batch: int) -> None:
-        self._fs.mkdirs(self._path(f"{self.path}/_commits"))
-        self._fs.create(self._path(f"{self.path}/_commits/{batch}"), True).close()
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Drops all but the last versions."""
-        versions = sorted(int(s.getPath().getName()[2:]) for s in self._fs.listStatus(self._path(self.path)) if s.getPath().getName().startswith("v="))
-        for v in versions[:-keep]:
-            self._fs.delete(self._path(f"{self.path}/v={v}"), True)
-
-
 ENVELOPE_OPS = {"c": "I", "r": "I", "u": "U", "d": "D"}
 
 

@@ -7,10 +7,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..model import LOCATION, location
@@ -205,59 +203,6 @@ def first_of(sources: Sequence[Callable[[], DataFrame]]) -> DataFrame:
     raise ValueError("no sources")
 
 
-class ShardBarrier(StatefulProcessor):
-    """Holds a member's rows after its DDL until all members of the target have seen it; state by target.
-
-    Input rows: target, member, members (how many there are), seq, ddl or payload. Output: seq, member, ddl, payload in the
-    order in which they may be applied; a DDL comes out once, when the last member has reached it.
-    """
-
-    OUTPUT = "target string, member string, seq long, ddl string, payload string"
-    HELD = "member string, seq long, ddl string, payload string"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", self.HELD)
-        self.seen = handle.getMapState("seen", "member string", "n int")
-        self.done = handle.getValueState("done", "n int")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        waiting = [tuple(r) for r in self.held.get()]
-        members = 0
-        for pdf in rows:
-            members = int(pdf.members.max())
-            none = lambda v: None if pd.isna(v) else v
-            waiting += [(r.member, int(r.seq), none(r.ddl), none(r.payload)) for r in pdf.sort_values("seq").itertuples()]
-        done = self.done.get()[0] if self.done.exists() else 0
-        seen = {k[0]: v[0] for k, v in self.seen.iterator()}
-        out, again = [], True
-        while again:
-            again, rest = False, []
-            for member, seq, ddl, payload in waiting:
-                if seen.get(member, 0) > done:
-                    rest.append((member, seq, ddl, payload))
-                elif ddl is None:
-                    out.append((key[0], member, seq, None, payload))
-                else:
-                    seen[member] = seen.get(member, 0) + 1
-                    if len(seen) == members and all(n > done for n in seen.values()):
-                        done += 1
-                        out.append((key[0], member, seq, ddl, None))
-                        again = True
-            waiting = rest
-        for member, n in seen.items():
-            self.seen.updateValue((member,), (n,))
-        self.done.update((done,))
-        self.held.put(waiting) if waiting else self.held.clear()
-        yield pd.DataFrame(out, columns=["target", "member", "seq", "ddl", "payload"])
-
-    def close(self) -> None:
-        pass
-
-
-def shard_barrier(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("target").transformWithStateInPandas(ShardBarrier(), ShardBarrier.OUTPUT, "Append", "none")
-
-
 def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """An extra: changes by op in event-time windows."""
     w = F.window("event_time", width)

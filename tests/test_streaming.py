@@ -13,7 +13,7 @@ from floodplain.operators.rules import AllowList, Route
 from floodplain.plans.history import SafeMode
 from floodplain.sources.merged import MergedTable
 from floodplain.sources.tables import append_log, log_events, read_log, stream_log
-from floodplain.streaming.runner import Replication, Task, first_of, load_then_follow, shard_barrier, supervised, windowed_counts
+from floodplain.streaming.runner import Replication, Task, first_of, load_then_follow, supervised, windowed_counts
 
 EMPTY = "user_id long, value double, event_type string"
 TASK = Task(["user_id"], AllowList(do_dbs=("app",)), filters=(RowFilter(insert="value < 5"),), routes=(Route("app", "events_*", "m", "events"),))
@@ -155,22 +155,6 @@ def test_safe_mode_deletes_old_rows_first(spark, tmp_path):
         assert seen == [asked]
 
 
-def test_shard_barrier(spark, tmp_path):
-    rows = [("x", m, 2, s, d, p) for m, base in (("a", 0), ("b", 100)) for s, d, p in ((base, None, "r1"), (base + 1, "DDL", None), (base + 2, None, "r2"))]
-    kind = "target string, member string, members int, seq long, ddl string, payload string"
-    path = str(tmp_path / "in")
-    for part in (rows[:3], rows[3:]):
-        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = []
-    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
-    q = shard_barrier(stream).writeStream.outputMode("append").foreachBatch(lambda df, i: out.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sum(r[3] == "DDL" for r in out) == 1 and len(out) == 5
-    at = next(i for i, r in enumerate(out) if r[3] == "DDL")
-    assert {r[4] for r in out[:at]} == {"r1"} and {r[4] for r in out[at + 1 :]} == {"r2"}
-
-
 def test_windowed_counts(spark):
     assert windowed_counts(changelog(spark)).agg(F.sum("n")).first()[0] == changelog(spark).count()
 
