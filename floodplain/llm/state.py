@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes that go to a Python worker at once while tables are written.
 BATCH_ROWS = 2000
 BATCH_BYTES = 4_000_000
+ROWS_CONF, BYTES_CONF, SHUFFLE_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _scopes: list[list[DataFrame]] = []
 
@@ -36,13 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def bounded_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes for what is planned inside; then the session's own settings again."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
-    before = {k: spark.conf.get(k) for k in wanted}
-    for k, v in wanted.items():
+def writing(spark: SparkSession) -> Iterator[None]:
+    """For what is planned inside: Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, and shuffle files that go when their query ends. Then the session's own settings again."""
+    before = {k: spark.conf.get(k) for k in (ROWS_CONF, BYTES_CONF, SHUFFLE_CONF)}
+    for k, v in ((ROWS_CONF, BATCH_ROWS), (BYTES_CONF, BATCH_BYTES)):
         if not 0 < int(before[k].rstrip("bB")) <= v:
             spark.conf.set(k, str(v))
+    spark.conf.set(SHUFFLE_CONF, "true")
     try:
         yield
     finally:
@@ -54,7 +55,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/floodplain/{label}-{uuid.uuid4().hex}"
-    with bounded_batches(spark):
+    with writing(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
