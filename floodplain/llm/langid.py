@@ -2,7 +2,7 @@
 
 Features are hashed character n-grams (one to four bytes of the text, A-Z
 lower-cased) over the whole text, as shares of all its n-grams. Training takes
-at most about `per_language` texts of each language, chosen by a hash of
+at most about `per_language` texts of each language (and `max_texts` of all), chosen by a hash of
 doc_id; that bound is the only sampling, and prediction reads whole texts.
 
 The family of a language is a fixed table (FAMILY); a language that it
@@ -174,8 +174,9 @@ class Model:
         return langs, scores
 
 
-def train(labelled: DataFrame, per_language: int = 300, max_languages: int = 500) -> Model:
-    """A model from (doc_id, text, lang): about `per_language` texts of each language at most. More than `max_languages` languages are an error.
+def train(labelled: DataFrame, per_language: int = 300, max_languages: int = 500, max_texts: int = 6000) -> Model:
+    """A model from (doc_id, text, lang): about `per_language` texts of each language at most, fewer where all languages together would
+    have more than `max_texts`. More than `max_languages` languages are an error.
 
     Texts are chosen by a hash of doc_id; a text's features are made on the executors, so the
     driver gets at most per_language * languages sparse vectors.
@@ -186,7 +187,8 @@ def train(labelled: DataFrame, per_language: int = 300, max_languages: int = 500
         raise ValueError(f"more than {max_languages} languages")
     if not sizes:
         return Model.fit(np.zeros((0, 1 << BITS)), np.array([], object))
-    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["n"])) for r in sizes], "lang string, share double")
+    each = max(1, min(per_language, max_texts // len(sizes)))
+    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in sizes], "lang string, share double")
     share = F.col("share")
     chosen = rows.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
 

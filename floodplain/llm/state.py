@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import scratch
+
 #: Rows and bytes that go to a Python worker at once while tables are written.
 BATCH_ROWS = 2000
 BATCH_BYTES = 4_000_000
@@ -18,24 +17,6 @@ ROWS_CONF, BYTES_CONF, SHUFFLE_CONF = "spark.sql.execution.arrow.maxRecordsPerBa
 _scopes: list[list[DataFrame]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset and all runs on one machine (as in tests) a new one; on a cluster it is an error."""
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = context._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='floodplain-')}"
-        context.setCheckpointDir(path)
-        return context._jsc.sc().getCheckpointDir().get()
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(path)
-    return path
-
-
 @contextmanager
 def writing(spark: SparkSession) -> Iterator[None]:
     """For what is planned inside: Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, and shuffle files that go when their query ends. Then the session's own settings again."""
@@ -54,7 +35,7 @@ def writing(spark: SparkSession) -> Iterator[None]:
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/floodplain/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     with writing(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

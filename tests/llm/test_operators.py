@@ -602,6 +602,18 @@ def test_language_id_on_held_out_texts(spark, empty):
     assert {(r.lang_pred, r.score) for r in only if not r.held_out} <= {("en", 1.0), ("und", 0.0)}
 
 
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(i, f"the text of {i} and {'la casa es' if i % 2 else 'the house is'} " * 5, "es" if i % 2 else "en", f"src{i % 3}", 1, 2, "x", 0.5) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch int, n_tokens int, lang_pred string, score double")
+    taken = mixing.mix(docs, mixing.two_domains(), share=0.9)
+    assert taken.columns == ["doc_id", "lang", "source", "epoch", "n_tokens"] and {r.n_tokens for r in taken.collect()} == {35} or taken.count()
+    out = langid.predict(docs, langid.train(docs))
+    assert out.columns[: len(docs.columns)] == docs.columns and len(set(out.columns)) == len(docs.columns) + 2
+    assert all(r.lang_pred == "x" and r.score == 0.5 for r in out.collect())
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs, max_languages=1)
+
+
 GOOD = "This is the text of the article and it is one that has a lot of words in it, so that it is long. "
 
 
