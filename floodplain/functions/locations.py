@@ -52,7 +52,7 @@ def gtid_set(text: Column) -> Column:
     def entry(s: Column) -> Column:
         maria = s.rlike(r"^\d+-\d+-\d+$")
         bits = F.split(s, ":")
-        mine = F.array_sort(F.transform(F.slice(bits, 2, 1_000_000), interval))
+        mine = F.array_sort(F.transform(F.slice(bits, F.lit(2), F.greatest(F.size(bits) - 1, F.lit(0))), interval))
         other = F.array(F.struct(F.lit(1).cast("long").alias("lo"), F.element_at(F.split(s, "-"), -1).cast("long").alias("hi")))
         return F.struct(F.when(maria, F.split(s, "-")[0]).otherwise(F.lower(bits[0])).alias("key"), F.when(maria, other).otherwise(mine).alias("value"))
 

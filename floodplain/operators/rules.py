@@ -94,8 +94,8 @@ class EventRule:
 
     def fineness(self) -> tuple[int, int, int, int]:
         """Table rules come before schema rules, longer fixed text before shorter, plain names before wildcards."""
-        fixed = lambda p: len(re.sub(r"[*?]", "", p))
-        return (int(bool(self.table)), fixed(self.table), fixed(self.schema), int("*" not in self.schema + self.table))
+        fixed = lambda p: 0 if p.startswith("~") else len(re.sub(r"\[[^\]]*\]|[*?]", "", p))
+        return (int(bool(self.table)), fixed(self.table), fixed(self.schema), int(not re.search(r"[*?\[]|^~", self.schema) and not re.search(r"[*?\[]|^~", self.table)))
 
     def covers(self, schema: str, table: str, event: str | None, statement: str | None, case_sensitive: bool) -> Column:
         named = matches(F.col(schema), self.schema, case_sensitive)

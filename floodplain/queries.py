@@ -878,3 +878,7 @@ def bulk_update(spark, sf_dir):
 @query(f"SELECT {_BULK} FROM orders WHERE false")
 def bulk_delete(spark, sf_dir):
     return _bulk(spark, sf_dir, "D")
+
+
+# The rest of the queries register themselves here.
+from . import queries_flow, queries_plans  # noqa: E402, F401

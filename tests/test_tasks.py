@@ -6,7 +6,7 @@ import pytest
 
 from floodplain.plans import checks, ddl, history, task
 from floodplain.queries import TASK
-from floodplain.operators.rules import Route, route
+from floodplain.operators.rules import EventRule, Route, route
 from floodplain.sources.merged import MergedTable, load_files
 from floodplain.sources.tables import jdbc_snapshot
 
@@ -114,6 +114,11 @@ def test_a_table_with_several_routes_is_an_error(spark):
     assert route(names, [Route("a", "", "x"), Route("a", "t*", "z", "u"), Route("b", "t*", "z", "u"), Route("*", "t1", "z", "u")]).select("target_schema", "target_table").distinct().count() == 1
 
 
+def test_the_finest_event_rule():
+    order = [EventRule("~^app.*$", "t"), EventRule("a[bcdefgh]", "t"), EventRule("app*", "t"), EventRule("app", "t")]
+    assert sorted(order[::-1], key=EventRule.fineness) == order
+
+
 def test_files_load_once(spark, tmp_path):
     target = MergedTable(spark, str(tmp_path / "t"), ["id"], "id int, v string", 4)
     files = spark.createDataFrame([("a", 10), ("b", 20)], "filename string, end_pos long")
