@@ -168,6 +168,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+#: For pages with one article of plain paragraphs, headings and lists, as the tables have them.
+OP10_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, string_split_regex(regexp_replace(body, '<br[^>]*>', ' ', 'g'), '</?(?:p|h[1-6]|ul|ol|li|div)(?:\s[^>]*)?>') AS parts FROM a),
+t AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS parts FROM b),
+c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM t)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_exact_topk": op2_exact_topk,
@@ -180,4 +190,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_html_text": op10_html_text,
 }
-SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op2_exact_topk": OP2_SQL, "op3_repeated_substrings": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_source_mixing": OP7_SQL, "op8_chat_rotation": OP8_SQL}
+SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op2_exact_topk": OP2_SQL, "op3_repeated_substrings": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_source_mixing": OP7_SQL, "op8_chat_rotation": OP8_SQL, "op10_html_text": OP10_SQL}
