@@ -321,10 +321,11 @@ def thue_morse(n, swap=False):
     return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
 
 
-@pytest.mark.parametrize("n", [512, 1024, 4096])
-def test_strings_made_to_collide(spark, n):
-    one, two = thue_morse(n), thue_morse(n, True)
-    rows = [(1, one), (2, one), (3, one), (4, two), (5, two), (6, f"{one} {two} x y z"), (7, f"{two} {one} x y z")]
+def test_strings_made_to_collide(spark):
+    rows = []
+    for n in (512, 1024, 4096):
+        one, two = thue_morse(n), thue_morse(n, True)
+        rows += [(n + i, t) for i, t in enumerate((one, one, one, two, two, f"{one} {two} x y z", f"{two} {one} x y z"))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r[0]: tuple(r[1:]) for r in linededup.digest(linededup.line_dedup(df)).collect()} == brute_lines(rows)
     assert {r[0]: tuple(r[1:]) for r in neardup.near_duplicates(df, 85).collect()} == brute_components(rows, 85)
