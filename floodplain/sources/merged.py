@@ -113,6 +113,7 @@ class Change:
         self.table, self.batch, self.step = table, batch, 0
         self.state = deepcopy(table.manifest())
         self.open = batch > self.state["batch"]
+        self.staged: list[str] = []
 
     @property
     def key(self) -> list[str]:
@@ -139,6 +140,13 @@ class Change:
             if (name := s.getPath().getName()).startswith(f"{BUCKET}="):
                 self.state["files"][name.split("=")[1]] = {"path": f"{folder}/{name}", "layout": self.state["layouts"].index(layout)}
 
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """rows, written once and read by all that follows in this change; the folder goes with the commit."""
+        folder = self._folder("staged")
+        rows.write.mode("overwrite").parquet(f"{self.table.path}/{folder}")
+        self.staged.append(folder)
+        return self.table.spark.read.schema(rows.schema).parquet(f"{self.table.path}/{folder}")
+
     def load(self, rows: DataFrame) -> None:
         """These rows, and no others."""
         self.state["files"] = {}
@@ -147,14 +155,11 @@ class Change:
 
     def merge(self, delta: DataFrame) -> int:
         """Applies a compacted delta; returns how many buckets it touched."""
-        staged = f"{self.table.path}/{self._folder('delta')}"
-        delta.withColumn(BUCKET, self._bucket(self.key)).write.mode("overwrite").parquet(staged)
-        rows = self.table.spark.read.parquet(staged)
+        rows = self.stage(delta.withColumn(BUCKET, self._bucket(self.key)))
         touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most one row a bucket
         if touched:
             now = rows_of(self.table, self.state, touched)
             self._write(apply_keyed(now, rows.drop(BUCKET), self.key), touched)
-        self.table._fs.delete(self.table._path(staged), True)
         return len(touched)
 
     def alter(self, statement: str) -> bool:
@@ -205,6 +210,8 @@ class Change:
         stream.close()
         if not fs.rename(waiting, path(f"{self.table.path}/_commits/{self.batch}")):
             raise RuntimeError(f"{self.table.path}: batch {self.batch} is committed already")
+        for folder in self.staged:
+            fs.delete(path(f"{self.table.path}/{folder}"), True)
 
 
 def load_files(target: MergedTable, files: DataFrame, rows: DataFrame) -> bool:

@@ -79,44 +79,45 @@ class Replication:
         rows = rows.withColumn(EPOCH, F.lit(None).cast("long"))
         rows = rows if waiting is None else waiting.unionByName(rows)
         last = rows.where("is_commit").groupBy("src_id").agg(F.max(location()).alias("_last"))
-        marked = rows.join(last, "src_id", "left").withColumn("_whole", F.coalesce(location() <= F.col("_last"), F.lit(False))).drop("_last")
+        marked = change.stage(rows.join(last, "src_id", "left").withColumn("_whole", F.col(EPOCH).isNotNull() | F.coalesce(location() <= F.col("_last"), F.lit(False))).drop("_last"))
+        seen = marked.agg(F.count_if(~F.col("_whole")).alias("open"), F.count_if(F.col("_whole") & F.col("ddl").isNotNull()).alias("statements"), F.max(F.when(F.col("_whole"), location())).alias("at")).first()
         whole, rest = marked.where("_whole").drop("_whole"), marked.where("not _whole").drop("_whole")
-        held = self._followed(change, whole) if self.members is None else self._grouped(change, whole)
+        safe = self.safe is not None and seen["at"] is not None and self.safe.on(tuple(seen["at"]), self.clock())
+        statements = self._statements(whole) if seen["statements"] else []
+        held = self._followed(change, whole, statements, safe) if self.members is None else self._grouped(change, whole, statements, safe)
         keep = rest if held is None else rest.unionByName(held)
-        change.side("waiting", keep)
+        change.side("waiting", keep if seen["open"] or held is not None else None)
         change.side("points", self.points(whole))
         change.commit()
         for callback in self.task.after_batch:
             callback(log, batch_id)
 
-    def _apply(self, change: Change, rows: DataFrame) -> None:
-        at = rows.agg(F.max(location())).first()[0] if self.safe else None
-        safe = at is not None and self.safe.on(tuple(at), self.clock())
+    def _apply(self, change: Change, rows: DataFrame, safe: bool) -> None:
         change.merge(self.task.delta(rows.where("ddl is null").drop("ddl", EPOCH), safe))
 
     def _statements(self, rows: DataFrame) -> list:
-        """The statements of a batch in the order of their logs: few rows beside the changes. Those of tables that aren't wanted, and those that are always skipped, are left out."""
-        wanted = allow(rows.where(F.col("ddl").isNotNull()), self.task.allow).where(~skipped_statement(F.col("ddl")))
+        """The new statements of a batch in the order of their logs: few rows beside the changes. Those of tables that aren't wanted, and those that are always skipped, are left out."""
+        wanted = allow(rows.where(F.col("ddl").isNotNull() & F.col(EPOCH).isNull()), self.task.allow).where(~skipped_statement(F.col("ddl")))
         return wanted.select(*MEMBER, *LOCATION, "ddl", EPOCH).dropDuplicates([*MEMBER, *LOCATION]).orderBy(*MEMBER, *LOCATION).collect()
 
-    def _followed(self, change: Change, rows: DataFrame) -> None:
+    def _followed(self, change: Change, rows: DataFrame, statements: list, safe: bool) -> None:
         """Rows and statements as they stand in each source's log."""
         seen: dict[str, tuple] = {}
         here = lambda at: F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(LOCATION, at, strict=True)])
         after = lambda: reduce(lambda x, s: x & ((F.col("src_id") != s) | (location() > here(seen[s]))), sorted(seen), F.lit(True))
-        for d in sorted(self._statements(rows), key=lambda r: (r.src_id, *(r[c] for c in LOCATION))):
+        for d in sorted(statements, key=lambda r: (r.src_id, *(r[c] for c in LOCATION))):
             at = tuple(d[c] for c in LOCATION)
-            self._apply(change, rows.where((F.col("src_id") == d.src_id) & (location() < here(at)) & after()))
+            self._apply(change, rows.where((F.col("src_id") == d.src_id) & (location() < here(at)) & after()), safe)
             change.alter(d.ddl)
             seen[d.src_id] = at
-        self._apply(change, rows.where(after()))
+        self._apply(change, rows.where(after()), safe)
 
-    def _grouped(self, change: Change, rows: DataFrame) -> DataFrame:
-        """Applies what all members have reached; returns the rows that wait. Rows are dealt by member, and only the statements meet by target."""
+    def _grouped(self, change: Change, rows: DataFrame, said: list, safe: bool) -> DataFrame | None:
+        """Applies what all members have reached; returns the rows that wait, if a member waits. Rows are dealt by member, and only the statements meet by target."""
         names = ["|".join(m) for m in self.members]
         counts, statements = dict.fromkeys(names, 0) | change.state["members"], change.state["statements"]
         marks = []
-        for d in self._statements(rows.where(F.col(EPOCH).isNull())):
+        for d in said:
             name = "|".join(d[c] for c in MEMBER)
             if name not in counts:
                 raise ValueError(f"{name} is no member of the group")
@@ -134,13 +135,13 @@ class Replication:
         own = F.coalesce("_base", F.lit(0)) + F.when(F.col("_marks").isNull(), 0).otherwise(F.size(F.filter("_marks", lambda d: d < location())))
         numbered = numbered.withColumn(EPOCH, F.coalesce(EPOCH, own.cast("long"))).where("ddl is null").select(*rows.columns)
         for k in range(done, now + 1):
-            self._apply(change, numbered.where(F.col(EPOCH) == k) if k > done else numbered.where(F.col(EPOCH) <= k))
+            self._apply(change, numbered.where(F.col(EPOCH) == k) if k > done else numbered.where(F.col(EPOCH) <= k), safe)
             if k < now:
                 change.alter(statements[k])
         change.state["members"], change.state["statements"] = counts, statements
         if self.safe:
             self.safe.holders = int(now < max(counts.values()))
-        return numbered.where(F.col(EPOCH) > now)
+        return numbered.where(F.col(EPOCH) > now) if now < max(counts.values()) else None
 
     def points(self, rows: DataFrame) -> DataFrame:
         """(MEMBER, point, ts): how far each table's log has been read, never backwards. Rows that rules drop count too."""
