@@ -293,7 +293,7 @@ def drawn(found: DataFrame, key: bytes, draw: int) -> DataFrame:
             new = [surrogate(k, c, key, draw, g) for k, c, g in zip(*[batch.column(x).to_pylist() for x in ("kind", "canon", "gender")], strict=True)]
             yield batch.append_column("new", pa.array(new, pa.string()))
 
-    return found.mapInArrow(run, ENTITY + ", new string")
+    return found.select(*[x.split()[0] for x in ENTITY.split(", ")]).mapInArrow(run, ENTITY + ", new string")
 
 
 def assign(found: DataFrame, key: bytes, max_draws: int = 60) -> DataFrame:
