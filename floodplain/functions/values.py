@@ -44,20 +44,20 @@ def partition_id(id_: Column, instance: int, schema: Column, schema_prefix: str,
     if not 0 <= instance < 1 << INSTANCE_BITS:
         raise ValueError(f"instance {instance} is not from 0 to {(1 << INSTANCE_BITS) - 1}")
 
-    def within(value: Column, bits: int, what: str, of: Column) -> Column:
-        return F.when((value >= 0) & (value < 1 << bits), value).otherwise(F.raise_error(F.concat(F.lit(f"{what} has no room in {bits} bits: "), of.cast("string"))).cast("long"))
-
     def number(name: Column, prefix: str, bits: int, what: str) -> Column:
         if not prefix:
             return F.lit(0).cast("long")
-        digits = F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1 << 20))
-        value = F.when(digits == "", F.lit(0).cast("long")).when(digits.rlike(r"^\d{1,18}$"), digits.try_cast("long"))
-        wrong = F.raise_error(F.concat(F.lit(f"{what} is not {prefix!r} and a number: "), name)).cast("long")
-        return F.when(value.isNull(), wrong).otherwise(within(value, bits, what, name))
-
+        digits = F.substr(name, F.lit(len(prefix) + 1))
+        named, value = name.startswith(prefix) & digits.rlike(r"^\d{0,9}$"), F.concat(F.lit("0"), digits).try_cast("long")
+        wrong = F.raise_error(F.concat(F.lit(f"{what} is not {prefix!r} and a number with room in {bits} bits: "), name)).cast("long")
+        return F.when(named & (value < 1 << bits), value).otherwise(wrong)
+
+    wide = id_.cast("long")
+    no_room = F.raise_error(F.concat(F.lit(f"id has no room in {ID_BITS} bits: "), id_.cast("string"))).cast("long")
+    own = F.when((wide >= 0) & (wide < 1 << ID_BITS), wide).otherwise(no_room)
     parts = F.lit(instance << 59).cast("long")
     parts = parts.bitwiseOR(F.shiftleft(number(schema, schema_prefix, SCHEMA_BITS, "schema"), 52)).bitwiseOR(F.shiftleft(number(table, table_prefix, TABLE_BITS, "table"), 44))
-    return F.when(id_.isNotNull(), parts.bitwiseOR(within(id_.cast("long"), ID_BITS, "id", id_)))
+    return F.when(id_.isNotNull(), parts.bitwiseOR(own))
 
 
 def add_prefix(column: Column, prefix: str) -> Column:
