@@ -20,7 +20,7 @@ LAST = f"""WITH {LOG}, last AS (SELECT user_id, arg_max(op, seq) AS op, arg_max(
 SELECT {{columns}} FROM last WHERE op <> 'D'"""
 
 
-def stored(spark: SparkSession, rows: DataFrame, files: int = 3) -> DataFrame:
+def stored(spark: SparkSession, rows: DataFrame, files: int = 2) -> DataFrame:
     """rows as a stored log of some files, one written after the other in the log's order, and read as a stream of a file a batch."""
     path, place = scratch(spark, "flow-log"), F.col("file_seq") * 100_000 + F.col("pos")
     bounds = rows.select(place.cast("double").alias("place")).approxQuantile("place", [k / files for k in range(1, files)], 0.0)
