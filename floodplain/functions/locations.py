@@ -22,12 +22,18 @@ def file_epoch(name: Column) -> Column:
     return F.coalesce(F.regexp_extract(name, r"\|(\d+)\.\d+$", 1).try_cast("int"), F.lit(0))
 
 
+def _six(number: Column) -> Column:
+    """At least six digits; lpad alone would cut longer numbers."""
+    text = number.cast("string")
+    return F.when(F.length(text) >= 6, text).otherwise(F.lpad(text, 6, "0"))
+
+
 def with_epoch(base: Column, epoch: Column, seq: Column) -> Column:
-    return F.concat(base, F.lit("|"), F.lpad(epoch.cast("string"), 6, "0"), F.lit("."), F.lpad(seq.cast("string"), 6, "0"))
+    return F.concat(base, F.lit("|"), _six(epoch), F.lit("."), _six(seq))
 
 
 def file_name(base: Column, seq: Column) -> Column:
-    return F.concat(base, F.lit("."), F.when(F.length(seq.cast("string")) >= 6, seq.cast("string")).otherwise(F.lpad(seq.cast("string"), 6, "0")))
+    return F.concat(base, F.lit("."), _six(seq))
 
 
 def position(text: Column) -> Column:

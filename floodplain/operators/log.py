@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions import locations
 from ..model import LOCATION, location
 
 
@@ -36,6 +37,21 @@ def by_file(changes: DataFrame, **sums: Column) -> DataFrame:
     return files.select("src_id", "epoch", "file_seq", *[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in sums])
 
 
+def places(rows: DataFrame, name: Column, pos: Column, files: int = 4096) -> DataFrame:
+    """rows with `place`, their number from 1 in the order of epoch, file and position.
+
+    Rows are numbered within slices of some files, after the sums of the slices before: one row a slice goes
+    through a window over all, and no task orders the whole log.
+    """
+    at = locations.ordered(name, pos)
+    sliced = rows.withColumn("_at", at).withColumn("_slice", F.struct(F.col("_at.epoch").alias("epoch"), F.floor(F.col("_at.seq") / files).alias("seq")))
+    over_all = Window.orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sliced.groupBy(F.col("_slice").alias("_key")).agg(F.count("*").alias("_n")).select("_key", F.coalesce(F.sum("_n").over(over_all), F.lit(0)).alias("_before"))
+    numbered = sliced.join(earlier, F.col("_slice").eqNullSafe(F.col("_key")))
+    own = F.row_number().over(Window.partitionBy("_slice").orderBy("_at"))
+    return numbered.withColumn("place", F.col("_before") + own).drop("_at", "_slice", "_key", "_before")
+
+
 def in_file() -> WindowSpec:
     return Window.partitionBy("src_id", "epoch", "file_seq").orderBy("pos", "row_idx")
 

@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 from test_queries import plain
 
+from floodplain.functions import locations
 from floodplain.queries import QUERIES, SQL
 
 
@@ -27,3 +28,12 @@ def differs(spark, folder, name, **tables) -> list[str]:
 def test_diff_buckets_keeps_its_64_buckets_on_more_rows(spark, tmp_path):
     orders = spark.range(300_000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 77).alias("o_custkey"), F.lit("O").alias("o_orderstatus"))
     assert not differs(spark, tmp_path, "diff_buckets", orders=orders)
+
+
+def test_file_order_goes_on_after_the_last_number(spark, tmp_path):
+    ids = spark.range(1_999_000, 2_001_500).union(spark.range(3_999_990, 4_000_010)).union(spark.range(1500))
+    assert not differs(spark, tmp_path, "file_order", events=ids.select(F.col("id").alias("event_id"), F.lit("view").alias("event_type")).repartition(5))
+
+
+def test_long_numbers_stay_whole_in_names_with_an_epoch(spark):
+    assert spark.range(1).select(locations.with_epoch(F.lit("b"), F.lit(2), F.lit(1_000_000))).first()[0] == "b|000002.1000000"
