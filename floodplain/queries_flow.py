@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+from urllib.parse import urlparse
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +18,7 @@ from .operators.rules import AllowList, EventRule, Route
 from .plans.history import SafeMode
 from .queries import LOG, changelog, query, read
 from .sources import dumpdir, merged, tables
-from .storage import scratch
+from .storage import discard, scratch
 from .streaming.runner import Replication, Task, load_then_follow, windowed_counts
 
 ROW = "user_id long, value double, event_type string"
@@ -141,13 +147,52 @@ def stored_log(spark, sf_dir):
     return tables.read_log(spark, path, 1, 2).select("seq", "file_seq", "op", F.coalesce("after.user_id", "before.user_id").alias("user_id"))
 
 
+DERBY = {"bigint": "BIGINT", "int": "INTEGER", "string": "CLOB"}
+
+
+def archived(spark: SparkSession, rows: DataFrame, table: str) -> str:
+    """The URL of a Derby database, archived in the shared folder, with rows as a table.
+
+    One process at a time may write such a database, and one in memory is seen by its own process only. So executors write text, the
+    driver's process loads it, and the archive is read only: any executor may open it. Derby reads local paths, so the folder must be mounted.
+    """
+    path = scratch(spark, "flow-derby")
+    if urlparse(path).scheme not in ("", "file"):
+        raise ValueError(f"{path}: the shared folder must be mounted for a Derby database")
+    local, text = Path(urlparse(path).path), f"{path}/text"
+    quoted = lambda c, kind: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) if kind == "string" else F.col(c).cast("string")
+    rows.select(F.concat_ws(",", *[F.coalesce(quoted(c, kind), F.lit("")) for c, kind in rows.dtypes])).write.text(text)
+    manager = spark.sparkContext._jvm.java.sql.DriverManager
+    with tempfile.TemporaryDirectory(prefix="floodplain-") as folder:
+        url = f"jdbc:derby:{folder}/db"
+        connection = manager.getConnection(f"{url};create=true")
+        try:
+            connection.createStatement().execute(f"CREATE TABLE {table} ({', '.join(f'{c} {DERBY[kind]}' for c, kind in rows.dtypes)})")
+            load = connection.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, NULL, NULL, 'UTF-8', 0)")
+            load.setString(1, table)
+            for file in sorted((local / "text").glob("part-*")):
+                load.setString(2, str(file))
+                load.execute()
+        finally:
+            connection.close()
+            try:
+                manager.getConnection(f"{url};shutdown=true")
+            except Py4JJavaError as error:  # how Derby tells that it has shut down
+                if error.java_exception.getSQLState() != "08006":
+                    raise
+        with zipfile.ZipFile(local / "db.jar", "w", zipfile.ZIP_STORED) as archive:  # without compression pages are found by skipping
+            for file in sorted(Path(folder).rglob("*")):
+                archive.write(file, file.relative_to(folder))
+    discard(spark, text)
+    return f"jdbc:derby:jar:({local}/db.jar)db"
+
+
 @query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 2 = 0")
 def jdbc_chunks(spark, sf_dir):
     """A table of another database, read by key ranges with a condition."""
-    url, rows = "jdbc:derby:memory:floodplain;create=true", read(spark, sf_dir, "customer").selectExpr("c_custkey as ID", "c_name as NAME", "c_nationkey as NATION")
-    rows.write.jdbc(url, "CUSTOMER", mode="overwrite")
-    high = rows.agg(F.max("ID")).first()[0]
-    return tables.jdbc_snapshot(spark, url, "CUSTOMER", "ID", 0, high, 5 * tables.CHUNK_ROWS, where="MOD(ID, 2) = 0").toDF("c_custkey", "c_name", "c_nationkey")
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey as ID", "c_name as NAME", "c_nationkey as NATION")
+    high = rows.agg(F.max("ID")).first()[0] or 0
+    return tables.jdbc_snapshot(spark, archived(spark, rows, "CUSTOMER"), "CUSTOMER", "ID", 0, high, 5 * tables.CHUNK_ROWS, where="MOD(ID, 2) = 0").toDF("c_custkey", "c_name", "c_nationkey")
 
 
 @query("SELECT c_custkey::VARCHAR AS id, c_name AS name FROM customer")

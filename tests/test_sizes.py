@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
+import pyspark
 from pyspark.sql import functions as F
 from test_queries import plain
 
@@ -37,3 +43,26 @@ def test_file_order_goes_on_after_the_last_number(spark, tmp_path):
 
 def test_long_numbers_stay_whole_in_names_with_an_epoch(spark):
     assert spark.range(1).select(locations.with_epoch(F.lit("b"), F.lit(2), F.lit(1_000_000))).first()[0] == "b|000002.1000000"
+
+
+def test_another_database_with_odd_rows(spark, tmp_path):
+    rows = [(0, 'a, "b"', 1), (2, " x ", None), (4, None, 3), (6, "", 4), (8, "two\nlines", 5), (9, "odd", 6), (None, "no key", 7), (10, "ä\\b", 8), (-4, "below", 9)]
+    customer = spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int")
+    assert not differs(spark, tmp_path, "jdbc_chunks", customer=customer)
+
+
+ACROSS = """
+from pyspark.sql import SparkSession
+from floodplain.queries import QUERIES
+spark = SparkSession.builder.config("spark.checkpoint.dir", "file://{0}/shared").getOrCreate()
+assert QUERIES["jdbc_chunks"](spark, "/root/testdata/sf0.001").count() == 75
+spark.stop()
+"""
+
+
+def test_another_database_is_seen_by_other_processes(tmp_path):
+    place = {"TMPDIR": str(tmp_path), "SPARK_WORKER_DIR": f"{tmp_path}/work", "SPARK_LOCAL_DIRS": str(tmp_path), "SPARK_SCALA_VERSION": "2.13", "SPARK_HOME": str(Path(pyspark.__file__).parent), "PYSPARK_PYTHON": sys.executable}
+    own = {k: v for k, v in os.environ.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    command = "--master local-cluster[2,1,1024] --driver-memory 1g --conf spark.ui.enabled=false --conf spark.driver.host=127.0.0.1 pyspark-shell"
+    done = subprocess.run([sys.executable, "-c", ACROSS.format(tmp_path)], env=own | place | {"PYSPARK_SUBMIT_ARGS": command}, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
