@@ -49,13 +49,21 @@ def union_shards(shards: Mapping[object, DataFrame], member: str | None = None)
     return out
 
 
+#: About how many changes a file of the stored log has.
+LOG_ROWS = 500_000
+
+
 def append_log(changes: DataFrame, path: str) -> None:
-    """Adds changes to a stored log, partitioned by epoch and file."""
-    changes.write.mode("append").partitionBy("epoch", "file_seq").parquet(path)
+    """Adds changes to a stored log, partitioned by epoch; each file holds a range of the log's files, in the log's order.
+
+    So there are as many files as rows ask for, not a folder for each log file with a file of each task, and a log file of any size is no single task's work.
+    """
+    ranged = changes.repartitionByRange("epoch", "file_seq", "pos", "row_idx").sortWithinPartitions("epoch", "file_seq", "pos", "row_idx")
+    ranged.write.mode("append").option("maxRecordsPerFile", LOG_ROWS).partitionBy("epoch").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str, from_epoch: int = 0, from_seq: int = 0) -> DataFrame:
-    """The stored log from a file on; earlier files are pruned by partition."""
+    """The stored log from a file on; earlier epochs are pruned by partition, earlier files by the ranges that stored files have."""
     df = spark.read.parquet(path)
     return df.where((F.col("epoch") > from_epoch) | ((F.col("epoch") == from_epoch) & (F.col("file_seq") >= from_seq)))
 

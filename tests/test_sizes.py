@@ -12,8 +12,10 @@ import pyspark
 from pyspark.sql import functions as F
 from test_queries import plain
 
+from floodplain import model
 from floodplain.functions import locations
 from floodplain.queries import QUERIES, SQL
+from floodplain.sources import tables
 
 
 def differs(spark, folder, name, **tables) -> list[str]:
@@ -66,3 +68,14 @@ def test_another_database_is_seen_by_other_processes(tmp_path):
     command = "--master local-cluster[2,1,1024] --driver-memory 1g --conf spark.ui.enabled=false --conf spark.driver.host=127.0.0.1 pyspark-shell"
     done = subprocess.run([sys.executable, "-c", ACROSS.format(tmp_path)], env=own | place | {"PYSPARK_SUBMIT_ARGS": command}, cwd=tmp_path, capture_output=True, text=True, timeout=240)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_a_stored_log_has_files_by_its_rows(spark, tmp_path):
+    rows = model.from_events(spark.read.parquet("/root/testdata/sf0.01/events.parquet"))
+    for part in ("seq < 6000", "seq >= 6000"):
+        tables.append_log(rows.where(part), str(tmp_path / "log"))
+    log = tables.read_log(spark, str(tmp_path / "log"))
+    assert len(log.inputFiles()) <= 2 * 4 < rows.select("file_seq").distinct().count()
+    assert sorted(r.seq for r in log.collect()) == sorted(r.seq for r in rows.collect())
+    late = tables.read_log(spark, str(tmp_path / "log"), 1, 8)
+    assert sorted(r.seq for r in late.collect()) == sorted(r.seq for r in rows.where("file_seq >= 8").collect())
