@@ -26,13 +26,27 @@ LAST = f"""WITH {LOG}, last AS (SELECT user_id, arg_max(op, seq) AS op, arg_max(
 SELECT {{columns}} FROM last WHERE op <> 'D'"""
 
 
-def stored(spark: SparkSession, rows: DataFrame, files: int = 2) -> DataFrame:
-    """rows as a stored log of some files, one written after the other in the log's order, and read as a stream of a file a batch."""
-    path, place = scratch(spark, "flow-log"), F.col("file_seq") * 100_000 + F.col("pos")
-    bounds = rows.select(place.cast("double").alias("place")).approxQuantile("place", [k / files for k in range(1, files)], 0.0)
-    for low, high in zip([float("-inf"), *bounds], [*bounds, float("inf")], strict=True):
-        rows.where((place > low) & (place <= high)).coalesce(1).sortWithinPartitions(*model.LOCATION).write.mode("append").parquet(path)
-    return tables.stream_log(spark, path, rows.schema, 1)
+#: About how many rows a file of a stored log has.
+FILE_ROWS = 500_000
+
+
+def stored(spark: SparkSession, rows: DataFrame, batches: int = 2) -> DataFrame:
+    """rows as a stored log, and read as a stream of some batches in the log's order.
+
+    The rows are made once. A batch is written after the one before, in as many files as each other batch, so that the stream, which takes
+    files by their time, has whole batches; no task holds one.
+    """
+    path, made, place = scratch(spark, "flow-log"), scratch(spark, "flow-rows"), F.col("file_seq") * 100_000 + F.col("pos")
+    rows.withColumn("_place", place.cast("double")).write.parquet(made)
+    log_ = spark.read.parquet(made)
+    bounds = log_.approxQuantile("_place", [k / batches for k in range(1, batches)], 0.001) or [float("inf")] * (batches - 1)
+    files = max(1, -(-log_.count() // (batches * FILE_ROWS)))
+    for k, (low, high) in enumerate(zip([float("-inf"), *bounds], [*bounds, float("inf")], strict=True), 1):
+        log_.where((F.col("_place") > low) & (F.col("_place") <= high)).drop("_place").repartition(files).write.mode("append").parquet(path)
+        if files > 1 and len(spark.read.schema(rows.schema).parquet(path).inputFiles()) != k * files:
+            raise RuntimeError(f"{path}: batch {k} isn't {files} files")
+    discard(spark, made)
+    return tables.stream_log(spark, path, rows.schema, files)
 
 
 def whole_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ class Replication:
         rows = rows.withColumn(EPOCH, F.lit(None).cast("long"))
         rows = rows if waiting is None else waiting.unionByName(rows)
         last = rows.where("is_commit").groupBy("src_id").agg(F.max(location()).alias("_last"))
-        marked = change.stage(rows.join(last, "src_id", "left").withColumn("_whole", F.col(EPOCH).isNotNull() | F.coalesce(location() <= F.col("_last"), F.lit(False))).drop("_last"))
+        marked = change.stage(rows.join(F.broadcast(last), "src_id", "left").withColumn("_whole", F.col(EPOCH).isNotNull() | F.coalesce(location() <= F.col("_last"), F.lit(False))).drop("_last"))
         seen = marked.agg(F.count_if(~F.col("_whole")).alias("open"), F.count_if(F.col("_whole") & F.col("ddl").isNotNull()).alias("statements"), F.max(F.when(F.col("_whole"), location())).alias("at")).first()
         whole, rest = marked.where("_whole").drop("_whole"), marked.where("not _whole").drop("_whole")
         safe = self.safe is not None and seen["at"] is not None and self.safe.on(tuple(seen["at"]), self.clock())
@@ -131,7 +131,7 @@ class Replication:
         done, now = min((before.get(n, 0) for n in names), default=0), min(counts.values())
         base = self.target.spark.createDataFrame([(*n.split("|"), c) for n, c in sorted(before.items())] or [("", "", "", 0)], "src_id string, src_schema string, src_table string, _base long")
         spans = self.target.spark.createDataFrame(marks, rows.select(*MEMBER, *LOCATION).schema).groupBy(*MEMBER).agg(F.array_sort(F.collect_list(F.struct(*LOCATION))).alias("_marks"))
-        numbered = rows.join(base, list(MEMBER), "left").join(spans, list(MEMBER), "left")
+        numbered = rows.join(F.broadcast(base), list(MEMBER), "left").join(F.broadcast(spans), list(MEMBER), "left")
         own = F.coalesce("_base", F.lit(0)) + F.when(F.col("_marks").isNull(), 0).otherwise(F.size(F.filter("_marks", lambda d: d < location())))
         numbered = numbered.withColumn(EPOCH, F.coalesce(EPOCH, own.cast("long"))).where("ddl is null").select(*rows.columns)
         for k in range(done, now + 1):

@@ -9,13 +9,15 @@ from pathlib import Path
 
 import duckdb
 import pyspark
+import pytest
 from pyspark.sql import functions as F
 from test_queries import plain
 
-from floodplain import model
+from floodplain import model, queries_flow
 from floodplain.functions import locations
 from floodplain.queries import QUERIES, SQL
 from floodplain.sources import tables
+from floodplain.sources.merged import Change
 
 
 def differs(spark, folder, name, **tables) -> list[str]:
@@ -79,3 +81,21 @@ def test_a_stored_log_has_files_by_its_rows(spark, tmp_path):
     assert sorted(r.seq for r in log.collect()) == sorted(r.seq for r in rows.collect())
     late = tables.read_log(spark, str(tmp_path / "log"), 1, 8)
     assert sorted(r.seq for r in late.collect()) == sorted(r.seq for r in rows.where("file_seq >= 8").collect())
+
+
+@pytest.mark.parametrize("name", ["streamed_group_waiting", "streamed_statements", "streamed_filters"])
+def test_a_streamed_batch_is_dealt_out(spark, tmp_path, monkeypatch, name):
+    """A batch lies in several files, and is joined with its sources and members without gathering their rows in one task."""
+    staged, files, stage, stream = [], [], Change.stage, tables.stream_log
+    monkeypatch.setattr(queries_flow, "FILE_ROWS", 1000)
+    monkeypatch.setattr(Change, "stage", lambda self, rows: staged.append((self.batch, rows._jdf.queryExecution().sparkPlan().toString())) or stage(self, rows))  # noqa: SLF001
+    monkeypatch.setattr(tables, "stream_log", lambda spark, path, schema, n: files.append((n, len(spark.read.parquet(path).inputFiles()))) or stream(spark, path, schema, n))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+        assert not differs(spark, tmp_path, name, events=events)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert files == [(5, 10)] and {batch for batch, _ in staged} == {0, 1}
+    assert not any("SortMergeJoin" in plan and "src_id" in plan.split("SortMergeJoin")[1].split("\n")[0] for _, plan in staged)
