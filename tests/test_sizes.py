@@ -65,7 +65,11 @@ spark.stop()
 
 
 def test_another_database_is_seen_by_other_processes(tmp_path):
-    place = {"TMPDIR": str(tmp_path), "SPARK_WORKER_DIR": f"{tmp_path}/work", "SPARK_LOCAL_DIRS": str(tmp_path), "SPARK_SCALA_VERSION": "2.13", "SPARK_HOME": str(Path(pyspark.__file__).parent), "PYSPARK_PYTHON": sys.executable}
+    home = tmp_path / "home"  # workers keep their files below it
+    home.mkdir()
+    for part in ("bin", "jars"):
+        (home / part).symlink_to(Path(pyspark.__file__).parent / part)
+    place = {"TMPDIR": str(tmp_path), "SPARK_LOCAL_DIRS": str(tmp_path), "SPARK_SCALA_VERSION": "2.13", "SPARK_HOME": str(home), "PYSPARK_PYTHON": sys.executable}
     own = {k: v for k, v in os.environ.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
     command = "--master local-cluster[2,1,1024] --driver-memory 1g --conf spark.ui.enabled=false --conf spark.driver.host=127.0.0.1 pyspark-shell"
     done = subprocess.run([sys.executable, "-c", ACROSS.format(tmp_path)], env=own | place | {"PYSPARK_SUBMIT_ARGS": command}, cwd=tmp_path, capture_output=True, text=True, timeout=240)
