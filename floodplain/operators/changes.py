@@ -88,11 +88,9 @@ def compact(changes: DataFrame, key: Sequence[str], order: Sequence[str]) -> Dat
     """
     seq = F.struct(*order)
     keyed = changes.select(*[F.coalesce(F.col(f"after.{k}"), F.col(f"before.{k}")).alias(k) for k in key], "op", "after", seq.alias("_seq"))
-    folded = keyed.groupBy(*key).agg(
-        F.min_by("op", "_seq").alias("_first"), F.max_by("op", "_seq").alias("_last"), F.max_by(F.struct("after"), "_seq").alias("_image"), F.bool_or(F.col("op") == DELETE).alias("_any"), F.count("*").alias("n_changes"), F.max("_seq").alias("_at")
-    )
-    op = F.when(F.col("_last") == DELETE, DELETE).when(F.col("_any"), UPDATE).otherwise(F.col("_first"))
-    return folded.select(*key, op.alias("op"), F.col("_image.after").alias("after"), "n_changes", *[F.col(f"_at.{c}").alias(c) for c in order])
+    folded = keyed.groupBy(*key).agg(F.min_by("op", "_seq").alias("_first"), F.max_by(F.struct("op", "after", "_seq"), "_seq").alias("_last"), F.bool_or(F.col("op") == DELETE).alias("_any"), F.count("*").alias("n_changes"))
+    op = F.when(F.col("_last.op") == DELETE, DELETE).when(F.col("_any"), UPDATE).otherwise(F.col("_first"))
+    return folded.select(*key, op.alias("op"), F.col("_last.after").alias("after"), "n_changes", *[F.col(f"_last._seq.{c}").alias(c) for c in order])
 
 
 # ---------------------------------------------------------------- apply

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -26,6 +28,17 @@ def without_replays(changes: DataFrame) -> DataFrame:
     return changes.dropDuplicates(["src_id", *LOCATION])
 
 
+def furthest(changes: DataFrame, by: Sequence[str], name: str = "point", **latest: Column) -> DataFrame:
+    """(by, name, latest): the last location of each group, and the largest of some other values.
+
+    A struct has no room in a hash aggregate, so by itself it would sort all rows. Positions of a file are numbers and have, so
+    only one row a file and row number goes on to the struct.
+    """
+    parts = [c for c in LOCATION if c != "pos"]
+    files = changes.groupBy(*by, *parts).agg(F.max("pos").alias("pos"), *[F.max(v).alias(k) for k, v in latest.items()])
+    return files.groupBy(*by).agg(F.max(location()).alias(name), *[F.max(k).alias(k) for k in latest])
+
+
 def by_file(changes: DataFrame, **sums: Column) -> DataFrame:
     """(src_id, epoch, file_seq) with, for each sum, its total over the source's earlier files.
 

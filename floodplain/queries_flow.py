@@ -34,7 +34,7 @@ def stored(spark: SparkSession, rows: DataFrame, batches: int = 2) -> DataFrame:
     """rows as a stored log, and read as a stream of some batches in the log's order.
 
     The rows are made once. A batch is written after the one before, in as many files as each other batch, so that the stream, which takes
-    files by their time, has whole batches; no task holds one.
+    files by their time, has whole batches; no task holds one. Rows are dealt by their places: dealt in turn, they would be sorted first.
     """
     path, made, place = scratch(spark, "flow-log"), scratch(spark, "flow-rows"), F.col("file_seq") * 100_000 + F.col("pos")
     rows.withColumn("_place", place.cast("double")).write.parquet(made)
@@ -42,7 +42,7 @@ def stored(spark: SparkSession, rows: DataFrame, batches: int = 2) -> DataFrame:
     bounds = log_.approxQuantile("_place", [k / batches for k in range(1, batches)], 0.001) or [float("inf")] * (batches - 1)
     files = max(1, -(-log_.count() // (batches * FILE_ROWS)))
     for k, (low, high) in enumerate(zip([float("-inf"), *bounds], [*bounds, float("inf")], strict=True), 1):
-        log_.where((F.col("_place") > low) & (F.col("_place") <= high)).drop("_place").repartition(files).write.mode("append").parquet(path)
+        log_.where((F.col("_place") > low) & (F.col("_place") <= high)).drop("_place").repartition(files, *model.LOCATION).write.mode("append").parquet(path)
         if files > 1 and len(spark.read.schema(rows.schema).parquet(path).inputFiles()) != k * files:
             raise RuntimeError(f"{path}: batch {k} isn't {files} files")
     discard(spark, made)

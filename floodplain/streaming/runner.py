@@ -13,7 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..model import LOCATION, location
 from ..operators.changes import RowFilter, compact, filter_rows, safe_mode, split_key_changes
-from ..operators.log import without_replays
+from ..operators.log import furthest, without_replays
 from ..operators.rules import AllowList, EventRule, Route, allow, event_action, route, row_event, skipped_statement
 from ..plans import ddl
 from ..plans.history import SafeMode
@@ -78,7 +78,7 @@ class Replication:
         rows = log if "ddl" in log.columns else log.withColumn("ddl", F.lit(None).cast("string"))
         rows = rows.withColumn(EPOCH, F.lit(None).cast("long"))
         rows = rows if waiting is None else waiting.unionByName(rows)
-        last = rows.where("is_commit").groupBy("src_id").agg(F.max(location()).alias("_last"))
+        last = furthest(rows.where("is_commit"), ["src_id"], "_last")
         marked = change.stage(rows.join(F.broadcast(last), "src_id", "left").withColumn("_whole", F.col(EPOCH).isNotNull() | F.coalesce(location() <= F.col("_last"), F.lit(False))).drop("_last"))
         seen = marked.agg(F.count_if(~F.col("_whole")).alias("open"), F.count_if(F.col("_whole") & F.col("ddl").isNotNull()).alias("statements"), F.max(F.when(F.col("_whole"), location())).alias("at")).first()
         whole, rest = marked.where("_whole").drop("_whole"), marked.where("not _whole").drop("_whole")
@@ -129,11 +129,8 @@ class Replication:
             marks.append(tuple(d[c] for c in (*MEMBER, *LOCATION)))
         before = change.state["members"] or dict.fromkeys(names, 0)
         done, now = min((before.get(n, 0) for n in names), default=0), min(counts.values())
-        base = self.target.spark.createDataFrame([(*n.split("|"), c) for n, c in sorted(before.items())] or [("", "", "", 0)], "src_id string, src_schema string, src_table string, _base long")
-        spans = self.target.spark.createDataFrame(marks, rows.select(*MEMBER, *LOCATION).schema).groupBy(*MEMBER).agg(F.array_sort(F.collect_list(F.struct(*LOCATION))).alias("_marks"))
-        numbered = rows.join(F.broadcast(base), list(MEMBER), "left").join(F.broadcast(spans), list(MEMBER), "left")
-        own = F.coalesce("_base", F.lit(0)) + F.when(F.col("_marks").isNull(), 0).otherwise(F.size(F.filter("_marks", lambda d: d < location())))
-        numbered = numbered.withColumn(EPOCH, F.coalesce(EPOCH, own.cast("long"))).where("ddl is null").select(*rows.columns)
+        own = F.coalesce(EPOCH, "_epoch", F.lit(0).cast("long"))
+        numbered = self._spanned(rows, before, marks).withColumn(EPOCH, own).where("ddl is null").select(*rows.columns)
         for k in range(done, now + 1):
             self._apply(change, numbered.where(F.col(EPOCH) == k) if k > done else numbered.where(F.col(EPOCH) <= k), safe)
             if k < now:
@@ -143,9 +140,24 @@ class Replication:
             self.safe.holders = int(now < max(counts.values()))
         return numbered.where(F.col(EPOCH) > now) if now < max(counts.values()) else None
 
+    def _spanned(self, rows: DataFrame, before: dict[str, int], marks: list[tuple]) -> DataFrame:
+        """rows with `_epoch`, how many statements of its member stand before a row: those of earlier batches, and those of marks (MEMBER, LOCATION).
+
+        Each member's log is spans between statements, and a row meets the one that it lies in; so rows are looked at in generated code.
+        """
+        ends: dict[tuple, list] = {tuple(n.split("|")): [] for n in before}
+        for m in marks:  # in the order of their logs
+            ends.setdefault(m[: len(MEMBER)], []).append(m[len(MEMBER) :])
+        spans = [(*m, low, high, before.get("|".join(m), 0) + k) for m, at in ends.items() for k, (low, high) in enumerate(zip([None, *at], [*at, None], strict=True))]
+        place, names = rows.select(location()).schema[0].dataType.simpleString(), [f"_{c}" for c in MEMBER]
+        table = self.target.spark.createDataFrame(spans, f"{', '.join(f'{c} string' for c in names)}, _low {place}, _high {place}, _epoch long")
+        inside = (F.col("_low").isNull() | (location() > F.col("_low"))) & (F.col("_high").isNull() | (location() <= F.col("_high")))
+        same = reduce(lambda x, y: x & y, [rows[c] == table[n] for c, n in zip(MEMBER, names, strict=True)])
+        return rows.join(F.broadcast(table), same & inside, "left").drop(*names, "_low", "_high")
+
     def points(self, rows: DataFrame) -> DataFrame:
         """(MEMBER, point, ts): how far each table's log has been read, never backwards. Rows that rules drop count too."""
-        new = rows.groupBy(*MEMBER).agg(F.max(location()).alias("point"), F.max("ts").alias("ts"))
+        new = furthest(rows, MEMBER, ts=F.col("ts"))
         old = self.target.side("points") if self.target.committed() >= 0 else None
         return new if old is None else old.unionByName(new).groupBy(*MEMBER).agg(F.max("point").alias("point"), F.max("ts").alias("ts"))
 

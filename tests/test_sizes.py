@@ -15,9 +15,11 @@ from test_queries import plain
 
 from floodplain import model, queries_flow
 from floodplain.functions import locations
+from floodplain.operators.log import furthest
 from floodplain.queries import QUERIES, SQL
 from floodplain.sources import tables
-from floodplain.sources.merged import Change
+from floodplain.sources.merged import Change, MergedTable
+from floodplain.streaming.runner import Replication, Task
 
 
 def differs(spark, folder, name, **tables) -> list[str]:
@@ -103,3 +105,29 @@ def test_a_streamed_batch_is_dealt_out(spark, tmp_path, monkeypatch, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert files == [(5, 10)] and {batch for batch, _ in staged} == {0, 1}
     assert not any("SortMergeJoin" in plan and "src_id" in plan.split("SortMergeJoin")[1].split("\n")[0] for _, plan in staged)
+
+
+def test_locations_are_found_in_generated_code(spark, tmp_path, monkeypatch):
+    """A batch's rows are neither sorted for the last location of each table and source, nor looked at one by one for statements before them."""
+    plans, stage, side = [], Change.stage, Change.side
+    plan_of = lambda rows: plans.append(rows._jdf.queryExecution().sparkPlan().toString())  # noqa: E731, SLF001
+    monkeypatch.setattr(Change, "stage", lambda self, rows: (plan_of(rows), stage(self, rows))[1])
+    monkeypatch.setattr(Change, "side", lambda self, name, rows: (plan_of(rows) if name == "points" else None, side(self, name, rows))[1])
+    assert not differs(spark, tmp_path, "streamed_group", events=spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    found = [p for p in plans if "max(struct(epoch" in p]
+    assert len(found) >= 4 and all("partial_max(pos" in p for p in found)
+    assert not any("lambda" in p for p in plans)
+
+
+def test_the_last_location_of_a_group(spark):
+    rows = [("a", 1, 9, 9, 0), ("a", 2, 1, 5, 7), ("a", 2, 1, 6, 0), ("a", 2, 1, 6, 3), ("a", 2, 1, None, 9), ("b", None, 3, 1, 0), ("b", 0, 1, None, None), (None, 1, 1, 1, 1)]
+    log = spark.createDataFrame(rows, "src_id string, epoch int, file_seq long, pos long, row_idx int").repartition(3)
+    assert sorted(map(str, furthest(log, ["src_id"]).collect())) == sorted(map(str, log.groupBy("src_id").agg(F.max(model.location()).alias("point")).collect()))
+
+
+def test_rows_at_and_around_statements_of_a_group(spark):
+    """A row at a statement's own place stands before it; a member without statements, and another table, have none."""
+    run = Replication(Task(["id"]), MergedTable(spark, "/tmp/none", ["id"], "id int"))
+    rows = spark.createDataFrame([("s", "d", t, 1, f, p, 0) for t in ("t", "u", "v") for f, p in ((1, 9), (2, 1), (2, 2), (3, 1))], "src_id string, src_schema string, src_table string, epoch int, file_seq long, pos long, row_idx int")
+    got = run._spanned(rows.withColumn("ddl_epoch", F.lit(None).cast("long")), {"s|d|t": 2, "s|d|u": 1}, [("s", "d", "t", 1, 2, 1, 0), ("s", "d", "t", 1, 2, 2, 0)])  # noqa: SLF001
+    assert sorted((r.src_table, r.file_seq, r.pos, r._epoch) for r in got.collect()) == [("t", 1, 9, 2), ("t", 2, 1, 2), ("t", 2, 2, 3), ("t", 3, 1, 4), *[("u", f, p, 1) for f, p in ((1, 9), (2, 1), (2, 2), (3, 1))], *[("v", f, p, None) for f, p in ((1, 9), (2, 1), (2, 2), (3, 1))]]  # noqa: SLF001
